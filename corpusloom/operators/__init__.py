@@ -1,0 +1 @@
+"""operators of the engine; each module says what it holds."""

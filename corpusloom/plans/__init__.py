@@ -1,0 +1 @@
+"""plans of the engine; each module says what it holds."""

@@ -1,0 +1 @@
+"""sources of the engine; each module says what it holds."""

@@ -1,0 +1 @@
+"""streaming of the engine; each module says what it holds."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import simhash
+from pyspark.sql import functions as F
+
+from . import decontaminate, language, quality, simhash, tokens, urls
 from .cluster import table
 
 
@@ -11,9 +13,37 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark, sf_dir):
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return language.predictions(docs, language.train(docs))
+
+
+def op5_url_filter(spark, sf_dir):
+    """Verdict on every page's URL."""
+    return urls.verdicts(table(spark, sf_dir, "pages"))
+
+
+def op6_decontamination(spark, sf_dir):
+    """Benchmark passages in every document."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op8_quality(spark, sf_dir):
+    """Quality of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_token_counts(spark, sf_dir):
+    """Tokens of every document before and after edits at hashed places."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.edited_counts(docs.withColumn("edits", tokens.hashed_edits(F.col("doc_id"), F.col("text"))))
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash}
+    return {f.__name__: f for f in (op1_simhash, op4_language, op5_url_filter, op6_decontamination, op8_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op6_decontamination": decontaminate.ORACLE_SQL}

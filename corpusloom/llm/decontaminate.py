@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+STRETCH = 128  # words of a document whose postings are made together; each posting carries its stretch and the words around it
 BROADCAST_WINDOWS = 200_000  # windows of ten words are some 100 bytes each
 
 
@@ -62,15 +63,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     wins = windows(benchmark, item_col, item_text, n)
     count = wins.agg(F.count(F.lit(1)), F.sum(F.size("ws"))).first()
     anchors = _anchors(d, wins, count[1] or 0)
-    postings = d.select("id", "h", "ws", F.posexplode("ws").alias("pos", "w")).select("id", "h", "ws", "pos", _key(F.col("w")).alias("key"))
+
+    def stretch(at: Column) -> Column:
+        low = F.greatest(at - (n - 1 + slop), F.lit(0))
+        return F.struct(at.alias("at"), low.alias("low"), F.slice("ws", low + 1, at - low + (STRETCH + n - 1 + slop)).alias("seg"))
+
+    cut = d.where("size(ws) > 0").select("id", "h", F.transform(F.sequence(F.lit(0), F.size("ws") - 1, F.lit(STRETCH)), stretch).alias("s"))
+    cut = cut.select("id", "h", F.explode("s").alias("s")).select("id", "h", "s.at", "s.low", "s.seg")  # no row carries more than its stretch
+    postings = cut.select("id", "h", "at", "low", "seg", F.posexplode(F.slice("seg", F.col("at") - F.col("low") + 1, STRETCH)).alias("p", "w"))
+    postings = postings.select("id", "h", "low", "seg", (F.col("p") + F.col("at") - F.col("low")).alias("pos"), _key(F.col("w")).alias("key"))
     hit = postings.join(_sized(anchors, count[0]), "key")
 
     def stands(c: Column) -> Column:
         start, size = F.col("pos") - c["off"], F.size(c["ws"])
-        low = F.transform(F.slice("ws", F.greatest(start - slop, F.lit(0)) + 1, size + 2 * slop), lambda w: F.translate(w, UPPER, LOWER))
-        return (start >= 0) & (start + size <= F.size("ws")) & ((low == c["ws"]) if not slop else (F.size(F.array_except(c["ws"], low)) == 0))
+        low = F.transform(F.slice("seg", F.greatest(start - slop, F.lit(0)) + 1, size + 2 * slop), lambda w: F.translate(w, UPPER, LOWER))
+        return (start >= 0) & (start + size <= F.size("seg")) & ((low == c["ws"]) if not slop else (F.size(F.array_except(c["ws"], low)) == 0))
 
-    found = F.transform(F.filter("wins", stands), lambda c: F.struct(c["item"].alias("item"), (F.col("pos") - c["off"]).alias("start"), F.size(c["ws"]).alias("len")))
+    found = F.transform(F.filter("wins", stands), lambda c: F.struct(c["item"].alias("item"), (F.col("low") + F.col("pos") - c["off"]).alias("start"), F.size(c["ws"]).alias("len")))
     return hit.select("id", "h", found.alias("found")).where("size(found) > 0")
 
 
@@ -103,11 +112,11 @@ WITH d AS (
 ), win AS (
   SELECT DISTINCT item_id, len(part) AS k, array_to_string(part, ' ') AS s
   FROM (SELECT item_id, list_slice(ws, i, i + 9) AS part FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0))
-), at AS (
+), spot AS (
   SELECT doc_id, i, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS s
   FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) WHERE len(ws) >= k)
 ), hit AS (
-  SELECT doc_id, i, at.k AS k, item_id FROM at JOIN win ON at.k = win.k AND at.s = win.s
+  SELECT doc_id, i, spot.k AS k, item_id FROM spot JOIN win ON spot.k = win.k AND spot.s = win.s
 ), inside AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY 1
 ), items AS (

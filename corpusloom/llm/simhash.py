@@ -96,15 +96,15 @@ def fingerprint(data: bytes | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """Columns ``id`` and ``fp`` (a signed long of the 64 bits), one row per row of ``docs``."""
+    """Columns ``id``, ``h`` (a hash of the text) and ``fp`` (a signed long of the 64 bits), one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["id", "h", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, h bigint, fp bigint")
 
 
 def _keys(fps: DataFrame) -> DataFrame:
@@ -159,6 +159,16 @@ def _around(fps: DataFrame, bits: int) -> DataFrame:
     return held.where("a <> b").distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int, bucket: int) -> DataFrame:
+    """Rows (id, h, fp, root, component_id); the root names the group."""
+    fps = checkpointed(fingerprints(docs, id_col, text_col, width))
+    distinct = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    joined = components(links(distinct, bits, bucket))
+    rooted = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(rooted.select("fp", "root").join(smallest, "root"), "fp").select("id", "h", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 2, bucket: int = 48) -> DataFrame:
     """Fingerprint and group of every row of ``docs``.
 
@@ -170,10 +180,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (null if the group has none). An empty table gives no rows. Other columns of ``docs``
     are not read.
     """
-    fps = checkpointed(fingerprints(docs, id_col, text_col, width))
-    distinct = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    joined = components(links(distinct, bits, bucket))
-    rooted = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = _grouped(docs, id_col, text_col, width, bits, bucket)
+    return of.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 2, bucket: int = 48) -> DataFrame:
+    """One row of ``docs``, with all its columns, for each group of near-duplicates: that of the smallest id.
+
+    A null id stands for its group only if all ids in it are null. If the row that stands
+    for a group is repeated, one copy stays.
+    """
+    of = checkpointed(_grouped(docs, id_col, text_col, width, bits, bucket).select("id", "h", "root"))
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("r")).select(F.col("r.id").alias("__id"), F.col("r.h").alias("__h"))
+    kept = docs.join(first, F.col("__id").eqNullSafe(docs[id_col]) & (F.col("__h") == F.xxhash64(docs[text_col])), "left_semi")
+    if of.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col, text_col])
+    return kept

@@ -80,7 +80,8 @@ class Vocabulary:
     def encode(self, text: bytes | None) -> np.ndarray:
         """Token ids with ``SPAN`` pads on each side."""
         known = self.ids.get
-        ids = [known(w, -1) for w in (ws := words(text))]
+        ws = words(text)
+        ids = [known(w, -1) for w in ws]
         out = np.full(len(ids) + 2 * SPAN, PAD, np.int64)
         out[SPAN : SPAN + len(ids)] = [i if i >= 0 else TOP + shape(w) for i, w in zip(ids, ws, strict=True)]
         return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, quality, simhash, tokens, urls
+from . import decontaminate, html, language, lm, mtree, pieces, quality, simhash, tokens, urls
 from .cluster import table
 
 
@@ -13,6 +13,16 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_mtree(spark, sf_dir):
+    """The five best inner products of every fiftieth vector."""
+    return mtree.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+def op3_pieces(spark, sf_dir):
+    """Ids and sampled segmentations of every document, as digests."""
+    return pieces.segmented(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
 def op4_language(spark, sf_dir):
     """Language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -29,12 +39,23 @@ def op6_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op7_html(spark, sf_dir):
+    """Main text of every page."""
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark, sf_dir):
     """Quality of every document."""
     docs = table(spark, sf_dir, "documents")
     return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_pseudo_likelihood(spark, sf_dir):
+    """Score of every document under a network trained on all of them."""
+    docs = table(spark, sf_dir, "documents")
+    return lm.scores(docs, *lm.train(docs))
+
+
 def op10_token_counts(spark, sf_dir):
     """Tokens of every document before and after edits at hashed places."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,8 +63,8 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op4_language, op5_url_filter, op6_decontamination, op8_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_mtree, op3_pieces, op4_language, op5_url_filter, op6_decontamination, op7_html, op8_quality, op9_pseudo_likelihood, op10_token_counts)}
 
 
 def oracle_sql() -> dict:
-    return {"op6_decontamination": decontaminate.ORACLE_SQL}
+    return {"op2_mtree": mtree.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL}

@@ -1,0 +1,133 @@
+"""Answers of site searches, parsed into candidates: one schema and one select a route.
+
+Each parser takes rows (query_id, body) and returns query_id, i (from 0), url, title, snippet,
+prior, published, content and skip_fetch. A body that is not the JSON it should be gives no rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def strip_html(c: Column) -> Column:
+    """Tags off, common entities decoded, white space closed up."""
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " ")
+    for a, b in ENTITIES.items():
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def _rows(bodies: DataFrame, schema: str, items: str) -> DataFrame:
+    return bodies.select("query_id", F.from_json("body", schema).alias("j")).select("query_id", F.posexplode(f"j.{items}").alias("i", "r"))
+
+
+def _out(x: DataFrame, url, title, prior, snippet=None, published=None, content=None, skip=None) -> DataFrame:
+    text = lambda c: F.coalesce(c if c is not None else F.lit(""), F.lit(""))
+    skip = skip if skip is not None else F.lit(False)
+    return x.select("query_id", "i", url.alias("url"), text(title).alias("title"), text(snippet).alias("snippet"), prior.cast("double").alias("prior"), text(published).alias("published"), text(content).alias("content"), F.coalesce(skip, F.lit(False)).alias("skip_fetch")).where("coalesce(url, '') <> ''")
+
+
+
+def wikipedia(bodies: DataFrame, lang: str = "en") -> DataFrame:
+    x = _rows(bodies, "query struct<search:array<struct<title:string,snippet:string>>>", "query.search")
+    url = F.concat(F.lit(f"https://{lang}.wikipedia.org/wiki/"), F.replace("r.title", F.lit(" "), F.lit("_")))
+    return _out(x, url, F.col("r.title"), 0.78 - 0.04 * F.col("i"), strip_html(F.col("r.snippet")))
+
+
+def hn(bodies: DataFrame) -> DataFrame:
+    x = _rows(bodies, "hits array<struct<title:string,url:string,points:double,created_at:string>>", "hits").where("r.title <> ''")
+    return _out(x, F.col("r.url"), F.col("r.title"), F.least(F.lit(0.82), 0.42 + F.coalesce("r.points", F.lit(0.0)) / 400) - 0.01 * F.col("i"), published=F.substring("r.created_at", 1, 10))
+
+
+def stackoverflow(bodies: DataFrame) -> DataFrame:
+    x = _rows(bodies, "items array<struct<link:string,title:string,body:string,score:double,is_answered:boolean>>", "items")
+    prior = F.least(F.lit(0.86), 0.5 + F.coalesce("r.score", F.lit(0.0)) / 200) + F.when(F.col("r.is_answered"), 0.05).otherwise(0.0) - 0.01 * F.col("i")
+    body = strip_html(F.col("r.body"))
+    return _out(x, F.col("r.link"), strip_html(F.col("r.title")), prior, F.substring(body, 1, 300), content=F.substring(body, 1, 12_000), skip=body != "")
+
+
+def github(bodies: DataFrame) -> DataFrame:
+    x = _rows(bodies, "items array<struct<html_url:string,full_name:string,description:string,stargazers_count:double>>", "items").where("r.stargazers_count >= 25")
+    return _out(x, F.col("r.html_url"), F.col("r.full_name"), 0.22 + 0.60 * F.least(F.lit(1.0), F.sqrt(F.col("r.stargazers_count")) / 70) - 0.01 * F.col("i"), F.col("r.description"))
+
+
+def arxiv(bodies: DataFrame) -> DataFrame:
+    entries = F.regexp_extract_all("body", F.lit(r"(?s)<entry>(.*?)</entry>"), F.lit(1))
+    x = bodies.select("query_id", F.posexplode(entries).alias("i", "r"))
+    field = lambda tag: F.trim(F.regexp_replace(F.regexp_extract("r", rf"(?s)<{tag}>(.*?)</{tag}>", 1), r"\s+", " "))
+    return _out(x, F.regexp_replace(field("id"), "^http:", "https:"), strip_html(field("title")), 0.70 - 0.03 * F.col("i"), strip_html(field("summary")), F.substring(field("published"), 1, 10))
+
+
+def semanticscholar(bodies: DataFrame) -> DataFrame:
+    x = _rows(bodies, "data array<struct<url:string,title:string,abstract:string,year:int,citationCount:double>>", "data")
+    return _out(x, F.col("r.url"), F.col("r.title"), F.least(F.lit(0.82), 0.5 + F.sqrt(F.coalesce("r.citationCount", F.lit(0.0))) / 200) - 0.02 * F.col("i"), F.col("r.abstract"), F.col("r.year").cast("string"))
+
+
+def pubmed(bodies: DataFrame) -> DataFrame:
+    x = _rows(bodies, "esearchresult struct<idlist:array<string>>", "esearchresult.idlist").where("i < 6")
+    return _out(x, F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), "r", F.lit("/")), None, F.lit(0.66))
+
+
+def mdn(bodies: DataFrame) -> DataFrame:
+    x = _rows(bodies, "documents array<struct<mdn_url:string,title:string,summary:string>>", "documents").where("i < 6")
+    return _out(x, F.concat(F.lit("https://developer.mozilla.org"), "r.mdn_url"), F.col("r.title"), 0.74 - 0.03 * F.col("i"), F.col("r.summary"))
+
+
+def npm(bodies: DataFrame) -> DataFrame:
+    x = _rows(bodies, "objects array<struct<package:struct<name:string,description:string>>>", "objects")
+    return _out(x, F.concat(F.lit("https://www.npmjs.com/package/"), "r.package.name"), F.col("r.package.name"), 0.62 - 0.03 * F.col("i"), F.col("r.package.description"))
+
+
+def pypi(bodies: DataFrame) -> DataFrame:
+    x = bodies.select("query_id", F.lit(0).alias("i"), F.from_json("body", "info struct<name:string,summary:string,package_url:string>").alias("j")).select("query_id", "i", "j.info")
+    url = F.coalesce("info.package_url", F.concat(F.lit("https://pypi.org/project/"), "info.name", F.lit("/")))
+    return _out(x, url, F.col("info.name"), F.lit(0.66), F.col("info.summary"))
+
+
+def crates(bodies: DataFrame) -> DataFrame:
+    x = _rows(bodies, "crates array<struct<name:string,description:string>>", "crates")
+    return _out(x, F.concat(F.lit("https://crates.io/crates/"), "r.name"), F.col("r.name"), 0.62 - 0.03 * F.col("i"), F.col("r.description"))
+
+
+def openlibrary(bodies: DataFrame) -> DataFrame:
+    x = _rows(bodies, "docs array<struct<key:string,title:string,author_name:array<string>,first_publish_year:int>>", "docs")
+    by = F.array_join(F.slice(F.coalesce("r.author_name", F.array().cast("array<string>")), 1, 2), ", ")
+    return _out(x, F.concat(F.lit("https://openlibrary.org"), "r.key"), F.col("r.title"), 0.60 - 0.03 * F.col("i"), by, F.col("r.first_publish_year").cast("string"))
+
+
+def reddit(bodies: DataFrame) -> DataFrame:
+    one = "permalink:string,title:string,selftext:string,ups:double,score:double"
+    a = F.from_json("body", f"data struct<children:array<struct<data:struct<{one}>>>>")
+    b = F.from_json("body", f"data array<struct<{one}>>")
+    posts = F.coalesce(F.transform(a["data"]["children"], lambda c: c["data"]), b["data"])
+    x = bodies.select("query_id", F.posexplode(posts).alias("i", "r"))
+    ups = F.coalesce("r.ups", "r.score", F.lit(0.0))
+    text = F.coalesce("r.selftext", F.lit(""))
+    return _out(x, F.concat(F.lit("https://www.reddit.com"), "r.permalink"), F.col("r.title"), F.least(F.lit(0.72), 0.40 + ups / 3000) - 0.01 * F.col("i"), F.substring(text, 1, 300), content=text, skip=F.length(text) > 300)
+
+
+def youtube(bodies: DataFrame) -> DataFrame:
+    """Videos in the page's JSON, in order, each id once, six at most."""
+    pairs = F.regexp_extract_all("body", F.lit(r'"videoRenderer":\{"videoId":"([\w-]{6,20})".*?"title":\{"runs":\[\{"text":"((?:[^"\\]|\\.)*)"'), F.lit(0))
+    x = bodies.select("query_id", F.posexplode(pairs).alias("p", "r"))
+    x = x.withColumns({"id": F.regexp_extract("r", r'"videoId":"([\w-]+)"', 1), "title": F.regexp_extract("r", r'"runs":\[\{"text":"((?:[^"\\]|\\.)*)"$', 1)})
+    x = x.groupBy("query_id", "id").agg(F.min(F.struct("p", "title")).alias("f"))
+    x = x.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy("f.p")) - 1).where("i < 6")
+    return _out(x, F.concat(F.lit("https://www.youtube.com/watch?v="), "id"), F.col("f.title"), 0.55 - 0.03 * F.col("i"))
+
+
+PARSERS = {f.__name__: f for f in (wikipedia, hn, stackoverflow, github, arxiv, semanticscholar, pubmed, mdn, npm, pypi, crates, openlibrary, reddit, youtube)}
+
+
+def parsed(answers: DataFrame, keep: int = 4) -> DataFrame:
+    """Candidates of all routes' answers (query_id, route, status, body): the first ``keep`` of each, source ``route:name``."""
+    out = None
+    for name, parse in PARSERS.items():
+        got = parse(answers.where((F.col("route") == name) & (F.col("status") == 200)).select("query_id", "body"))
+        n = F.row_number().over(Window.partitionBy("query_id").orderBy("i"))
+        got = got.withColumn("__n", n).where(F.col("__n") <= keep).drop("__n").withColumn("source", F.lit(f"route:{name}"))
+        out = got if out is None else out.unionByName(got)
+    return out

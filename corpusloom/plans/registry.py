@@ -1,11 +1,20 @@
-"""Named queries of the engine, each with the SQL that states the same rows."""
+"""Named queries of the engine, each with the SQL that states the same rows where SQL can."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from . import catalog
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents of every benchmark query by BM25."""
+    return catalog.QUERIES["bm25_docs"](spark, sf_dir)
+
 
 def queries() -> dict:
-    return {}
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(catalog.SQL)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text, urls
 from .functions import values as v
 from .operators import dedup, expand, extract, passages, ranking, serp
+from .operators.cut import kept
 from .plans import recall
 from .sources import stores
 
@@ -97,6 +98,7 @@ class Engine:
             q = q.withColumns({"intent": F.lit(None).cast("string"), "lang": F.lit(None).cast("string"), "expansions": F.array().cast("array<string>")})
         q = q.withColumns({"intent": F.coalesce("intent", "guessed_intent"), "lang": F.coalesce("lang", "guessed_lang"), "expansions": F.coalesce("expansions", F.array().cast("array<string>"))})
         q = q.withColumn("vocabularies", F.concat(F.array("words"), F.transform(F.slice("expansions", 1, 6), lambda e: F.array_distinct(text.tokens(e)))))
+        q = kept(q)
         if hubs is not None:
             pages = self.corpus.select(F.col("url").alias("src"), "links")
             links = hubs.join(pages, "src").select("query_id", "src", F.explode("links").alias("l")).select("query_id", "src", "l.url", "l.anchor", "l.context")
@@ -110,13 +112,14 @@ class Engine:
         if shown is not None:
             cands = dedup.unseen(cands, shown)
         cands = cands.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy("arrival"))).where(F.col("__n") <= most).drop("__n")
-        return self.ranked(q, cands, o)
+        return self.ranked(q, kept(cands), o)
 
     def ranked(self, q: DataFrame, cands: DataFrame, o: Options) -> DataFrame:
-        docs = stores.pages_of(cands, self.corpus.drop("links", "images", "favicon", "search_url")).where("status = 200")
+        docs = stores.pages_of(cands, self.corpus.drop("links", "images", "favicon", "search_url").withColumnRenamed("lang", "page_lang")).where("status = 200")
         docs = docs.withColumn("url", F.coalesce("final_url", "url"))
         docs = dedup.by_opening(dedup.by_address(docs)).withColumn("doc_id", F.col("url_key"))
         x = docs.join(q.drop("guessed_intent", "guessed_lang"), "query_id").withColumnRenamed("url", "address").withColumn("url", F.col("address"))
+        x = kept(x)
         anchors = urls.anchor_terms(F.col("address"))
         pool = passages.passages(x.select("query_id", "doc_id", "title", "description", "text", "terms", anchors.alias("anchors")))
         asked = q.select("query_id", F.concat_ws(" ", "query", F.array_join(F.slice("expansions", 1, 3), " ")).alias("text"))
@@ -126,11 +129,12 @@ class Engine:
         aspect = ranking.aspect_coverage(x.select("query_id", "doc_id", ident.alias("ident")), vocabs)
         blob = F.lower(F.concat_ws(" ", "title", "text"))
         rare = ranking.rare_coverage(x.select("query_id", "doc_id", blob.alias("blob")), q.select("query_id", F.transform(text.content_terms(F.col("query")), lambda t: F.lower(F.regexp_replace(t, '^"+|"+$', ""))).alias("terms")))
-        path = F.lower(F.concat_ws(" ", urls.decoded(urls.path_of(F.col("address"))), urls.fragment_of(F.col("address"))))
-        host = urls.host_of(F.col("address"))
+        x = x.withColumns({"__p": F.lower(F.concat_ws(" ", urls.decoded(urls.path_of(F.col("address"))), urls.fragment_of(F.col("address")))), "__h": urls.host_of(F.col("address"))})
+        path, host = F.col("__p"), F.col("__h")
         today = F.lit(o.today).cast("date") if o.today else F.current_date()
         navigational = F.col("intent") == "navigational"
-        dated = text.parse_date(F.col("published"))
+        x = x.withColumns({"__day": text.parse_date(F.col("published")), "site": urls.registrable(host)})
+        dated = F.col("__day")
         x = x.join(lex, ["query_id", "doc_id"], "left").join(aspect, ["query_id", "doc_id"], "left").join(rare, ["query_id", "doc_id"], "left")
         x = x.fillna({"bm25": 0.0, "aspect": 0.0, "rare": 0.0}).withColumns({
             "lex": ranking.minmax("bm25"),
@@ -140,8 +144,7 @@ class Engine:
             "covered": ranking.term_coverage(F.col("terms"), blob),
             "__title": text.best_fit(F.col("vocabularies"), F.array_distinct(text.tokens(F.lower("title")))),
             "__path": F.greatest(text.best_fit(F.col("vocabularies"), urls.path_words(path)), text.best_fit(F.col("vocabularies"), urls.path_parts(path))),
-            "host": text.host_fit(urls.registrable(host), F.array_distinct(F.flatten("vocabularies"))),
-            "site": urls.registrable(host),
+            "host": text.host_fit(F.col("site"), F.array_distinct(F.flatten("vocabularies"))),
             "authority": urls.authority(host),
             "consensus": (F.least(F.col("consensus"), F.lit(3)) - 1) / 2.0,
             "prior": F.coalesce("prior", F.lit(0.5)),
@@ -154,13 +157,13 @@ class Engine:
         })
         x = x.withColumn("orphan", F.when(~navigational & (F.greatest("__title", "__path", "host") < v.ORPHAN_FIT), 1.0).otherwise(0.0))
         w = ranking.weights(F.col("intent"), F.col("lang"), F.col("recent") | (F.size("years") > 0), o.weights)
-        kept = x.withColumns({"heading": F.col("title"), "title": F.col("__title"), "url": F.col("__path")})
-        s = ranking.fused(kept, w).drop("title", "url").withColumnRenamed("heading", "title").withColumn("url", F.col("address"))
+        named = x.withColumns({"heading": F.col("title"), "title": F.col("__title"), "url": F.col("__path")})
+        s = ranking.fused(named, w).drop("title", "url").withColumnRenamed("heading", "title").withColumn("url", F.col("address"))
         if o.after or o.before:
             day = text.parse_date(F.col("published"))
             inside = (day >= F.lit(o.after or "0001-01-01").cast("date")) & (day <= F.lit(o.before or "9999-12-31").cast("date"))
             s = s.where(F.coalesce(inside, F.lit(not o.require_date)))
-        s = s.withColumn("cap", F.when(navigational, 4).otherwise(0))
+        s = kept(s.withColumn("cap", F.when(navigational, 4).otherwise(0)))
         rows = serp.assembled(s, o.top_k, o.max_per_host, o.min_relevance)
         full = rows.join(s.select("query_id", "url", "doc_id", "title", "published", "site", "text", "description", "terms"), ["query_id", "url"])
         cut = passages.windows(full.select("query_id", "doc_id", "text", F.col("description").alias("seed"), "terms"), o.snippet_chars, o.snippet_windows)

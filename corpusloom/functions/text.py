@@ -22,6 +22,11 @@ def _accents() -> tuple[str, str]:
 ACCENTS = _accents()
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it; keeps expressions small."""
+    return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
+
+
 def _empty() -> Column:
     return F.array().cast("array<string>")
 
@@ -174,7 +179,7 @@ def overlap(hits: Column, left: Column, right: Column) -> Column:
 
 
 def dice(a: Column, b: Column) -> Column:
-    return overlap(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
+    return let(F.size(F.array_intersect(a, b)), lambda n: overlap(n, F.size(a), F.size(b)))
 
 
 def _worth(t: Column, u: Column) -> Column:
@@ -186,34 +191,38 @@ def _worth(t: Column, u: Column) -> Column:
 
 def compound_fit(q: Column, field: Column) -> Column:
     """Overlap where a word inside a longer word counts a little less than an equal one."""
-    def best(xs: Column, ys: Column, flip: bool) -> Column:
-        return F.aggregate(F.transform(xs, lambda x: F.coalesce(F.array_max(F.transform(ys, lambda y: _worth(y, x) if flip else _worth(x, y))), F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
+    def hits(xs: Column, ys: Column, flip: bool) -> Column:
+        best = F.transform(xs, lambda x: F.coalesce(F.array_max(F.transform(ys, lambda y: _worth(y, x) if flip else _worth(x, y))), F.lit(0.0)))
+        return F.aggregate(best, F.lit(0.0), lambda a, b: a + b)
+
+    def value(fq: Column, ff: Column) -> Column:
+        return F.pow(hits(fq, ff, False) / F.size(fq), F.lit(0.75)) * F.pow(F.least(F.lit(1.0), hits(ff, fq, True) / F.size(ff)), F.lit(0.25))
 
-    fq, ff = F.transform(q, lambda t: fold(t)), F.transform(field, lambda t: fold(t))
-    hits, back = best(fq, ff, False), best(ff, fq, True)
-    value = F.pow(hits / F.size(q), F.lit(0.75)) * F.pow(F.least(F.lit(1.0), back / F.size(field)), F.lit(0.25))
-    return F.when((F.size(q) > 0) & (F.size(field) > 0) & (hits > 0), value).otherwise(0.0)
+    whole = let(F.transform(q, lambda t: fold(t)), lambda fq: let(F.transform(field, lambda t: fold(t)), lambda ff: value(fq, ff)))
+    return F.when((F.size(q) > 0) & (F.size(field) > 0), whole).otherwise(0.0)
 
 
 def field_fit(q: Column, field: Column) -> Column:
     """Best of exact overlap, compound overlap and gram overlap (worth less); bags must be distinct."""
-    exact = dice(q, field)
-    return F.when(exact >= v.SOFT, exact).otherwise(F.greatest(exact, compound_fit(q, field), v.SOFT * dice(gram_set(q), gram_set(field))))
+    soft = lambda: let(gram_set(q), lambda a: let(gram_set(field), lambda b: v.SOFT * dice(a, b)))
+    return let(dice(q, field), lambda exact: F.when(exact >= v.SOFT, exact).otherwise(F.greatest(exact, compound_fit(q, field), soft())))
 
 
 def best_fit(vocabularies: Column, field: Column) -> Column:
     """Best fit of any one vocabulary, never of their union."""
-    return F.coalesce(F.array_max(F.transform(vocabularies, lambda q: field_fit(q, field))), F.lit(0.0))
+    return let(field, lambda f: F.coalesce(F.array_max(F.transform(vocabularies, lambda q: field_fit(q, f))), F.lit(0.0)))
 
 
 def host_fit(domain: Column, q: Column) -> Column:
     """How much of a registered domain's own name the query's words cover."""
-    label = F.regexp_replace(F.regexp_replace(domain, r"\.[^.]*$", ""), r"[-._]", "")
-    terms = F.filter(q, lambda t: F.length(t) >= 3)
-    hits = F.filter(terms, lambda t: F.contains(label, t))
-    covered = F.aggregate(hits, F.lit(0), lambda a, t: a + F.length(t))
-    value = F.pow(F.size(hits) / F.size(terms), F.lit(0.6)) * F.pow(F.least(F.lit(1.0), covered / F.length(label)), F.lit(0.9))
-    return F.when((F.length(label) >= 3) & (F.size(hits) > 0), value).otherwise(0.0)
+    def value(label: Column, terms: Column) -> Column:
+        hits = F.filter(terms, lambda t: F.contains(label, t))
+        covered = F.aggregate(hits, F.lit(0), lambda a, t: a + F.length(t))
+        got = F.pow(F.size(hits) / F.size(terms), F.lit(0.6)) * F.pow(F.least(F.lit(1.0), covered / F.length(label)), F.lit(0.9))
+        return F.when((F.length(label) >= 3) & (covered > 0), got).otherwise(0.0)
+
+    own = F.regexp_replace(F.regexp_replace(domain, r"\.[^.]*$", ""), r"[-._]", "")
+    return let(own, lambda label: let(F.filter(q, lambda t: F.length(t) >= 3), lambda terms: value(label, terms)))
 
 
 def parse_date(s: Column) -> Column:

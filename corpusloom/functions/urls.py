@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import values as v
-from .text import tokens
+from .text import let, tokens
 
 
 def _set(words) -> Column:
@@ -49,6 +49,10 @@ def bare(host: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """One spelling for each page: https, no www., port, fragment, tracking or trailing slash; parameters sorted."""
+    return let(url, _canonical)
+
+
+def _canonical(url: Column) -> Column:
     kept = F.array_sort(F.filter(F.split(query_of(url), "&"), lambda p: (p != "") & ~F.rlike(F.lower(F.regexp_extract(p, "^([^=]*)", 1)), F.lit(v.TRACKING))))
     query = F.array_join(kept, "&")
     path = F.regexp_replace(decoded(path_of(url)), "/+$", "")
@@ -58,13 +62,12 @@ def canonical_url(url: Column) -> Column:
 
 def registrable(host: Column) -> Column:
     """Registered domain, approximately: two labels, three under a registry's second level or a shared host."""
-    host = bare(host)
-    parts = F.split(host, r"\.")
-    n = F.size(parts)
-    tail = lambda k: F.array_join(F.slice(parts, n - (k - 1), k), ".")
-    second = F.when(n > 2, F.get(parts, n - 2))
-    three = (second.isin(*v.REGISTRY_SLD) & (F.length(F.get(parts, n - 1)) == 2)) | tail(2).isin(*v.MULTI_TENANT)
-    return F.when(n <= 2, host).when(three, tail(3)).otherwise(tail(2))
+    def of(parts: Column, n: Column) -> Column:
+        tail = lambda k: F.array_join(F.slice(parts, n - (k - 1), k), ".")
+        three = (F.get(parts, n - 2).isin(*v.REGISTRY_SLD) & (F.length(F.get(parts, n - 1)) == 2)) | tail(2).isin(*v.MULTI_TENANT)
+        return F.when(n <= 2, F.array_join(parts, ".")).when(three, tail(3)).otherwise(tail(2))
+
+    return let(F.split(bare(host), r"\."), lambda parts: of(parts, F.size(parts)))
 
 
 def suffixes(host: Column) -> Column:
@@ -85,9 +88,11 @@ def authority(host: Column) -> Column:
 
 def path_words(path: Column) -> Column:
     """Whole slugs of a path, and each without a file extension; no path furniture. Sorted and distinct."""
-    whole = F.filter(tokens(path), lambda t: ~t.isin(*v.PATH_STOP))
-    base = F.transform(F.filter(whole, lambda t: F.regexp_extract(t, r"^.+\.([^.]*)$", 1).isin(*v.PATH_STOP)), lambda t: F.regexp_extract(t, r"^(.+)\.[^.]*$", 1))
-    return F.array_sort(F.array_distinct(F.concat(whole, base)))
+    def of(whole: Column) -> Column:
+        base = F.transform(F.filter(whole, lambda t: F.regexp_extract(t, r"^.+\.([^.]*)$", 1).isin(*v.PATH_STOP)), lambda t: F.regexp_extract(t, r"^(.+)\.[^.]*$", 1))
+        return F.array_sort(F.array_distinct(F.concat(whole, base)))
+
+    return let(F.filter(tokens(path), lambda t: ~t.isin(*v.PATH_STOP)), of)
 
 
 def path_parts(path: Column) -> Column:
@@ -135,9 +140,10 @@ def locale_of(path: Column) -> Column:
 def dedup_key(url: Column, canonical: Column) -> Column:
     """The declared canonical address if it is on the same site and as deep, else the address itself."""
     c = F.coalesce(canonical, F.lit(""))
-    cpath, upath = F.regexp_replace(path_of(c), "/+$", ""), F.regexp_replace(path_of(url), "/+$", "")
     slashes = lambda p: F.length(p) - F.length(F.replace(p, F.lit("/")))
-    ok = F.rlike(c, F.lit("(?i)^https?://")) & (cpath != "") & (registrable(host_of(c)) == registrable(host_of(url))) & (slashes(cpath) == slashes(upath))
+    deep = lambda x, y: (x != "") & (slashes(x) == slashes(y))
+    trimmed = lambda u: F.regexp_replace(path_of(u), "/+$", "")
+    ok = F.rlike(c, F.lit("(?i)^https?://")) & (registrable(host_of(c)) == registrable(host_of(url))) & let(trimmed(c), lambda x: let(trimmed(url), lambda y: deep(x, y)))
     return F.when(ok, c).otherwise(url)
 
 

@@ -11,11 +11,13 @@ from ..functions import values as v
 
 def link_fit(vocabularies: Column, url: Column, anchor: Column, context: Column, years: Column) -> Column:
     """How well a link says that it is the page a query wants: anchor, then address, then the sentence around it; the period decides between equals."""
-    path = F.lower(urls.decoded(urls.path_of(url)))
-    by_path = F.greatest(text.best_fit(vocabularies, urls.path_words(path)), text.best_fit(vocabularies, urls.path_parts(path)))
-    fit = F.greatest(text.best_fit(vocabularies, text.content_bag(anchor)), 0.85 * by_path, 0.6 * text.best_fit(vocabularies, text.content_bag(context)))
-    d = text.date_fit(F.lit(None).cast("date"), path, anchor, years)
-    return F.when(d > 0, fit * (1 + 0.6 * d)).otherwise(fit + 0.30 * d)
+    def of(path: Column) -> Column:
+        by_path = F.greatest(text.best_fit(vocabularies, urls.path_words(path)), text.best_fit(vocabularies, urls.path_parts(path)))
+        fit = F.greatest(text.best_fit(vocabularies, text.content_bag(anchor)), 0.85 * by_path, 0.6 * text.best_fit(vocabularies, text.content_bag(context)))
+        d = text.date_fit(F.lit(None).cast("date"), path, anchor, years)
+        return text.let(fit, lambda f: text.let(d, lambda d: F.when(d > 0, f * (1 + 0.6 * d)).otherwise(f + 0.30 * d)))
+
+    return text.let(F.lower(urls.decoded(urls.path_of(url))), of)
 
 
 def scored_links(links: DataFrame, queries: DataFrame) -> DataFrame:

@@ -143,6 +143,6 @@ def parse_judgement(answers: DataFrame, n: int = 8) -> DataFrame:
     line = r"(?im)^\s*PAGES?\s*:\s*([0-9][0-9 ,]*)\s*$"
     found = F.regexp_extract("answer", line, 1)
     nums = F.filter(F.transform(F.split(F.trim(found), "[ ,]+"), lambda t: F.try_to_number(t, F.lit("999999999")).cast("int")), lambda i: i.isNotNull() & (i >= 1) & (i <= n))
-    return answers.withColumns({"pages": F.array_distinct(nums), "body": F.trim(F.regexp_replace("answer", line, ""))})
+    return answers.withColumns({"pages": F.array_distinct(nums), "body": F.regexp_replace(F.regexp_replace("answer", line, ""), r"^\s+|\s+$", "")})
 
 

@@ -29,10 +29,10 @@ def test_ids_are_the_models_own_and_decode():
 def test_samples_are_distinct_whole_and_sorted():
     for t in TEXTS:
         lat, (paths, threshold) = drawn(t, 7, 5)
-        seen = {tuple(lat.ids(p.edges).tolist()) for p in paths}
+        seen = {tuple(lat.ids(p[0]).tolist()) for p in paths}
         assert len(seen) == len(paths) and (len(paths) == 5 or not t or threshold == -math.inf)
-        assert all(MODEL.decode(lat.ids(p.edges).tolist()) == t for p in paths)
-        values = [p.value for p in paths]
+        assert all(MODEL.decode(lat.ids(p[0]).tolist()) == t for p in paths)
+        values = [p[2] for p in paths]
         assert values == sorted(values, reverse=True) and (not values or threshold <= values[-1])
 
 
@@ -42,7 +42,7 @@ def every(run):
         return
     for n in range(1, len(run) + 1):
         i = MODEL.known.get(run[:n])
-        w = MODEL.weight[i] if i is not None else MODEL.unknown if n == 1 else None
+        w = math.exp(MODEL.weight[i]) if i is not None else math.exp(MODEL.unknown) if n == 1 else None
         if w:
             for rest, v in every(run[n:]):
                 yield (i, *rest), w * v
@@ -57,13 +57,13 @@ def test_probabilities_and_order_follow_the_lattice():
     z = sum(total.values())
     p = {k: v / z for k, v in total.items()}
     lat, (paths, threshold) = drawn(text, 3, len(p) + 5)
-    assert {tuple(lat.ids(x.edges).tolist()) for x in paths} == set(p) and threshold == -math.inf
+    assert {tuple(lat.ids(x[0]).tolist()) for x in paths} == set(p) and threshold == -math.inf
     for x in paths:
-        assert abs(math.exp(x.before[-1] + lat.logp[x.edges[-1]]) - p[tuple(lat.ids(x.edges).tolist())]) < 1e-9
+        assert abs(math.exp(x[1]) - p[tuple(lat.ids(x[0]).tolist())]) < 1e-9
     first, pair, n = collections.Counter(), collections.Counter(), 6000
     for seed in range(n):
         got = pieces.sample(lat, lat.numbers([runs]), np.array([seed * 7919 + 1], np.uint64), 2)[0][0]
-        a, b = (tuple(lat.ids(x.edges).tolist()) for x in got)
+        a, b = (tuple(lat.ids(x[0]).tolist()) for x in got)
         first[a] += 1
         pair[b] += 1
     top = sorted(p, key=p.get, reverse=True)[:6]

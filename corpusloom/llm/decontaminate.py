@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-STRETCH = 128  # words of a document whose postings are made together; each posting carries its stretch and the words around it
 BROADCAST_WINDOWS = 200_000  # windows of ten words are some 100 bytes each
 
 
@@ -48,7 +47,7 @@ def _anchors(docs: DataFrame, wins: DataFrame, terms: int) -> DataFrame:
     """Windows grouped by the number of their rarest term: key, wins of (item, off, ws)."""
     placed = wins.select("item", "ws", F.posexplode("ws").alias("off", "w")).select("item", "ws", "off", _key(F.col("w")).alias("key"))
     known = placed.select("key").distinct()
-    seen = docs.select(F.explode("ws").alias("w")).select(_key(F.col("w")).alias("key")).join(_sized(known, terms), "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    seen = docs.select(F.explode_outer("ws").alias("w")).select(_key(F.col("w")).alias("key")).join(_sized(known, terms), "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     rarest = placed.join(seen, "key").groupBy("item", "ws").agg(F.count(F.lit(1)).alias("have"), F.min(F.struct("n", "off", "key")).alias("r")).where(F.col("have") == F.size("ws"))  # else some word occurs nowhere
     return rarest.groupBy(F.col("r.key").alias("key")).agg(F.collect_list(F.struct("item", F.col("r.off").alias("off"), "ws")).alias("wins"))
 
@@ -63,23 +62,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     wins = windows(benchmark, item_col, item_text, n)
     count = wins.agg(F.count(F.lit(1)), F.sum(F.size("ws"))).first()
     anchors = _anchors(d, wins, count[1] or 0)
-
-    def stretch(at: Column) -> Column:
-        low = F.greatest(at - (n - 1 + slop), F.lit(0))
-        return F.struct(at.alias("at"), low.alias("low"), F.slice("ws", low + 1, at - low + (STRETCH + n - 1 + slop)).alias("seg"))
-
-    cut = d.where("size(ws) > 0").select("id", "h", F.transform(F.sequence(F.lit(0), F.size("ws") - 1, F.lit(STRETCH)), stretch).alias("s"))
-    cut = cut.select("id", "h", F.explode("s").alias("s")).select("id", "h", "s.at", "s.low", "s.seg")  # no row carries more than its stretch
-    postings = cut.select("id", "h", "at", "low", "seg", F.posexplode(F.slice("seg", F.col("at") - F.col("low") + 1, STRETCH)).alias("p", "w"))
-    postings = postings.select("id", "h", "low", "seg", (F.col("p") + F.col("at") - F.col("low")).alias("pos"), _key(F.col("w")).alias("key"))
-    hit = postings.join(_sized(anchors, count[0]), "key")
+    # one generated loop: what leaves it is a posting that some window looks up, with the words around it
+    reach = n - 1 + slop
+    postings = d.select("id", "h", "ws", F.posexplode_outer("ws").alias("pos", "w")).select("id", "h", "ws", "pos", _key(F.col("w")).alias("key"))
+    low = F.greatest(F.col("pos") - reach, F.lit(0))
+    # the row number, always true, keeps the optimiser from moving the verification into the join, which would then leave the generated loop and copy whole documents
+    near = F.when(F.monotonically_increasing_id() >= 0, F.slice("ws", low + 1, F.col("pos") - low + reach + 1))
+    hit = postings.join(_sized(anchors, count[0]), "key").select("id", "h", "pos", low.alias("low"), near.alias("near"), "wins")
+    hit = hit.withColumn("near", F.transform("near", lambda w: F.translate(w, UPPER, LOWER)))
 
     def stands(c: Column) -> Column:
         start, size = F.col("pos") - c["off"], F.size(c["ws"])
-        low = F.transform(F.slice("seg", F.greatest(start - slop, F.lit(0)) + 1, size + 2 * slop), lambda w: F.translate(w, UPPER, LOWER))
-        return (start >= 0) & (start + size <= F.size("seg")) & ((low == c["ws"]) if not slop else (F.size(F.array_except(c["ws"], low)) == 0))
+        own = F.slice("near", F.greatest(start - slop - F.col("low"), F.lit(0)) + 1, size + 2 * slop)
+        return (start >= 0) & (start + size <= F.col("low") + F.size("near")) & ((own == c["ws"]) if not slop else (F.size(F.array_except(c["ws"], own)) == 0))
 
-    found = F.transform(F.filter("wins", stands), lambda c: F.struct(c["item"].alias("item"), (F.col("low") + F.col("pos") - c["off"]).alias("start"), F.size(c["ws"]).alias("len")))
+    found = F.transform(F.filter("wins", stands), lambda c: F.struct(c["item"].alias("item"), (F.col("pos") - c["off"]).alias("start"), F.size(c["ws"]).alias("len")))
     return hit.select("id", "h", found.alias("found")).where("size(found) > 0")
 
 

@@ -27,6 +27,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 START, LITERAL = "▁", "\udfff"  # a lone surrogate, which no text holds, stands for a literal U+2581 meanwhile
 RUN = re.compile(f"{START}+[^{START}]*")
 SAMPLES, ALPHA, OFFSET = 3, 1.0, 10.0
-GROUP, NODES = 128, 1_200_000  # documents taken together; lattice nodes that a task remembers
+GROUP, GROUP_CHARS, NODES = 256, 2_000_000, 1_200_000  # documents and characters taken together; lattice nodes that a task remembers
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,8 +76,7 @@ class Model:
         self.table: list[bytes] = []
         self.known: dict[str, int] = {}
         ordinary = 0
-        self.weight = [0.0] * n
-        self.scale = math.log(n + OFFSET) * 0.4 * alpha  # a factor per character keeps sums near 1; it cancels
+        self.weight = np.zeros(n)  # logarithms
         for i in range(n):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -87,10 +87,28 @@ class Model:
             else:
                 self.table.append(piece.replace(START, " ").encode())
                 self.known[piece] = i
-                self.weight[i] = math.exp(alpha * -math.log(ordinary + OFFSET) + self.scale * len(piece))
+                self.weight[i] = -alpha * math.log(ordinary + OFFSET)
                 ordinary += 1
-        self.unknown = math.exp(alpha * -3 * math.log(n + OFFSET) + self.scale)
-        self.prefix = dict.fromkeys((p[:k] for p in self.known for k in range(1, len(p))), -1) | self.known
+        self.unknown = -3 * alpha * math.log(n + OFFSET)
+        self.bytes = np.frombuffer(b"".join(self.table), np.uint8)
+        self.bytes0 = np.cumsum([0, *map(len, self.table)])
+        self._plant()
+
+    def _plant(self) -> None:
+        """The pieces as a trie in sorted arrays: (state, character) to state, and each state's piece or -1."""
+        states, piece = {"": 0}, [-1]
+        moves: dict[int, int] = {}
+        for text, i in self.known.items():
+            for k in range(1, len(text) + 1):
+                if text[:k] not in states:
+                    states[text[:k]] = len(piece)
+                    moves[states[text[: k - 1]] << 21 | ord(text[k - 1])] = len(piece)
+                    piece.append(-1)
+            piece[states[text]] = i
+        self.moves = np.array(sorted(moves), np.int64)
+        self.target = np.array([moves[m] for m in self.moves.tolist()], np.int64)
+        self.piece = np.array(piece, np.int64)
+        self.longest = max(map(len, self.known))
 
     def runs(self, text: str) -> list[str]:
         if not text:
@@ -124,18 +142,38 @@ class Model:
 
     def decode(self, ids) -> str:
         """The text of ids, without the space that stands for the start of the text."""
-        raw = b"".join([self.table[i] for i in ids])
+        raw = _gathered(self.bytes, self.bytes0, np.asarray(ids, np.int64)).tobytes()
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.own_ids(self.runs(text)) for i in ids]
 
 
+class Table:
+    """An array that grows by doubling."""
+
+    def __init__(self, kind) -> None:
+        self.held, self.n = np.zeros(1 << 16, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros(max(len(self.held), len(x)), self.held.dtype)])
+        self.held[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
+def _gathered(flat: np.ndarray, offset: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Stretches of ``flat`` one after the other; stretch i is from ``offset[i]`` up to ``offset[i + 1]``."""
+    first, size = offset[which], offset[which + 1] - offset[which]
+    stop = np.cumsum(size)
+    return flat[np.repeat(first - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+
+
 class Lattices:
-    """Lattices of runs, as arrays: a node for each place in a run, edges sorted by falling probability.
+    """Lattices of runs, as arrays: a node for each place in a run, its edges together.
 
     ``cum`` holds, for each edge, its node's number plus the probability of it and the edges
-    before it, so that one binary search draws an edge for any node.
+    before it: an edge is drawn by walking a node's few edges.
     """
 
     def __init__(self, model: Model) -> None:
@@ -144,93 +182,115 @@ class Lattices:
 
     def clear(self) -> None:
         self.of: dict[str, int] = {}
-        self.own: list[list[int]] = []
-        self.first_node: list[int] = []
-        self.runs: list[str] = []
-        self.parts: list[list] = [[], [], [], [], [], []]
-        self.n_nodes = self.n_edges = 0
-        self.arrays: list[np.ndarray] = [np.zeros(0, t) for t in (np.float64, np.int32, np.int32, np.float64, np.int64, np.int32)]
-        self.cum, self.step, self.id, self.logp, self.edge0, self.left = self.arrays
-        self.first = np.zeros(0, np.int64)
+        kinds = {"cum": np.float64, "logp": np.float64, "step": np.int32, "id": np.int32, "left": np.int32, "first": np.int64, "edge0": np.int64, "own": np.int32, "own0": np.int64}
+        self.tables = {k: Table(t) for k, t in kinds.items()}
+        self.tables["own0"].add(np.zeros(1, np.int64))
+        self._see()
+
+    def _see(self) -> None:
+        for k, t in self.tables.items():
+            setattr(self, k, t.held)
 
     def numbers(self, docs: list[list[str]]) -> list[np.ndarray]:
         """Each document's runs by number; new runs get lattices."""
-        if self.n_nodes > NODES:
+        if self.tables["left"].n > NODES:
             self.clear()
-        fresh = dict.fromkeys(r for d in docs for r in d if r not in self.of)
-        for r in fresh:
-            self._add(r)
+        fresh = list(dict.fromkeys(r for d in docs for r in d if r not in self.of))
         if fresh:
-            self.own += self.model.own_ids(list(fresh))
-            self.arrays = [np.concatenate([a, np.array(p, a.dtype)]) for a, p in zip(self.arrays, self.parts, strict=True)]
-            self.parts = [[], [], [], [], [], []]
-            self.cum, self.step, self.id, self.logp, self.edge0, self.left = self.arrays
-            self.first = np.array(self.first_node, np.int64)
+            self.of |= dict(zip(fresh, range(len(self.of), len(self.of) + len(fresh)), strict=True))
+            own = self.model.own_ids(fresh)
+            size = np.fromiter(map(len, own), np.int64, len(own))
+            self.tables["own0"].add(self.tables["own"].n + np.cumsum(size))
+            self.tables["own"].add(np.fromiter(chain.from_iterable(own), np.int32, int(size.sum())))
+            self._add(fresh)
+            self._see()
         return [np.fromiter(map(self.of.__getitem__, d), np.int64, len(d)) for d in docs]
 
-    def _add(self, run: str) -> None:
-        model, n = self.model, len(run)
-        known, weight = model.prefix, model.weight
-        beta = [0.0] * n + [1.0]
-        nodes: list[list[tuple[float, int, int]]] = [[] for _ in range(n)]
-        for j in range(n - 1, -1, -1):
-            edges, total, single = nodes[j], 0.0, False
-            for stop in range(j + 1, n + 1):
-                i = known.get(run[j:stop])
-                if i is None:
-                    break
-                if i >= 0:
-                    x = weight[i] * beta[stop]
-                    single |= stop == j + 1
-                    edges.append((x, stop - j, i))
-                    total += x
-            if not single:
-                x = model.unknown * beta[j + 1]
-                edges.append((x, 1, -1 - ord(run[j])))
-                total += x
-            beta[j] = total
-            if not 1e-80 < total < 1e80:
-                for k in range(j, min(n, j + 40) + 1):
-                    beta[k] /= total
-                edges[:] = [(x / total, k, i) for x, k, i in edges]
-        self.of[run] = len(self.first_node)
-        self.first_node.append(self.n_nodes)
-        self.runs.append(run)
-        cum, step, ids, logp, edge0, left = self.parts
-        log = math.log
-        for j, edges in enumerate(nodes):
-            edges.sort(reverse=True)
-            total = sum(e[0] for e in edges)
-            edge0.append(self.n_edges)
-            left.append(n - j)
-            node, at = self.n_nodes + j, 0.0
-            for x, k, i in edges:
-                at += x / total
-                cum.append(node + min(at, 1.0))
-                step.append(k)
-                ids.append(i)
-                logp.append(log(x / total) if x > 0 else -745.0)
-            cum[-1] = node + 1.0
-            self.n_edges += len(edges)
-        edge0.append(self.n_edges)
-        left.append(0)
-        self.n_nodes += n + 1
+    def own_ids(self, doc: np.ndarray) -> np.ndarray:
+        """The model's own ids of a document's runs."""
+        return _gathered(self.own, self.own0, doc)
+
+    def _add(self, runs: list[str]) -> None:
+        """Builds the lattices of all new runs at once: a walk of the trie from all places, then sums from the ends."""
+        model = self.model
+        size = np.fromiter(map(len, runs), np.int64, len(runs))
+        start = np.cumsum(size + 1) - size - 1
+        n = int((size + 1).sum())
+        left = np.repeat(start + size, size + 1) - np.arange(n)
+        chars = np.zeros(n + model.longest, np.int64)
+        chars[:n][left > 0] = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), np.uint32)
+        src, step, ids = [], [], []
+        at, state = np.flatnonzero(left > 0), np.zeros(int(size.sum()), np.int64)
+        for k in range(1, model.longest + 1):
+            key = state << 21 | chars[at + k - 1]
+            i = np.minimum(np.searchsorted(model.moves, key), len(model.moves) - 1)
+            known = model.moves[i] == key
+            found = np.where(known, model.piece[model.target[i]], -1)
+            if k == 1:
+                found = np.where(found < 0, -1 - chars[at], found)  # a character without a piece
+                src.append(at)
+                ids.append(found)
+                step.append(np.ones(len(at), np.int64))
+            else:
+                hit = found >= 0
+                src.append(at[hit])
+                ids.append(found[hit])
+                step.append(np.full(int(hit.sum()), k))
+            on = known & (left[at] > k)
+            at, state = at[on], model.target[i[on]]
+            if not len(at):
+                break
+        src, ids, step = np.concatenate(src), np.concatenate(ids), np.concatenate(step)
+        order = np.argsort(src, kind="stable")
+        src, ids, step = src[order], ids[order], step[order]
+        weight = np.where(ids >= 0, model.weight[np.maximum(ids, 0)], model.unknown)
+        value, beta = np.empty(len(src)), np.zeros(n)
+        far = left[src]
+        by = np.argsort(far, kind="stable")
+        bounds = np.searchsorted(far[by], np.arange(1, int(size.max(initial=0)) + 2))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            e = by[a:b]
+            if not len(e):
+                continue
+            own = src[e]
+            x = weight[e] + beta[own + step[e]]
+            value[e] = x
+            new = own[1:] != own[:-1]
+            cut = np.flatnonzero(np.append(True, new))
+            top = np.maximum.reduceat(x, cut)
+            total = np.add.reduceat(np.exp(x - top[np.append(0, np.cumsum(new))]), cut)
+            beta[own[cut]] = top + np.log(total)
+        logp = np.minimum(value - beta[src], 0.0)
+        p = np.exp(logp)
+        count = np.bincount(src, minlength=n)
+        edge0 = np.cumsum(count) - count
+        live = np.flatnonzero(count)
+        base_node, base_edge = self.tables["left"].n, self.tables["cum"].n
+        run = np.cumsum(p)
+        cum = run - (run - p)[edge0[src]] + src
+        cum[(edge0 + count - 1)[live]] = live + 1.0
+        new = {"cum": cum + base_node, "logp": np.where(count[src] == 1, 0.0, logp), "step": step, "id": ids, "left": left, "edge0": edge0 + base_edge, "first": start + base_node}
+        for k, x in new.items():
+            self.tables[k].add(x)
 
     def draw(self, nodes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Segmentations from nodes to the ends of their runs: edges in order, and how many for each node."""
         count = np.zeros(len(nodes), np.int64)
-        taken, live, at, turn = [], np.flatnonzero(self.left[nodes] > 0), nodes.copy(), 0
-        while len(live):
-            node = at[live]
-            u = _uniform(key[live] + np.uint64(turn << 1))
+        order = np.argsort(nodes, kind="stable")  # equal runs side by side, so tables are read in order
+        rows = order[self.left[nodes[order]] > 0]
+        node, taken, turn = nodes[rows], [], 0
+        while len(rows):
+            u = _uniform(key[rows] + np.uint64(turn << 1)) + node
             edge = self.edge0[node]
-            other = np.flatnonzero(u > self.cum[edge] - node)
-            if len(other):
-                edge[other] = np.searchsorted(self.cum, node[other] + u[other], side="left")
-            taken.append((live, edge))
-            count[live] += 1
-            at[live] = node + self.step[edge]
-            live = live[self.left[at[live]] > 0]
+            more = np.flatnonzero(u > self.cum[edge])
+            while len(more):
+                edge[more] += 1
+                more = more[u[more] > self.cum[edge[more]]]
+            taken.append((rows, edge))
+            count[rows] += 1
+            node = node + self.step[edge]
+            on = self.left[node] > 0
+            rows, node = rows[on], node[on]
             turn += 1
         base = np.cumsum(count) - count
         out = np.empty(int(count.sum()), np.int64)
@@ -251,13 +311,9 @@ class Lattices:
         return np.concatenate([*parts, i[low:]])
 
 
-class Path:
-    """One sampled segmentation of a document and the regions that part from it."""
-
-    __slots__ = ("edges", "run", "node", "before", "value", "region", "used")
-
-    def __init__(self, edges, run, node, before, value, region) -> None:
-        self.edges, self.run, self.node, self.before, self.value, self.region, self.used = edges, run, node, before, value, region, {}
+#: The noise of 53-bit uniform numbers is at most this, so a region whose log mass is further below can't be reached.
+MOST_NOISE = 37.5
+FIRST = 384  # pieces looked at first
 
 
 def _keys(seed: np.ndarray | np.uint64, sample: int, run: np.ndarray) -> np.ndarray:
@@ -265,98 +321,125 @@ def _keys(seed: np.ndarray | np.uint64, sample: int, run: np.ndarray) -> np.ndar
         return _mixed(seed + np.uint64(sample) * GOLD) ^ (run.astype(np.uint64) << np.uint64(24))
 
 
-def _opened(lat: Lattices, edges, run, node, low: int, before: float, bound: float, seed, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability before each edge from ``low`` on, and the value of the region that parts there."""
-    lp = lat.logp[edges[low:]]
-    total = before + np.cumsum(lp) - lp
-    with np.errstate(divide="ignore"):
-        mass = total + np.log(np.maximum(-np.expm1(lp), 0.0))
-        turn = np.arange(low, len(edges), dtype=np.uint64)
-        region = _cut_off(mass + _gumbel(_keys(seed, sample, turn) ^ np.uint64(1 << 62)), np.full(len(lp), bound))
-    return total, np.where(lp > -1e-12, -np.inf, region)
+class Paths:
+    """One sampled segmentation of each of some documents, and the regions that part from its first pieces.
+
+    ``region``, ``node`` and ``run`` have a row a document and a column a piece. Masses fall
+    along a path. Where even the most noise can't bring a region to ``least``, a value that
+    ``keep`` other regions of the document are sure to have, regions are left out: they are
+    never popped and are never the threshold.
+    """
+
+    def __init__(self, lat: Lattices, docs: list[np.ndarray], edges: list[np.ndarray], run: list[np.ndarray], low: np.ndarray, value: np.ndarray, seeds: np.ndarray, sample: int, least: np.ndarray, keep: int) -> None:
+        self.edges, self.value = edges, value
+        size = np.fromiter(map(len, edges), np.int64, len(edges))
+        start = np.cumsum(size) - size
+        flat = np.concatenate([*edges, np.zeros(1, np.int64)])
+        lp = lat.logp[flat]
+        lp[-1] = 0.0
+        self.log_prob = np.add.reduceat(lp, np.minimum(start, len(lp) - 1)) * (size > 0)
+        runs = np.concatenate([*run, np.zeros(1, np.int64)])
+        doc_run = np.cumsum([0, *map(len, docs)])[:-1]
+        step = lat.step[flat].astype(np.int64)
+        done = np.cumsum(step) - step
+        new = np.append(True, runs[1:] != runs[:-1])
+        new[start[size > 0]] = True
+        since = done - np.maximum.accumulate(np.where(new, done, 0))
+        words = np.concatenate([*docs, np.zeros(1, np.int64)])
+        node = lat.first[words[np.minimum(np.repeat(doc_run, size), len(words) - 1) + runs[:-1]]] + since[:-1] if len(runs) > 1 else np.zeros(0, np.int64)
+        width = FIRST
+        while True:
+            at = np.arange(width)[None, :]
+            inside = at < size[:, None]
+            k = np.where(inside, start[:, None] + at, len(flat) - 1)
+            part = lp[k]
+            before = np.cumsum(part, 1) - part
+            with np.errstate(divide="ignore", over="ignore"):
+                mass = before + np.log(np.maximum(-np.expm1(part), 0.0))
+                key = (_mixed(seeds + np.uint64(sample) * GOLD)[:, None] ^ (at.astype(np.uint64) << np.uint64(24))) ^ np.uint64(1 << 62)
+                region = _cut_off(mass + _gumbel(key), value[:, None])
+            region[~inside | (part > -1e-12) | (at < low[:, None])] = -np.inf
+            bar = np.where(least == -np.inf, np.partition(region, width - keep, axis=1)[:, width - keep], least) if width > keep else least
+            if width >= size.max(initial=0) or not (inside[:, -1] & (before[:, -1] + MOST_NOISE >= bar)).any():
+                break
+            width *= 2
+        self.region, self.before, self.least = region, before, bar
+        self.node = np.append(node, 0)[np.minimum(k, len(node))]
+        self.run = runs[k]
+        self.used: dict[tuple[int, int], list[int]] = {}
 
 
-def sample(lat: Lattices, docs: list[np.ndarray], seeds: np.ndarray, k: int) -> list[tuple[list[Path], float]]:
-    """For each document (run numbers): up to ``k`` distinct paths by falling perturbed value, and the value that would come next."""
+def sample(lat: Lattices, docs: list[np.ndarray], seeds: np.ndarray, k: int) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
+    """For each document (run numbers): up to ``k`` distinct (edges, log probability, perturbed value) by falling value, and the value that would come next."""
     with np.errstate(over="ignore"):
-        size = np.fromiter(map(len, docs), np.int64, len(docs))
-        runs = np.concatenate(docs) if len(docs) else np.zeros(0, np.int64)
+        n = len(docs)
+        size = np.fromiter(map(len, docs), np.int64, n)
+        runs = np.concatenate(docs) if n else np.zeros(0, np.int64)
         within = np.arange(len(runs)) - np.repeat(np.cumsum(size) - size, size)
-        edges, count = lat.draw(lat.first[runs] if len(runs) else runs, _keys(np.repeat(seeds, size), 0, within))
-        root = _gumbel(_mixed(seeds ^ np.uint64(0x5555)))
-        stop = np.cumsum(np.append(0, np.add.reduceat(np.append(count, 0), np.minimum(np.cumsum(size) - size, len(count))) * (size > 0)))
-        found: list[list[Path]] = []
-        for d in range(len(docs)):
-            own = edges[stop[d] : stop[d + 1]]
-            low = int(np.sum(size[:d])) if d == 0 else low + int(size[d - 1])
-            run = np.repeat(np.arange(size[d]), count[low : low + size[d]])
-            node = _nodes(lat, own, docs[d], run)
-            before, region = _opened(lat, own, run, node, 0, 0.0, root[d], seeds[d], 0)
-            found.append([Path(own, run, node, before, float(root[d]), region)])
+        edges, count = lat.draw(lat.first[runs], _keys(np.repeat(seeds, size), 0, within))
+        of = np.repeat(within, count)
+        cut = np.concatenate([[0], np.cumsum(count)])[np.cumsum(size)][:-1] if n else []
+        found = [Paths(lat, docs, np.split(edges, cut) if n else [], np.split(of, cut) if n else [], np.zeros(n, np.int64), _gumbel(_mixed(seeds ^ np.uint64(0x5555))), seeds, 0, np.full(n, -np.inf), k + 1)]
+        rows = [{d: d for d in range(n)}]  # of each sample: which row a document has in it
+        least = found[0].least
         for r in range(1, k):
             starts, keys, todo = [], [], []
-            for d, paths in enumerate(found):
-                best = _best(paths) if len(paths) == r else None
+            for d in rows[r - 1]:
+                best = _best(found, rows, d)
                 if best is None:
                     continue
-                path, at = best
-                value = float(path.region[at])
-                node, used = int(path.node[at]), path.used.setdefault(at, [int(path.edges[at])])
-                a, b = int(lat.edge0[node]), int(lat.edge0[node + 1])
+                path, row, at = best
+                value, node = float(path.region[row, at]), int(path.node[row, at])
+                used = path.used.setdefault((row, at), [int(path.edges[row][at])])
+                a, b = int(lat.edge0[node]), int(lat.edge0[node]) + 1
+                while lat.cum[b - 1] < node + 1:
+                    b += 1
                 p = np.exp(lat.logp[a:b])
                 p[[e - a for e in used]] = 0
                 u = float(_uniform(_keys(seeds[d : d + 1], r, np.array([at])) ^ np.uint64(1 << 61))[0])
                 pick = a + min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), int(np.flatnonzero(p)[-1]))
                 used.append(pick)
                 p[pick - a] = 0
-                left = float(p.sum())
-                path.region[at] = _cut_off(path.before[at] + math.log(left) + _gumbel(_keys(seeds[d : d + 1], r, np.array([at])) ^ np.uint64(1 << 60))[0], value) if left > 1e-15 else -np.inf
-                run = int(path.run[at])
-                rest = docs[d][run + 1 :]
-                starts.append(np.append(node + lat.step[pick], lat.first[rest]))
-                keys.append(_keys(seeds[d], r, np.arange(run, run + 1 + len(rest))))
-                todo.append((d, path, at, pick, value, run, len(rest) + 1))
+                rest = float(p.sum())
+                path.region[row, at] = _cut_off(path.before[row, at] + math.log(rest) + _gumbel(_keys(seeds[d : d + 1], r, np.array([at])) ^ np.uint64(1 << 60))[0], value) if rest > 1e-15 else -np.inf
+                run = int(path.run[row, at])
+                later = docs[d][run + 1 :]
+                starts.append(np.append(node + lat.step[pick], lat.first[later]))
+                keys.append(np.arange(run, run + 1 + len(later)))
+                todo.append((d, path.edges[row][:at], path.run[row, : at + 1], pick, value, run, len(later) + 1))
             if not todo:
                 break
-            edges, count = lat.draw(np.concatenate(starts), np.concatenate(keys))
-            e0 = c0 = 0
-            for d, path, at, pick, value, run, entries in todo:
-                n = count[c0 : c0 + entries]
-                own = np.concatenate([path.edges[:at], [pick], edges[e0 : e0 + int(n.sum())]])
-                of_run = np.concatenate([path.run[: at + 1], np.repeat(np.arange(run, run + entries), n)])
-                e0, c0 = e0 + int(n.sum()), c0 + entries
-                node = np.concatenate([path.node[: at + 1], _nodes(lat, own[at:], docs[d], of_run[at:], int(path.node[at]))[1:]])
-                before, region = _opened(lat, own, of_run, node, at + 1, float(path.before[at] + lat.logp[pick]), value, seeds[d], r)
-                found[d].append(Path(own, of_run, node, np.concatenate([path.before[: at + 1], before]), value, np.concatenate([np.full(at + 1, -np.inf), region])))
+            entries = np.array([t[-1] for t in todo])
+            seed = np.repeat(seeds[[t[0] for t in todo]], entries)
+            edges, count = lat.draw(np.concatenate(starts), _keys(seed, r, np.concatenate(keys)))
+            stop = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(entries)])]
+            which = np.concatenate(keys).repeat(count)
+            own, of = [], []
+            for i, (_, head, head_run, pick, _, _, _) in enumerate(todo):
+                own.append(np.concatenate([head, [pick], edges[stop[i] : stop[i + 1]]]))
+                of.append(np.concatenate([head_run, which[stop[i] : stop[i + 1]]]))
+            ids = np.array([t[0] for t in todo])
+            low = np.array([len(t[1]) + 1 for t in todo])
+            found.append(Paths(lat, [docs[d] for d in ids], own, of, low, np.array([t[4] for t in todo]), seeds[ids], r, least[ids], k + 1))
+            rows.append({d: i for i, d in enumerate(ids.tolist())})
         out = []
-        for paths in found:
-            best = _best(paths)
-            out.append((paths if len(paths[0].edges) else [], float(best[0].region[best[1]]) if best else -math.inf))
+        for d in range(n):
+            best = _best(found, rows, d)
+            mine = [(f, of_row[d]) for f, of_row in zip(found, rows, strict=True) if d in of_row]
+            out.append(([(f.edges[i], float(f.log_prob[i]), float(f.value[i])) for f, i in mine] if size[d] else [], float(best[0].region[best[1], best[2]]) if best else -math.inf))
         return out
 
 
-def _nodes(lat: Lattices, edges: np.ndarray, doc: np.ndarray, run: np.ndarray, first: int | None = None) -> np.ndarray:
-    """The node that each edge of a path leaves."""
-    if not len(edges):
-        return np.zeros(0, np.int64)
-    step = lat.step[edges].astype(np.int64)
-    done = np.cumsum(step) - step
-    new = np.append(True, run[1:] != run[:-1])
-    group = np.cumsum(new) - 1
-    base = lat.first[doc[run[new]]].copy()
-    if first is not None:
-        base[0] = first
-    return base[group] + done - done[new][group]
-
-
-def _best(paths: list[Path]) -> tuple[Path, int] | None:
+def _best(found: list[Paths], rows: list[dict[int, int]], d: int) -> tuple[Paths, int, int] | None:
+    """Where document ``d`` has its highest region."""
     top = None
-    for p in paths:
-        if len(p.region):
-            i = int(np.argmax(p.region))
-            if p.region[i] > -np.inf and (top is None or p.region[i] > top[0]):
-                top = (p.region[i], p, i)
-    return top and (top[1], top[2])
+    for f, of_row in zip(found, rows, strict=True):
+        if d in of_row:
+            i = of_row[d]
+            at = int(f.region[i].argmax())
+            if f.region[i, at] > -np.inf and (top is None or f.region[i, at] > top[0]):
+                top = (f.region[i, at], f, i, at)
+    return top and top[1:]
 
 
 def log_inclusion(log_prob: float, threshold: float) -> float:
@@ -369,6 +452,18 @@ def digest(ids) -> str:
     return hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()
 
 
+def _groups(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in groups of at most ``GROUP`` and some ``GROUP_CHARS`` characters."""
+    low = chars = 0
+    for i, t in enumerate(b.column(2)):
+        chars += len(t.as_buffer()) if t.is_valid else 0
+        if i + 1 - low >= GROUP or chars >= GROUP_CHARS:
+            yield b.slice(low, i + 1 - low)
+            low, chars = i + 1, 0
+    if low < b.num_rows:
+        yield b.slice(low)
+
+
 SAMPLE_TYPE = "array<struct<n_pieces:int,log_prob:double,perturbed:double,log_inclusion:double,ids_sha256:string,ids:array<int>>>"
 
 
@@ -390,20 +485,19 @@ def segmented(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         lat = None
         for b in batches:
             lat = lat or Lattices(Model(model, alpha))
-            for low in range(0, b.num_rows, GROUP):
-                part = b.slice(low, GROUP)
+            for part in _groups(b):
                 texts = [t.as_py() or "" for t in part.column(2)]
                 seeds = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 numbered = lat.numbers([lat.model.runs(t) for t in texts])
                 got = sample(lat, numbered, seeds, samples)
                 rows: list[tuple] = []
                 for text, number, (paths, threshold) in zip(texts, numbered, got, strict=True):
-                    own = [i for r in number.tolist() for i in lat.own[r]]
+                    own = lat.own_ids(number)
                     drawn = []
-                    for p in paths:
-                        ids, lp = lat.ids(p.edges), float(p.before[-1] + lat.logp[p.edges[-1]])
-                        drawn.append({"n_pieces": len(ids), "log_prob": lp, "perturbed": p.value, "log_inclusion": log_inclusion(lp, threshold), "ids_sha256": digest(ids), "ids": ids.tolist() if with_sample_ids else None})
-                    rows.append((len(own), digest(own), lat.model.decode(own) == text and all(lat.model.decode(lat.ids(p.edges).tolist()) == text for p in paths), drawn, own if with_ids else None))
+                    for edges, lp, value in paths:
+                        ids = lat.ids(edges)
+                        drawn.append({"n_pieces": len(ids), "log_prob": lp, "perturbed": value, "log_inclusion": log_inclusion(lp, threshold), "ids_sha256": digest(ids), "ids": ids.tolist() if with_sample_ids else None})
+                    rows.append((len(own), digest(own), lat.model.decode(own) == text, drawn, own.tolist() if with_ids else None))
                 n, sha, same, drawn, own = zip(*rows, strict=True) if rows else ((),) * 5
                 inner = pa.struct([("n_pieces", pa.int32()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("ids_sha256", pa.string()), ("ids", pa.list_(pa.int32()))])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(sha, pa.string()), pa.array(same, pa.bool_()), pa.array(drawn, pa.list_(inner)), pa.array(own, pa.list_(pa.int32()))], names=["id", "n_pieces", "ids_sha256", "decoded", "samples", "ids"])

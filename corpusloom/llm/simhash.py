@@ -190,7 +190,12 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null id stands for its group only if all ids in it are null. If the row that stands
     for a group is repeated, one copy stays.
     """
-    of = checkpointed(_grouped(docs, id_col, text_col, width, bits, bucket).select("id", "h", "root"))
+    return first_rows(docs, _grouped(docs, id_col, text_col, width, bits, bucket).select("id", "h", "root"), id_col, text_col)
+
+
+def first_rows(docs: DataFrame, of: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of the smallest id of each group, where ``of`` has (id, h, root) of every row."""
+    of = checkpointed(of)
     first = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("r")).select(F.col("r.id").alias("__id"), F.col("r.h").alias("__h"))
     kept = docs.join(first, F.col("__id").eqNullSafe(docs[id_col]) & (F.col("__h") == F.xxhash64(docs[text_col])), "left_semi")
     if of.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():

@@ -9,9 +9,9 @@ two before and the two after it: embeddings, a hidden layer, and a softmax in tw
 probabilities is the document's score.
 
 Training is data parallel over all documents: each task of a round starts from the same
-weights, takes one position in ``STRIDE`` of its documents through Adagrad in numpy, and
-sends the change of its weights; changes are averaged by positions, block by block, so the
-driver gets one set of weights whatever the number of tasks.
+weights, takes every position of its documents through Adagrad in numpy, and sends the
+change of its weights; changes are averaged by positions, block by block, so the driver
+gets one set of weights whatever the number of tasks.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ SHAPES = 255
 PAD = SIDE * SIDE - 1  # stands outside the text
 TOP = PAD - SHAPES
 WIDTH, HIDDEN, SPAN = 8, 16, 2  # of an embedding, of the hidden layer; tokens seen on each side
-STRIDE, BATCH, RATE, ROUNDS = 32, 512, 0.08, 2
+BATCH, RATE, ROUNDS = 512, 0.08, 2
 BLOCK = 8192  # floats of a block of weights
 TYPES = 200_000  # words counted in memory before they are handed on
 
@@ -130,11 +130,18 @@ class Window:
     def gradient(self, around: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Sum of -log p of ``target`` (n) given ``around`` (n, 2 SPAN), and its gradient."""
         n = len(target)
+        order = np.argsort(target, kind="stable")
+        around, target = around[order], target[order]
         cls, member = target // SIDE, target % SIDE
+        edges = np.searchsorted(cls, np.arange(SIDE + 1))
+        parts = [(k, slice(edges[k], edges[k + 1])) for k in range(SIDE) if edges[k] < edges[k + 1]]
         x = self.e[around]
-        h = np.tanh(np.einsum("nkd,kdh->nh", x, self.w, optimize=True) + self.b)
+        flat, w = x.reshape(n, -1), self.w.reshape(-1, HIDDEN)
+        h = np.tanh(flat @ w + self.b)
         p = h @ self.c + self.cb
-        q = (h[:, None, :] @ self.m[cls])[:, 0] + self.mb[cls]
+        q = np.empty_like(p)
+        for k, of in parts:
+            q[of] = h[of] @ self.m[k] + self.mb[k]
         loss, rows = 0.0, np.arange(n)
         for s, t in ((p, cls), (q, member)):
             s -= s.max(1, keepdims=True)
@@ -144,11 +151,17 @@ class Window:
             s[rows, t] -= 1
         grad = {k: np.zeros_like(getattr(self, k)) for k in ("e", "m", "mb")}
         grad["c"], grad["cb"] = h.T @ p, p.sum(0)
-        np.add.at(grad["m"], cls, h[:, :, None] * q[:, None, :])
-        np.add.at(grad["mb"], cls, q)
-        dh = (p @ self.c.T + (self.m[cls] @ q[:, :, None])[:, :, 0]) * (1 - h * h)
-        grad["b"], grad["w"] = dh.sum(0), np.einsum("nkd,nh->kdh", x, dh, optimize=True)
-        np.add.at(grad["e"], around, np.einsum("nh,kdh->nkd", dh, self.w, optimize=True))
+        dh = p @ self.c.T
+        for k, of in parts:
+            grad["m"][k], grad["mb"][k] = h[of].T @ q[of], q[of].sum(0)
+            dh[of] += q[of] @ self.m[k].T
+        dh *= 1 - h * h
+        grad["b"], grad["w"] = dh.sum(0), (flat.T @ dh).reshape(self.w.shape)
+        seen = around.ravel()
+        by = np.argsort(seen, kind="stable")
+        if n:
+            first = np.flatnonzero(np.diff(seen[by], prepend=-1))
+            grad["e"][seen[by[first]]] = np.add.reduceat((dh @ w.T).reshape(-1, WIDTH)[by], first)
         return loss, grad
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -192,7 +205,7 @@ def _joined(texts: list, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.
     return ids, at, size
 
 
-def _round(docs: DataFrame, text_col: str, vocab: Vocabulary, weights: np.ndarray, turn: int) -> np.ndarray:
+def _round(docs: DataFrame, text_col: str, vocab: Vocabulary, weights: np.ndarray) -> np.ndarray:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Window(vocab.counts).load(weights)
         sums = {k: np.full_like(getattr(net, k), 1e-2) for k in net.NAMES}
@@ -200,7 +213,6 @@ def _round(docs: DataFrame, text_col: str, vocab: Vocabulary, weights: np.ndarra
         for b in batches:
             for low in range(0, b.num_rows, 256):
                 ids, at, _ = _joined(b.column(0).slice(low, 256).to_pylist(), vocab)
-                at = at[turn::STRIDE]
                 around = np.stack([ids[at + o] for o in range(-SPAN, SPAN + 1) if o], 1) if len(at) else None
                 for i in range(0, len(at), BATCH):
                     _, grad = net.gradient(around[i : i + BATCH], ids[at[i : i + BATCH]])
@@ -236,8 +248,8 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tupl
     """Counts and learns from all of ``docs``; without any word the network stays as it starts."""
     vocab = vocabulary(docs, text_col)
     net = Window(vocab.counts)
-    for turn in range(rounds if vocab.ids else 0):
-        net.load(_round(docs, text_col, vocab, net.flat(), turn * (STRIDE // max(rounds, 1))))
+    for _ in range(rounds if vocab.ids else 0):
+        net.load(_round(docs, text_col, vocab, net.flat()))
     return vocab, net
 
 

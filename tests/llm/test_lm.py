@@ -64,3 +64,10 @@ def test_rare_words_share_their_shape():
     vocab = lm.Vocabulary([(b"the", 9)], np.full(lm.SHAPES, 4.0), np.full(lm.SHAPES, 8.0))
     ids = vocab.encode(b"the Xylophone the")
     assert ids[2] == ids[4] == 0 and lm.TOP <= ids[3] < lm.PAD and vocab.spread[ids[3]] == math.log(4) and ids[0] == lm.PAD
+
+
+def test_every_position_is_a_target(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(20)) for i in range(3)]
+    vocab, net = lm.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1))
+    ids, at, _ = lm._joined([t.encode() for t in texts], vocab)
+    assert (net.log_probs(ids, at) > lm.Window(vocab.counts).log_probs(ids, at)).all()

@@ -3,7 +3,8 @@
 Tokens are the words of the text (A-Z lower-cased, cut at ASCII white space). All
 documents' words are counted; the ``TOP`` most frequent are tokens of their own, and every
 other word falls by its shape into one of ``SHAPES`` tokens, within which its probability is
-one over the number of the corpus's words of that shape. Each token is predicted from the
+its own share of that token's occurrences: counts of all words stay a table that scoring
+joins. Each token is predicted from the
 two before and the two after it: embeddings, a hidden layer, and a softmax in two levels
 (class of ``SIDE`` tokens, then the token in its class). The sum of the conditional log
 probabilities is the document's score.
@@ -16,6 +17,7 @@ gets one set of weights whatever the number of tasks.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,6 +78,16 @@ class Vocabulary:
         self.counts = np.zeros(SIDE * SIDE)
         self.counts[: len(top)] = [n for _, n in top]
         self.counts[TOP:PAD] = counts
+        self.share = np.zeros(SIDE * SIDE)
+        self.share[TOP:PAD] = np.log(np.maximum(counts, 1))
+        self.rare: DataFrame | None = None  # word and n of the others that occur more than once
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rare": None}  # tasks get no table
+
+    def others(self, text: bytes | None) -> Counter:
+        """Counts of the words that are not tokens of their own."""
+        return Counter(w for w in words(text) if w not in self.ids)
 
     def encode(self, text: bytes | None) -> np.ndarray:
         """Token ids with ``SPAN`` pads on each side."""
@@ -97,7 +109,11 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     for _, n, s in top:
         types[s] -= 1
         total[s] -= n
-    return Vocabulary([(w, n) for w, n, _ in top], types, total)
+    vocab = Vocabulary([(w, n) for w, n, _ in top], types, total)
+    if top:
+        word, n, _ = top[-1]
+        vocab.rare = counts.where((F.col("n") > 1) & ((F.col("n") < n) | (F.col("n") == n) & (F.col("word") > F.lit(word)))).select("word", "n")
+    return vocab
 
 
 class Window:
@@ -258,7 +274,7 @@ def scores(docs: DataFrame, vocab: Vocabulary, net: Window, id_col: str = "doc_i
 
     Null and wordless texts have no tokens: 0, 0.0, 0.0 and 1.0. Repeated rows and null ids
     stay; an empty table gives no rows. Other columns are not read. A word that was not
-    counted scores as one of its shape.
+    counted scores as one of its shape that occurs once.
     """
     weights, kind = net.flat(), docs.schema[id_col].dataType.simpleString()
 
@@ -267,11 +283,27 @@ def scores(docs: DataFrame, vocab: Vocabulary, net: Window, id_col: str = "doc_i
         for b in batches:
             for low in range(0, b.num_rows, 256):
                 part = b.slice(low, 256)
-                ids, at, size = _joined(part.column(1).to_pylist(), vocab)
-                got = own.log_probs(ids, at) - vocab.spread[ids[at]]
+                ids, at, size = _joined(part.column(2).to_pylist(), vocab)
+                got = own.log_probs(ids, at) - vocab.share[ids[at]]
                 sums = np.add.reduceat(np.append(got, 0.0), np.minimum(np.cumsum(size) - size, len(got))) * (size > 0)
-                mean = sums / np.maximum(size, 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(sums), pa.array(mean), pa.array(np.exp(np.minimum(-mean, 700.0)))], names=["id", "n_tokens", "log_likelihood", "mean_log_prob", "perplexity"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), pa.array(sums)], names=["id", "h", "n_tokens", "base"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, n_tokens long, log_likelihood double, mean_log_prob double, perplexity double")
-    return out.withColumnRenamed("id", id_col)
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, 256):
+                part = b.slice(low, 256)
+                found = [vocab.others(t.as_py()) for t in part.column(2)]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(c) for c in found]))
+                ws, times = pa.array([w for c in found for w in c], pa.binary()), pa.array([n for c in found for n in c.values()], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), ws, times], names=["id", "h", "word", "times"])
+
+    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("t"))
+    out = read.mapInArrow(run, f"id {kind}, h long, n_tokens long, base double")
+    if vocab.rare is not None:
+        spread = read.mapInArrow(others, f"id {kind}, h long, word binary, times int").join(vocab.rare, "word")
+        each = spread.select("id", "h", (F.col("times") * F.log("n")).alias("part"), F.lit(0).alias("copies"))
+        each = each.union(docs.select(F.col(id_col), F.xxhash64(text_col), F.lit(0.0), F.lit(1)))  # a repeated row's words come once for each copy
+        sums = each.groupBy("id", "h").agg((F.sum("part") / F.sum("copies")).alias("part")).select(F.col("id").alias("__id"), F.col("h").alias("__h"), "part")
+        out = out.join(sums, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), "left").withColumn("base", F.col("base") + F.coalesce("part", F.lit(0.0)))
+    mean = F.col("base") / F.greatest("n_tokens", F.lit(1))
+    return out.select(F.col("id").alias(id_col), "n_tokens", F.col("base").alias("log_likelihood"), mean.alias("mean_log_prob"), F.exp(F.least(-mean, F.lit(700.0))).alias("perplexity"))

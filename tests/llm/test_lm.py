@@ -71,3 +71,18 @@ def test_every_position_is_a_target(spark):
     vocab, net = lm.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1))
     ids, at, _ = lm._joined([t.encode() for t in texts], vocab)
     assert (net.log_probs(ids, at) > lm.Window(vocab.counts).log_probs(ids, at)).all()
+
+
+def test_other_words_keep_their_own_counts(spark):
+    """Words beyond the ``TOP`` of one shape: the frequent one scores higher by the log of its count, in repeated rows too."""
+    many = " ".join(f"t{i:05d} t{i:05d} t{i:05d} t{i:05d} t{i:05d}" for i in range(lm.TOP))
+    rows = [(1, many), (2, "zaz zaz zaz"), (3, "zaz"), (3, "zaz"), (4, "zbz"), (None, "zaz zbz"), (5, None)]
+    df = spark.createDataFrame(rows[:3] + rows[4:5] + rows[6:], "doc_id long, text string")
+    vocab, net = lm.train(df)
+    assert {(bytes(r.word), r.n) for r in vocab.rare.collect()} == {(b"zaz", 4)}
+    out = [(r.doc_id, r.n_tokens, r.log_likelihood) for r in lm.scores(spark.createDataFrame(rows, df.schema), vocab, net).collect()]
+    assert len(out) == len(rows)
+    of = {(i, n): s for i, n, s in out}
+    assert abs(of[3, 1] - of[4, 1] - math.log(4)) < 1e-6 and len([o for o in out if o[0] == 3 and abs(o[2] - of[3, 1]) < 1e-9]) == 2
+    ids, at, _ = lm._joined([b"zaz zbz"], vocab)
+    assert abs(of[None, 2] - (net.log_probs(ids, at) - math.log(5)).sum() - math.log(4)) < 1e-4

@@ -273,14 +273,16 @@ def date_parse(spark, sf_dir):
 # ---------------------------------------------------------------- ranking
 
 
-def _queries(spark, sf_dir) -> DataFrame:
-    ts = F.array_distinct(F.slice(text.plain_tokens(F.col("text")), 1, 8))
+def _queries(spark, sf_dir, whole: bool = False) -> DataFrame:
+    """All words of each benchmark text, or the first eight, as the statements over ``sqltext.TOP`` have them."""
+    ts = text.plain_tokens(F.col("text"))
+    ts = F.array_distinct(ts if whole else F.slice(ts, 1, 8))
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(ts, " ").alias("text"), ts.alias("ts"))
 
 
-def _top(spark, sf_dir) -> DataFrame:
+def _top(spark, sf_dir, whole: bool = False) -> DataFrame:
     """query_id, doc_id, score, place: each query's ten best documents."""
-    scored = ranking.bm25_corpus(table(spark, sf_dir, "documents"), _queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    scored = ranking.bm25_corpus(table(spark, sf_dir, "documents"), _queries(spark, sf_dir, whole)).withColumn("score", F.round("score", 6))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where("place <= 10")
 
 
@@ -289,10 +291,16 @@ def bm25_docs(spark, sf_dir):
     return _top(spark, sf_dir)
 
 
-def _pool(spark, sf_dir) -> DataFrame:
+@query(f"WITH {s.TOP_WHOLE} SELECT query_id, doc_id, score, place::INTEGER AS place FROM top")
+def bm25_docs_whole(spark, sf_dir):
+    """As ``bm25_docs``, with the whole benchmark texts as queries."""
+    return _top(spark, sf_dir, whole=True)
+
+
+def _pool(spark, sf_dir, whole: bool = False) -> DataFrame:
     """Candidate sets: each query's ten documents with text and title (the first line)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.substring_index("text", "\n", 1).alias("title"))
-    return _top(spark, sf_dir).join(d, "doc_id")
+    return _top(spark, sf_dir, whole).join(d, "doc_id")
 
 
 @query(f"""WITH {s.TOP}, p AS (SELECT query_id, top.doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM top JOIN documents USING (doc_id)),
@@ -387,11 +395,11 @@ sc AS (SELECT *, 0.42 * lex + 0.30 * title + 0.18 * covered AS rel, 0.34 * prior
 fin AS (SELECT query_id, doc_id, url, source, round(rel + (0.30 + 0.70 * lex) * sta - pen, 6) AS score, round(greatest(title, 0), 6) AS relevance FROM sc)"""
 
 
-def _scored(spark, sf_dir) -> DataFrame:
+def _scored(spark, sf_dir, whole: bool = False) -> DataFrame:
     """Fused scores of the candidate sets: BM25, title overlap and coverage; quality as prior; short texts are thin."""
-    q = _queries(spark, sf_dir).select("query_id", "ts")
+    q = _queries(spark, sf_dir, whole).select("query_id", "ts")
     prior = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    x = _pool(spark, sf_dir).withColumn("lex", ranking.minmax("score")).drop("score").join(q, "query_id").join(prior, "doc_id", "left")
+    x = _pool(spark, sf_dir, whole).withColumn("lex", ranking.minmax("score")).drop("score").join(q, "query_id").join(prior, "doc_id", "left")
     zero = {c: F.lit(0.0) for c in ("emb", "emb_raw", "url_fit", "host", "rare", "aspect", "authority", "consensus", "fresh", "date", "dead", "root", "orphan", "spam")}
     x = x.withColumns(zero | {
         "covered": ranking.term_coverage(F.col("ts"), F.lower(F.concat_ws(" ", "title", "text"))),
@@ -437,14 +445,14 @@ def relevance_floor(spark, sf_dir):
 @query()
 def search_serp(spark, sf_dir):
     """The exact greedy list with site cap, floor and refill."""
-    return serp.assembled(_scored(spark, sf_dir).withColumnRenamed("source", "site"))
+    return serp.assembled(_scored(spark, sf_dir, whole=True).withColumnRenamed("source", "site"))
 
 
 # ---------------------------------------------------------------- budgets
 
 
-def _serp_rows(spark, sf_dir) -> DataFrame:
-    x = _pool(spark, sf_dir)
+def _serp_rows(spark, sf_dir, whole: bool = False) -> DataFrame:
+    x = _pool(spark, sf_dir, whole)
     lines = F.filter(F.split("text", "\n"), lambda l: l != "")
     return x.select("query_id", "place", F.substring("title", 1, 200).alias("title"), F.concat(F.lit("https://d/"), F.col("doc_id").cast("string")).alias("url"), F.slice(lines, 1, 6).alias("passages"), F.transform(F.slice(lines, 1, 6), lambda l: F.length(l).cast("double")).alias("passage_scores"), F.substring("text", 1, 600).alias("text"))
 
@@ -472,7 +480,7 @@ def passage_cap(spark, sf_dir):
 @query()
 def page_fit(spark, sf_dir):
     """Pages cut to 120 tokens each."""
-    return serp.page_cost(serp.fit_page(_serp_rows(spark, sf_dir), 120)).select("query_id", "place", "passages", "text", "cost")
+    return serp.page_cost(serp.fit_page(_serp_rows(spark, sf_dir, whole=True), 120)).select("query_id", "place", "passages", "text", "cost")
 
 
 # ---------------------------------------------------------------- plans and stores
@@ -621,7 +629,7 @@ def sitemap_pick(spark, sf_dir):
 @query()
 def select_windows(spark, sf_dir):
     """Two windows of each candidate for its query, with the share of terms in each."""
-    x = _pool(spark, sf_dir).join(_queries(spark, sf_dir).select("query_id", F.col("ts").alias("terms")), "query_id")
+    x = _pool(spark, sf_dir, whole=True).join(_queries(spark, sf_dir, whole=True).select("query_id", F.col("ts").alias("terms")), "query_id")
     return passages.windows(x.select("query_id", "doc_id", "text", F.lit("").alias("seed"), "terms"), 600, 2)
 
 
@@ -629,7 +637,7 @@ def select_windows(spark, sf_dir):
 def passage_pool(spark, sf_dir):
     """Passages of each candidate, the first with title and opening."""
     none = F.array().cast("array<string>")
-    x = _pool(spark, sf_dir).join(_queries(spark, sf_dir).select("query_id", F.col("ts").alias("terms")), "query_id")
+    x = _pool(spark, sf_dir, whole=True).join(_queries(spark, sf_dir, whole=True).select("query_id", F.col("ts").alias("terms")), "query_id")
     return passages.passages(x.withColumns({"description": F.lit(""), "anchors": none}))
 
 

@@ -8,8 +8,8 @@ from . import catalog
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten best documents of every benchmark query by BM25."""
-    return catalog.QUERIES["bm25_docs"](spark, sf_dir)
+    """Ten best documents of every whole benchmark text by BM25."""
+    return catalog.QUERIES["bm25_docs_whole"](spark, sf_dir)
 
 
 def queries() -> dict:

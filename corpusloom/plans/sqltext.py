@@ -93,3 +93,6 @@ TOP = f"""q AS (
 ), top AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM bm) WHERE place <= 10
 )"""
+
+#: The same with all words of each item.
+TOP_WHOLE = TOP.replace(f"list_slice({tok('text')}, 1, 8)", tok("text"))

@@ -168,6 +168,20 @@ def gram_overlap(spark, sf_dir):
     return g.select("doc_id", F.round(text.dice(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, {s.tok("coalesce(string_split(text, chr(10))[1], '')")} AS a, {s.tok("coalesce(substring(text, length(string_split(text, chr(10))[1]) + 1), '')")} AS b FROM documents),
+g AS (SELECT doc_id, {s.gram_set('list_distinct(a)')} AS a, {s.gram_set('list_distinct(b)')} AS b FROM d)
+SELECT doc_id, round({s.dice('a', 'b')}, 6) AS overlap FROM g
+""")
+def gram_overlap_whole(spark, sf_dir):
+    """Gram overlap of a document's first line with all the rest of it."""
+    head = F.coalesce(F.substring_index("text", "\n", 1), F.lit(""))
+    rest = F.coalesce(F.expr("substring(text, length(substring_index(text, '\\n', 1)) + 1)"), F.lit(""))
+    t = table(spark, sf_dir, "documents").select("doc_id", *[F.array_distinct(text.plain_tokens(x)).alias(k) for k, x in (("a", head), ("b", rest))])
+    g = t.select("doc_id", text.gram_set(F.col("a")).alias("a"), text.gram_set(F.col("b")).alias("b"))
+    return g.select("doc_id", F.round(text.dice(F.col("a"), F.col("b")), 6).alias("overlap"))
+
+
 ASKED = [
     ("postgresql.org",), ("go to python.org/docs",), ("django docs",), ("attention paper arxiv",), ("how to fix a TypeError in python",), ("best laptop 2026 vs 2025",), ("latest election news",), ("what is a monad",),
     ("restaurants in Berlin",), ("restaurants in berlin",), ("hotel near me",), ("tall buildings",), ("wie ist das Wetter von heute",), ("où est la gare et le port",), ("что это такое",), ("日本語の文",), ("量子计算机的工作原理",), ("",), ("a { b }",), ("what is the price of gold",),

@@ -16,3 +16,12 @@ def test_queries_without_statement_and_the_flagship_ask_with_whole_texts(spark,
         assert 20 in {r.doc_id for r in q[name](spark, str(tmp_path)).collect()}, name
     assert "d20" in {r.url for r in q["search_serp"](spark, str(tmp_path)).collect()}
     assert "list_slice" not in sqltext.TOP_WHOLE and "list_slice" in sqltext.TOP
+
+
+def test_gram_overlap_reads_to_the_end(spark, tmp_path):
+    """The only word in common stands last, after hundreds of others."""
+    rest = " ".join(["filler"] * 300)
+    rows = [(1, f"elephant\n{rest} elephant"), (2, f"elephant\n{rest}"), (3, None), (4, "one line")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.overlap for r in entry.queries()["gram_overlap_whole"](spark, str(tmp_path)).collect()}
+    assert got[1] > 0.5 and got[2] == got[3] == got[4] == 0.0

@@ -19,8 +19,8 @@ def op2_mtree(spark, sf_dir):
 
 
 def op3_pieces(spark, sf_dir):
-    """Ids and sampled segmentations of every document, as digests."""
-    return pieces.segmented(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+    """Ids and sampled segmentations of every document, with digests beside them."""
+    return pieces.segmented(table(spark, sf_dir, "documents"), with_ids=True, with_sample_ids=True)
 
 
 def op4_language(spark, sf_dir):

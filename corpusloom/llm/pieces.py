@@ -3,8 +3,9 @@
 ``encode`` gives the ids of the model file's own merges; ``decode`` gives the text back.
 No piece of such a model holds a word start (U+2581) after another character, so a text's
 lattice is a row of lattices, one for each run of word starts with what follows; equal runs
-share one lattice, built once in a task. A literal U+2581 in a text, which the model would
-take for a space, goes by its bytes, so that decoding gives every text back exactly.
+of the documents taken together share one lattice. A literal U+2581 in a text, which the
+model would take for a space, goes by its bytes, so that decoding gives every text back
+exactly.
 
 Sampling is Gumbel top-k without replacement by A* over perturbed log probabilities. A
 segmentation's probability is the normalised product of its pieces' weights, which fall
@@ -17,8 +18,14 @@ region it comes from. Popping regions by value gives distinct segmentations in t
 of their perturbed values; the value that would come next is the threshold from which the
 inclusion scores follow: log P(log p + Gumbel > threshold).
 
-All random numbers are hashes of (row key, sample, run, step), so they don't depend on how
-rows are batched.
+Of ``k`` samples no more than the ``k`` highest regions of a path can be popped or be the
+threshold, so each path keeps those. Pieces without an alternative leave nothing aside and
+are passed over. Masses fall along a path, and a region whose noise can't lift it to the
+lowest kept value is told by its random number alone.
+
+Each step is taken for all documents of a group at once, in arrays as long as the group's
+text. All random numbers are hashes of (row key, sample, run, step) and all sums are taken
+within a document or run, so results don't depend on how rows are grouped.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,32 +46,57 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 START, LITERAL = "▁", "\udfff"  # a lone surrogate, which no text holds, stands for a literal U+2581 meanwhile
 RUN = re.compile(f"{START}+[^{START}]*")
 SAMPLES, ALPHA, OFFSET = 3, 1.0, 10.0
-GROUP, GROUP_CHARS, NODES = 256, 2_000_000, 1_200_000  # documents and characters taken together; lattice nodes that a task remembers
+GROUP, GROUP_BYTES = 256, 500_000  # documents taken together: so many, or the one that passes so many bytes
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+ALPHABET = 64  # of the trie's dense table
+JOINED = 16  # words given to the model at a time
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Finaliser of the public splitmix64 generator."""
     x = x + GOLD
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _uniform(key: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from 64-bit keys."""
-    return ((_mixed(key) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    x = _mixed(key)
+    x >>= np.uint64(11)
+    u = x.astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    return np.minimum(u, 1 - 2.0**-53, out=u)
 
 
 def _gumbel(key: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(_uniform(key)))
 
 
+#: The noise of such numbers is at most this, so a region whose log mass is further below can't be reached.
+MOST_NOISE = 37.0
+
+
 def _cut_off(value: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """A Gumbel value made the value of the same variable given that it is at most ``bound``."""
     return -np.logaddexp(-bound, -value)
 
 
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Numbers from each ``first``, ``size`` of them, one after the other."""
+    stop = np.cumsum(size)
+    return np.repeat(first - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)
+
+
+def _sums(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sum of each stretch of ``x``; stretches follow one another."""
+    return np.add.reduceat(np.append(x, 0.0), np.minimum(start, len(x))) * (size > 0) if len(start) else np.zeros(0)
+
+
 class Model:
     """Pieces of a model file and their sampling weights."""
 
@@ -90,24 +123,34 @@ class Model:
                 self.weight[i] = -alpha * math.log(ordinary + OFFSET)
                 ordinary += 1
         self.unknown = -3 * alpha * math.log(n + OFFSET)
+        self.starts = np.array([t[:1] == b" " and not sp.is_byte(i) for i, t in enumerate(self.table)])
         self.bytes = np.frombuffer(b"".join(self.table), np.uint8)
         self.bytes0 = np.cumsum([0, *map(len, self.table)])
         self._plant()
 
     def _plant(self) -> None:
-        """The pieces as a trie in sorted arrays: (state, character) to state, and each state's piece or -1."""
+        """The pieces as a trie: a dense table for the characters of most moves, sorted (state, character) keys for the rest, and each state's piece or -1."""
         states, piece = {"": 0}, [-1]
-        moves: dict[int, int] = {}
+        moves: list[tuple[int, int, int]] = []
         for text, i in self.known.items():
             for k in range(1, len(text) + 1):
                 if text[:k] not in states:
                     states[text[:k]] = len(piece)
-                    moves[states[text[: k - 1]] << 21 | ord(text[k - 1])] = len(piece)
+                    moves.append((states[text[: k - 1]], ord(text[k - 1]), len(piece)))
                     piece.append(-1)
             piece[states[text]] = i
-        self.moves = np.array(sorted(moves), np.int64)
-        self.target = np.array([moves[m] for m in self.moves.tolist()], np.int64)
-        self.piece = np.array(piece, np.int64)
+        state, char, target = np.array(moves, np.int64).reshape(-1, 3).T
+        used, times = np.unique(char, return_counts=True)
+        often = used[np.argsort(-times, kind="stable")[: ALPHABET - 1]]
+        self.code = np.zeros(0x110000, np.uint8)  # 0: not in the dense table
+        self.code[often] = np.arange(1, len(often) + 1)
+        self.dense = np.full(len(piece) * ALPHABET, -1, np.int32)
+        at = self.code[char]
+        self.dense[(state * ALPHABET + at)[at > 0]] = target[at > 0]
+        key = (state << 21 | char)[at == 0]
+        order = np.argsort(key)
+        self.moves, self.target = np.append(key[order], -1), np.append(target[at == 0][order], -1)
+        self.piece = np.array([*piece, -1], np.int32)  # the last for no state
         self.longest = max(map(len, self.known))
 
     def runs(self, text: str) -> list[str]:
@@ -119,9 +162,15 @@ class Model:
 
     def own_ids(self, runs: list[str]) -> list[list[int]]:
         """The model's ids of runs; a literal word start goes by its bytes."""
-        plain = [r for r in runs if LITERAL not in r and r != START]
-        got = dict(zip(plain, self.processor.encode([r[1:].replace(START, " ") for r in plain], num_threads=1), strict=True)) if plain else {}
-        return [got[r] if r in got else [self.known[START]] if r == START else self._mixed_ids(r) for r in runs]
+        return [[self.known[START]] if r == START else self._mixed_ids(r) if LITERAL in r else self.processor.encode(r[1:].replace(START, " "), num_threads=1) for r in runs]
+
+    def own_ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs that are one word start and a word: one after the other, and how many each has.
+
+        Words are encoded many at a time; a run's first id is the only one of a piece that starts with a word start.
+        """
+        flat = np.fromiter(chain.from_iterable(self.processor.encode([" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)], num_threads=1)), np.int32)
+        return flat, np.diff(np.append(np.flatnonzero(self.starts[flat]), len(flat)))
 
     def _mixed_ids(self, run: str) -> list[int]:
         out: list[int] = []
@@ -142,145 +191,135 @@ class Model:
 
     def decode(self, ids) -> str:
         """The text of ids, without the space that stands for the start of the text."""
-        raw = _gathered(self.bytes, self.bytes0, np.asarray(ids, np.int64)).tobytes()
+        ids = np.asarray(ids, np.int64)
+        raw = self.bytes[spans(self.bytes0[ids], self.bytes0[ids + 1] - self.bytes0[ids])].tobytes()
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.own_ids(self.runs(text)) for i in ids]
 
 
-class Table:
-    """An array that grows by doubling."""
-
-    def __init__(self, kind) -> None:
-        self.held, self.n = np.zeros(1 << 16, kind), 0
-
-    def add(self, x: np.ndarray) -> None:
-        if self.n + len(x) > len(self.held):
-            self.held = np.concatenate([self.held, np.zeros(max(len(self.held), len(x)), self.held.dtype)])
-        self.held[self.n : self.n + len(x)] = x
-        self.n += len(x)
-
-
-def _gathered(flat: np.ndarray, offset: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Stretches of ``flat`` one after the other; stretch i is from ``offset[i]`` up to ``offset[i + 1]``."""
-    first, size = offset[which], offset[which + 1] - offset[which]
-    stop = np.cumsum(size)
-    return flat[np.repeat(first - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)]
-
-
 class Lattices:
-    """Lattices of runs, as arrays: a node for each place in a run, its edges together.
+    """Lattices of runs, as arrays: a node for each place in a run, its edges together, the longest first.
 
-    ``cum`` holds, for each edge, its node's number plus the probability of it and the edges
-    before it: an edge is drawn by walking a node's few edges.
+    ``cum`` holds, for each edge, the probability of it and the edges before it at its node:
+    an edge is drawn by walking a node's few edges.
     """
 
     def __init__(self, model: Model) -> None:
-        self.model = model
-        self.clear()
-
-    def clear(self) -> None:
-        self.of: dict[str, int] = {}
-        kinds = {"cum": np.float64, "logp": np.float64, "step": np.int32, "id": np.int32, "left": np.int32, "first": np.int64, "edge0": np.int64, "own": np.int32, "own0": np.int64}
-        self.tables = {k: Table(t) for k, t in kinds.items()}
-        self.tables["own0"].add(np.zeros(1, np.int64))
-        self._see()
-
-    def _see(self) -> None:
-        for k, t in self.tables.items():
-            setattr(self, k, t.held)
+        self.model, self.held = model, None
 
     def numbers(self, docs: list[list[str]]) -> list[np.ndarray]:
-        """Each document's runs by number; new runs get lattices."""
-        if self.tables["left"].n > NODES:
-            self.clear()
-        fresh = list(dict.fromkeys(r for d in docs for r in d if r not in self.of))
-        if fresh:
-            self.of |= dict(zip(fresh, range(len(self.of), len(self.of) + len(fresh)), strict=True))
-            own = self.model.own_ids(fresh)
-            size = np.fromiter(map(len, own), np.int64, len(own))
-            self.tables["own0"].add(self.tables["own"].n + np.cumsum(size))
-            self.tables["own"].add(np.fromiter(chain.from_iterable(own), np.int32, int(size.sum())))
-            self._add(fresh)
-            self._see()
-        return [np.fromiter(map(self.of.__getitem__, d), np.int64, len(d)) for d in docs]
-
-    def own_ids(self, doc: np.ndarray) -> np.ndarray:
-        """The model's own ids of a document's runs."""
-        return _gathered(self.own, self.own0, doc)
-
-    def _add(self, runs: list[str]) -> None:
-        """Builds the lattices of all new runs at once: a walk of the trie from all places, then sums from the ends."""
+        """Each document's runs by number; lattices of these runs take the place of those before."""
+        of = {r: i for i, r in enumerate(dict.fromkeys(r for d in docs for r in d))}
+        if list(of) != self.held:
+            self.build([], list(of))
+        return [np.fromiter(map(of.__getitem__, d), np.int64, len(d)) for d in docs]
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of texts without nulls: their numbers one after the other, how many each text has, and the order in which the texts are taken."""
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, START)), pc.or_(pc.starts_with(texts, " "), pc.or_(pc.ends_with(texts, " "), pc.equal(texts, ""))))
+        odd = odd.to_numpy(zero_copy_only=False)
+        plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
+        words = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        coded = words.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        whole = [self.model.runs(t) for t in texts.take(pa.array(rest)).to_pylist()]
+        more = list(dict.fromkeys(chain.from_iterable(whole)))
+        if more:
+            of = {r: len(known) + i for i, r in enumerate(more)}
+            at = np.concatenate([at, np.fromiter((of[r] for d in whole for r in d), np.int64)])
+        self.build(known, more)
+        size = np.concatenate([pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64), np.fromiter(map(len, whole), np.int64, len(whole))])
+        return at, size, np.concatenate([plain, rest])
+
+    def build(self, words: list[str], runs: list[str]) -> None:
+        """Builds the lattices of words (each with a word start before it) and other runs at once: a walk of the trie from all places, then sums from the ends."""
         model = self.model
-        size = np.fromiter(map(len, runs), np.int64, len(runs))
-        start = np.cumsum(size + 1) - size - 1
+        self.n_words, self.held = len(words), runs
+        self.joined = "".join([*chain.from_iterable(zip([START] * len(words), words, strict=True)), *runs]) if runs else START * bool(words) + START.join(words)
+        own, n_own = model.own_ids_of_words(words)
+        more = model.own_ids(runs)
+        n_own = np.concatenate([n_own, np.fromiter(map(len, more), np.int64, len(more))])
+        self.own = np.concatenate([own, np.fromiter(chain.from_iterable(more), np.int32)])
+        self.own0 = np.append(0, np.cumsum(n_own))
+        size = np.concatenate([np.fromiter(map(len, words), np.int64, len(words)) + 1, np.fromiter(map(len, runs), np.int64, len(runs))])
+        self.first = np.cumsum(size + 1) - size - 1
         n = int((size + 1).sum())
-        left = np.repeat(start + size, size + 1) - np.arange(n)
-        chars = np.zeros(n + model.longest, np.int64)
-        chars[:n][left > 0] = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), np.uint32)
-        src, step, ids = [], [], []
-        at, state = np.flatnonzero(left > 0), np.zeros(int(size.sum()), np.int64)
+        self.left = left = (np.repeat(self.first + size, size + 1) - np.arange(n)).astype(np.int32)
+        places = np.flatnonzero(left > 0)
+        chars = np.zeros(n + model.longest, np.uint32)
+        chars[places] = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = model.code[chars]
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # of each length: nodes and pieces
+        count = np.zeros(n, np.int32)
+        at, state = places, np.zeros(len(places), np.int64)
         for k in range(1, model.longest + 1):
-            key = state << 21 | chars[at + k - 1]
-            i = np.minimum(np.searchsorted(model.moves, key), len(model.moves) - 1)
-            known = model.moves[i] == key
-            found = np.where(known, model.piece[model.target[i]], -1)
+            c = codes[at + (k - 1)]
+            to = model.dense[state * ALPHABET + c]
+            rare = np.flatnonzero(c == 0)
+            if len(rare):
+                key = state[rare] << 21 | chars[at[rare] + (k - 1)]
+                i = np.searchsorted(model.moves[:-1], key)
+                to[rare] = np.where(model.moves[i] == key, model.target[i], -1)
+            piece = model.piece[to]
             if k == 1:
-                found = np.where(found < 0, -1 - chars[at], found)  # a character without a piece
-                src.append(at)
-                ids.append(found)
-                step.append(np.ones(len(at), np.int64))
+                piece = np.where(piece < 0, -1 - chars[at].astype(np.int64), piece).astype(np.int32)  # a character without a piece
+                hit = slice(None)
             else:
-                hit = found >= 0
-                src.append(at[hit])
-                ids.append(found[hit])
-                step.append(np.full(int(hit.sum()), k))
-            on = known & (left[at] > k)
-            at, state = at[on], model.target[i[on]]
+                hit = np.flatnonzero(piece >= 0)
+            found.append((at[hit], piece[hit]))
+            count[found[-1][0]] += 1
+            on = np.flatnonzero((to >= 0) & (left[at] > k))
+            at, state = at[on], to[on].astype(np.int64)
             if not len(at):
                 break
-        src, ids, step = np.concatenate(src), np.concatenate(ids), np.concatenate(step)
-        order = np.argsort(src, kind="stable")
-        src, ids, step = src[order], ids[order], step[order]
-        weight = np.where(ids >= 0, model.weight[np.maximum(ids, 0)], model.unknown)
-        value, beta = np.empty(len(src)), np.zeros(n)
-        far = left[src]
-        by = np.argsort(far, kind="stable")
-        bounds = np.searchsorted(far[by], np.arange(1, int(size.max(initial=0)) + 2))
+        self.count = count
+        self.edge0 = edge0 = np.cumsum(count, dtype=np.int64) - count
+        m = int(count.sum())
+        self.step, self.id, self.src = np.empty(m, np.int32), np.empty(m, np.int32), np.empty(m, np.int64)
+        filled = edge0.copy()
+        for k in range(len(found), 0, -1):
+            node, piece = found[k - 1]
+            place = filled[node]
+            self.step[place], self.id[place], self.src[place] = k, piece, node
+            filled[node] += 1
+        weight = np.where(self.id >= 0, model.weight[np.maximum(self.id, 0)], model.unknown)
+        beta = np.zeros(n)
+        deep = int(size.max(initial=0))
+        order = np.argsort(left.astype(np.int16) if deep < 1 << 15 else left, kind="stable")
+        bounds = np.searchsorted(left[order], np.arange(1, deep + 2))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            e = by[a:b]
-            if not len(e):
+            nodes = order[a:b]
+            if not len(nodes):
                 continue
-            own = src[e]
-            x = weight[e] + beta[own + step[e]]
-            value[e] = x
-            new = own[1:] != own[:-1]
-            cut = np.flatnonzero(np.append(True, new))
+            each = count[nodes]
+            e = spans(edge0[nodes], each)
+            x = weight[e] + beta[np.repeat(nodes, each) + self.step[e]]
+            cut = np.cumsum(each) - each
             top = np.maximum.reduceat(x, cut)
-            total = np.add.reduceat(np.exp(x - top[np.append(0, np.cumsum(new))]), cut)
-            beta[own[cut]] = top + np.log(total)
-        logp = np.minimum(value - beta[src], 0.0)
-        p = np.exp(logp)
-        count = np.bincount(src, minlength=n)
-        edge0 = np.cumsum(count) - count
-        live = np.flatnonzero(count)
-        base_node, base_edge = self.tables["left"].n, self.tables["cum"].n
-        run = np.cumsum(p)
-        cum = run - (run - p)[edge0[src]] + src
-        cum[(edge0 + count - 1)[live]] = live + 1.0
-        new = {"cum": cum + base_node, "logp": np.where(count[src] == 1, 0.0, logp), "step": step, "id": ids, "left": left, "edge0": edge0 + base_edge, "first": start + base_node}
-        for k, x in new.items():
-            self.tables[k].add(x)
+            x -= np.repeat(top, each)
+            beta[nodes] = top + np.log(np.add.reduceat(np.exp(x, out=x), cut))
+        self.logp = np.minimum(weight + beta[self.src + self.step] - beta[self.src], 0.0)
+        self.logp[edge0[count == 1]] = 0.0
+        p = np.exp(self.logp)
+        self.cum, run = np.empty(m), np.zeros(n)
+        nodes = places
+        for k in range(int(count.max(initial=0))):
+            nodes = nodes[count[nodes] > k]
+            e = edge0[nodes] + k
+            run[nodes] += p[e]
+            self.cum[e] = run[nodes]
+        self.cum[edge0[places] + count[places] - 1] = 1.0
 
     def draw(self, nodes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Segmentations from nodes to the ends of their runs: edges in order, and how many for each node."""
         count = np.zeros(len(nodes), np.int64)
-        order = np.argsort(nodes, kind="stable")  # equal runs side by side, so tables are read in order
-        rows = order[self.left[nodes[order]] > 0]
-        node, taken, turn = nodes[rows], [], 0
+        rows = np.flatnonzero(self.left[nodes] > 0)
+        node, key, taken, turn = nodes[rows], key[rows], [], 0
         while len(rows):
-            u = _uniform(key[rows] + np.uint64(turn << 1)) + node
+            u = _uniform(key + np.uint64(turn << 1))
             edge = self.edge0[node]
             more = np.flatnonzero(u > self.cum[edge])
             while len(more):
@@ -289,8 +328,8 @@ class Lattices:
             taken.append((rows, edge))
             count[rows] += 1
             node = node + self.step[edge]
-            on = self.left[node] > 0
-            rows, node = rows[on], node[on]
+            on = np.flatnonzero(self.left[node] > 0)
+            rows, node, key = rows[on], node[on], key[on]
             turn += 1
         base = np.cumsum(count) - count
         out = np.empty(int(count.sum()), np.int64)
@@ -298,148 +337,230 @@ class Lattices:
             out[base[rows] + t] = edge
         return out, count
 
-    def ids(self, edges: np.ndarray) -> np.ndarray:
-        """Ids of a path; characters without a piece become their bytes."""
-        i = self.id[edges]
-        odd = np.flatnonzero(i < 0)
+    def flat_ids(self, edges: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of paths that follow one another, ``size`` edges each, and how many each has; characters without a piece become their bytes."""
+        ids = self.id[edges]
+        odd = np.flatnonzero(ids < 0)
         if not len(odd):
-            return i
-        parts, low = [], 0
-        for k in odd:
-            parts += [i[low:k], np.array(self.model.of_char(chr(-1 - int(i[k]))), np.int32)]
-            low = k + 1
-        return np.concatenate([*parts, i[low:]])
+            return ids, size
+        times = np.ones(len(ids), np.int64)
+        chars, which = np.unique(-1 - ids[odd], return_inverse=True)
+        parts = [self.model.of_char(chr(c)) for c in chars.tolist()]
+        times[odd] = np.array([len(p) for p in parts])[which]
+        stop = np.cumsum(times)
+        out = np.repeat(ids, times)
+        where = (stop - times)[odd]
+        for k in range(max(map(len, parts))):
+            has = np.array([len(p) > k for p in parts])[which]
+            out[where[has] + k] = np.array([p[k] if len(p) > k else 0 for p in parts], np.int32)[which[has]]
+        ends = np.cumsum(size)
+        total = np.append(0, stop)
+        return out, total[ends] - total[ends - size]
 
+    def ids(self, edges: np.ndarray) -> np.ndarray:
+        """Ids of one path."""
+        return self.flat_ids(edges, np.array([len(edges)]))[0]
+
+    def own_of(self, runs: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The model's own ids of documents (stretches of ``runs``), and how many each has."""
+        each = self.own0[runs + 1] - self.own0[runs]
+        total = np.append(0, np.cumsum(each))
+        return self.own[spans(self.own0[runs], each)], total[start + size] - total[start]
+
+    def faithful(self) -> np.ndarray:
+        """For each run, whether its own ids decode to it."""
+        model, n = self.model, self.n_words
+        each = model.bytes0[self.own + 1] - model.bytes0[self.own]
+        got = model.bytes[spans(model.bytes0[self.own], each)]
+        stop = np.append(0, np.cumsum(each))[self.own0]
+        text = got.tobytes()
+        want = self.joined.replace(START, " ").replace(LITERAL, START).encode()
+        out = np.ones(len(stop) - 1, bool)
+        out[:n] = got[stop[:n]] == 32  # words hold no space, so equal texts with spaces at the starts have equal words
+        if text[: stop[n]] != want[: stop[n]]:
+            parts = [b" " + w for w in want[1:].split(b" ", n)[:n]]
+            out[:n] = [text[a:b] == w for a, b, w in zip(stop[:n].tolist(), stop[1 : n + 1].tolist(), parts, strict=True)]
+        for i, r in enumerate(self.held):
+            out[n + i] = text[stop[n + i] : stop[n + i + 1]] == r.replace(START, " ").replace(LITERAL, START).encode()
+        return out
 
-#: The noise of 53-bit uniform numbers is at most this, so a region whose log mass is further below can't be reached.
-MOST_NOISE = 37.5
-FIRST = 384  # pieces looked at first
 
+def _keys(seed: np.ndarray, sample: int, run: np.ndarray) -> np.ndarray:
+    return _mixed(seed + np.uint64(sample) * GOLD) ^ (run.astype(np.uint64) << np.uint64(24))
 
-def _keys(seed: np.ndarray | np.uint64, sample: int, run: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _mixed(seed + np.uint64(sample) * GOLD) ^ (run.astype(np.uint64) << np.uint64(24))
 
+HEAD, BLOCK = 24, 128  # pieces with alternatives looked at first, and then at a time
 
-class Paths:
-    """One sampled segmentation of each of some documents, and the regions that part from its first pieces.
 
-    ``region``, ``node`` and ``run`` have a row a document and a column a piece. Masses fall
-    along a path. Where even the most noise can't bring a region to ``least``, a value that
-    ``keep`` other regions of the document are sure to have, regions are left out: they are
-    never popped and are never the threshold.
+class Regions:
+    """The highest regions of each document's paths: ``keep`` of each of ``paths`` paths.
+
+    Columns of a document's row: value, place in the path, edge taken there, log mass before it
+    and run. ``used`` holds the edges at that node that are no longer in the region.
     """
 
-    def __init__(self, lat: Lattices, docs: list[np.ndarray], edges: list[np.ndarray], run: list[np.ndarray], low: np.ndarray, value: np.ndarray, seeds: np.ndarray, sample: int, least: np.ndarray, keep: int) -> None:
-        self.edges, self.value = edges, value
-        size = np.fromiter(map(len, edges), np.int64, len(edges))
+    def __init__(self, n: int, paths: int, keep: int) -> None:
+        self.keep = keep
+        self.value = np.full((n, paths * keep), -np.inf)
+        self.place, self.run = np.zeros((2, n, paths * keep), np.int64)
+        self.node = np.zeros((n, paths * keep), np.int64)
+        self.before = np.zeros((n, paths * keep))
+        self.used = np.full((n, paths * keep, paths + 1), -1, np.int64)
+        self.n_used = np.ones((n, paths * keep), np.int64)
+
+    def add(self, lat: Lattices, path: int, docs: np.ndarray, edges: np.ndarray, size: np.ndarray, run: np.ndarray, low: np.ndarray, before: np.ndarray, bound: np.ndarray, seeds: np.ndarray) -> None:
+        """The regions that part from paths at ``edges``, ``size`` of each of ``docs``, the first at place ``low`` with log mass ``before``."""
+        lp = lat.logp[edges]
+        fork = np.flatnonzero(lp < -1e-12)
         start = np.cumsum(size) - size
-        flat = np.concatenate([*edges, np.zeros(1, np.int64)])
-        lp = lat.logp[flat]
-        lp[-1] = 0.0
-        self.log_prob = np.add.reduceat(lp, np.minimum(start, len(lp) - 1)) * (size > 0)
-        runs = np.concatenate([*run, np.zeros(1, np.int64)])
-        doc_run = np.cumsum([0, *map(len, docs)])[:-1]
-        step = lat.step[flat].astype(np.int64)
-        done = np.cumsum(step) - step
-        new = np.append(True, runs[1:] != runs[:-1])
-        new[start[size > 0]] = True
-        since = done - np.maximum.accumulate(np.where(new, done, 0))
-        words = np.concatenate([*docs, np.zeros(1, np.int64)])
-        node = lat.first[words[np.minimum(np.repeat(doc_run, size), len(words) - 1) + runs[:-1]]] + since[:-1] if len(runs) > 1 else np.zeros(0, np.int64)
-        width = FIRST
-        while True:
-            at = np.arange(width)[None, :]
-            inside = at < size[:, None]
-            k = np.where(inside, start[:, None] + at, len(flat) - 1)
-            part = lp[k]
-            before = np.cumsum(part, 1) - part
-            with np.errstate(divide="ignore", over="ignore"):
-                mass = before + np.log(np.maximum(-np.expm1(part), 0.0))
-                key = (_mixed(seeds + np.uint64(sample) * GOLD)[:, None] ^ (at.astype(np.uint64) << np.uint64(24))) ^ np.uint64(1 << 62)
-                region = _cut_off(mass + _gumbel(key), value[:, None])
-            region[~inside | (part > -1e-12) | (at < low[:, None])] = -np.inf
-            bar = np.where(least == -np.inf, np.partition(region, width - keep, axis=1)[:, width - keep], least) if width > keep else least
-            if width >= size.max(initial=0) or not (inside[:, -1] & (before[:, -1] + MOST_NOISE >= bar)).any():
+        cut = np.append(np.searchsorted(fork, start), len(fork))
+        first, count = cut[:-1], np.diff(cut)
+        here = np.flatnonzero(count > 0)
+        if not len(here):
+            return
+        lp, place = lp[fork], (fork - np.repeat(start - low, count))
+        first, count, bound, carry = first[here], count[here], bound[here], before[here]
+        base = _mixed(seeds[docs[here]] + np.uint64(path) * GOLD)
+
+        def block(rows: np.ndarray, at: int, width: int):
+            column = np.arange(at, at + width)
+            inside = column < count[rows, None]
+            i = np.minimum(first[rows, None] + column, len(lp) - 1)
+            part = np.where(inside, lp[i], 0.0)
+            total = carry[rows, None] + np.cumsum(part, 1)
+            key = base[rows, None] ^ (place[i].astype(np.uint64) << np.uint64(24)) ^ np.uint64(1 << 62)
+            return i, inside, part, total - part, total[:, -1], key
+
+        keep = self.keep
+        width = max(HEAD, 2 * keep)
+        all_rows = np.arange(len(here))
+        i, inside, part, ahead, last, key = block(all_rows, 0, width)
+        with np.errstate(divide="ignore"):
+            value = _cut_off(ahead + np.log(-np.expm1(part)) + _gumbel(key), bound[:, None])
+        value[~inside] = -np.inf
+        best = np.argpartition(-value, keep - 1, axis=1)[:, :keep]
+        top, which, mass = (np.take_along_axis(x, best, 1) for x in (value, i, ahead))
+        carry = last.copy()
+        at = width
+
+        def needed() -> np.ndarray:
+            """What a region's mass and noise must reach to be among the kept."""
+            bar = top.min(1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return np.where(bar == -np.inf, -np.inf, bar - np.log(-np.expm1(np.minimum(bar - bound, -1e-300))))
+
+        need = needed()
+        rows = np.flatnonzero((count > at) & (carry + MOST_NOISE >= need))
+        while len(rows):
+            i, inside, part, ahead, last, key = block(rows, at, BLOCK)
+            u = _uniform(key)
+            with np.errstate(over="ignore"):
+                # the noise is at most -log(1 - u)
+                r, c = np.nonzero(inside & ((1 - u) <= np.exp(ahead - need[rows, None]) * (1 + 1e-9)))
+            if len(r):
+                value = _cut_off(ahead[r, c] + np.log(-np.expm1(part[r, c])) - np.log(-np.log(u[r, c])), bound[rows[r]])
+                new, nth = np.unique(r, return_inverse=True)
+                each = np.bincount(nth)
+                column = np.arange(len(r)) - np.repeat(np.cumsum(each) - each, each) + keep
+                wide = np.full((len(new), keep + int(each.max())), -np.inf)
+                wide_i, wide_m = np.zeros(wide.shape, np.int64), np.zeros(wide.shape)
+                own = rows[new]
+                wide[:, :keep], wide_i[:, :keep], wide_m[:, :keep] = top[own], which[own], mass[own]
+                wide[nth, column], wide_i[nth, column], wide_m[nth, column] = value, i[r, c], ahead[r, c]
+                best = np.argpartition(-wide, keep - 1, axis=1)[:, :keep]
+                top[own], which[own], mass[own] = (np.take_along_axis(x, best, 1) for x in (wide, wide_i, wide_m))
+                need = needed()
+            carry[rows] = last
+            at += BLOCK
+            rows = rows[(count[rows] > at) & (carry[rows] + MOST_NOISE >= need[rows])]
+        d, cols = docs[here][:, None], path * keep + np.arange(keep)
+        self.value[d, cols], self.before[d, cols] = top, mass
+        taken = fork[which]
+        self.place[d, cols], self.run[d, cols], self.node[d, cols] = place[which], run[taken], lat.src[edges[taken]]
+        self.used[d, cols, 0] = edges[taken]
+
+
+class Sampled:
+    """Paths of documents: ``edges[start[d, r] :][: size[d, r]]`` is sample r of document d where ``log_prob`` is a number; ``value`` is its perturbed value."""
+
+    def __init__(self, lat: Lattices, runs: np.ndarray, size: np.ndarray, seeds: np.ndarray, k: int) -> None:
+        with np.errstate(over="ignore"):
+            self._draw(lat, runs, size, seeds, k)
+
+    def _draw(self, lat: Lattices, runs: np.ndarray, size: np.ndarray, seeds: np.ndarray, k: int) -> None:
+        n = len(size)
+        run0 = np.cumsum(size) - size
+        within = np.arange(len(runs)) - np.repeat(run0, size)
+        self.start, self.size = np.zeros((2, n, k), np.int64)
+        self.log_prob, self.value = np.full((n, k), np.nan), np.full((n, k), np.nan)
+        self.edges, count = lat.draw(lat.first[runs], _keys(np.repeat(seeds, size), 0, within))
+        path_run = np.repeat(within, count)
+        total = np.append(0, np.cumsum(count))
+        self.start[:, 0], self.size[:, 0] = total[run0], total[run0 + size] - total[run0]
+        some = size > 0
+        self.value[some, 0] = _gumbel(_mixed(seeds ^ np.uint64(0x5555)))[some]
+        self.log_prob[some, 0] = _sums(lat.logp[self.edges], self.start[:, 0], self.size[:, 0])[some]
+        regions = Regions(n, k, k)
+        regions.add(lat, 0, np.arange(n), self.edges, self.size[:, 0], path_run, np.zeros(n, np.int64), np.zeros(n), self.value[:, 0], seeds)
+        for r in range(1, k):
+            best = regions.value.argmax(1)
+            d = np.flatnonzero(regions.value[np.arange(n), best] > -np.inf)
+            if not len(d):
                 break
-            width *= 2
-        self.region, self.before, self.least = region, before, bar
-        self.node = np.append(node, 0)[np.minimum(k, len(node))]
-        self.run = runs[k]
-        self.used: dict[tuple[int, int], list[int]] = {}
+            c = best[d]
+            value, node, at, before, run = (x[d, c] for x in (regions.value, regions.node, regions.place, regions.before, regions.run))
+            pick, rest = self._other(lat, regions, d, c, node, _uniform(_keys(seeds[d], r, at) ^ np.uint64(1 << 61)))
+            with np.errstate(divide="ignore"):
+                left = _cut_off(before + np.log(rest) + _gumbel(_keys(seeds[d], r, at) ^ np.uint64(1 << 60)), value)
+            regions.value[d, c] = np.where(rest > 1e-15, left, -np.inf)
+            entries = size[d] - run
+            own = spans(run0[d] + run, entries)
+            nodes = lat.first[runs[own]]
+            nodes[np.cumsum(entries) - entries] = node + lat.step[pick]
+            tail, count = lat.draw(nodes, _keys(np.repeat(seeds[d], entries), r, within[own]))
+            total = np.append(0, np.cumsum(count))
+            ends = np.cumsum(entries)
+            more = total[ends] - total[ends - entries]
+            tail_run = np.repeat(within[own], count)
+            # the path: what it shares with the one it parts from, the other edge, the rest
+            length = at + 1 + more
+            base = np.cumsum(length) - length
+            path, which = np.empty((2, int(length.sum())), np.int64)
+            shared = spans(self.start[d, c // k], at)
+            head = spans(base, at)
+            path[head], which[head] = self.edges[shared], path_run[shared]
+            path[base + at], which[base + at] = pick, run
+            behind = spans(base + at + 1, more)
+            path[behind], which[behind] = tail, tail_run
+            self.start[d, r], self.size[d, r] = len(self.edges) + base, length
+            self.log_prob[d, r], self.value[d, r] = _sums(lat.logp[path], base, length), value
+            self.edges, path_run = np.concatenate([self.edges, path]), np.concatenate([path_run, which])
+            regions.add(lat, r, d, tail, more, tail_run, at + 1, before + lat.logp[pick], value, seeds)
+        self.threshold = regions.value.max(1) if n else np.zeros(0)
+
+    @staticmethod
+    def _other(lat: Lattices, regions: Regions, d: np.ndarray, c: np.ndarray, node: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An edge of each node drawn from those still in the region, and the probability of the others that are; the edge leaves the region."""
+        first, count = lat.edge0[node], lat.count[node]
+        column = np.arange(int(count.max()))
+        e = np.minimum(first[:, None] + column, len(lat.logp) - 1)
+        p = np.where(column < count[:, None], np.exp(lat.logp[e]), 0.0)
+        for k in range(int(regions.n_used[d, c].max())):
+            p[e == regions.used[d, c, k, None]] = 0.0
+        run = np.cumsum(p, 1)
+        last = len(column) - 1 - (p[:, ::-1] > 0).argmax(1)
+        pick = np.minimum((run <= (u * run[:, -1])[:, None]).sum(1), last)
+        at = np.arange(len(d))
+        p[at, pick] = 0.0
+        regions.used[d, c, regions.n_used[d, c]] = first + pick
+        regions.n_used[d, c] += 1
+        return first + pick, p.sum(1)
 
 
 def sample(lat: Lattices, docs: list[np.ndarray], seeds: np.ndarray, k: int) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
     """For each document (run numbers): up to ``k`` distinct (edges, log probability, perturbed value) by falling value, and the value that would come next."""
-    with np.errstate(over="ignore"):
-        n = len(docs)
-        size = np.fromiter(map(len, docs), np.int64, n)
-        runs = np.concatenate(docs) if n else np.zeros(0, np.int64)
-        within = np.arange(len(runs)) - np.repeat(np.cumsum(size) - size, size)
-        edges, count = lat.draw(lat.first[runs], _keys(np.repeat(seeds, size), 0, within))
-        of = np.repeat(within, count)
-        cut = np.concatenate([[0], np.cumsum(count)])[np.cumsum(size)][:-1] if n else []
-        found = [Paths(lat, docs, np.split(edges, cut) if n else [], np.split(of, cut) if n else [], np.zeros(n, np.int64), _gumbel(_mixed(seeds ^ np.uint64(0x5555))), seeds, 0, np.full(n, -np.inf), k + 1)]
-        rows = [{d: d for d in range(n)}]  # of each sample: which row a document has in it
-        least = found[0].least
-        for r in range(1, k):
-            starts, keys, todo = [], [], []
-            for d in rows[r - 1]:
-                best = _best(found, rows, d)
-                if best is None:
-                    continue
-                path, row, at = best
-                value, node = float(path.region[row, at]), int(path.node[row, at])
-                used = path.used.setdefault((row, at), [int(path.edges[row][at])])
-                a, b = int(lat.edge0[node]), int(lat.edge0[node]) + 1
-                while lat.cum[b - 1] < node + 1:
-                    b += 1
-                p = np.exp(lat.logp[a:b])
-                p[[e - a for e in used]] = 0
-                u = float(_uniform(_keys(seeds[d : d + 1], r, np.array([at])) ^ np.uint64(1 << 61))[0])
-                pick = a + min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), int(np.flatnonzero(p)[-1]))
-                used.append(pick)
-                p[pick - a] = 0
-                rest = float(p.sum())
-                path.region[row, at] = _cut_off(path.before[row, at] + math.log(rest) + _gumbel(_keys(seeds[d : d + 1], r, np.array([at])) ^ np.uint64(1 << 60))[0], value) if rest > 1e-15 else -np.inf
-                run = int(path.run[row, at])
-                later = docs[d][run + 1 :]
-                starts.append(np.append(node + lat.step[pick], lat.first[later]))
-                keys.append(np.arange(run, run + 1 + len(later)))
-                todo.append((d, path.edges[row][:at], path.run[row, : at + 1], pick, value, run, len(later) + 1))
-            if not todo:
-                break
-            entries = np.array([t[-1] for t in todo])
-            seed = np.repeat(seeds[[t[0] for t in todo]], entries)
-            edges, count = lat.draw(np.concatenate(starts), _keys(seed, r, np.concatenate(keys)))
-            stop = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(entries)])]
-            which = np.concatenate(keys).repeat(count)
-            own, of = [], []
-            for i, (_, head, head_run, pick, _, _, _) in enumerate(todo):
-                own.append(np.concatenate([head, [pick], edges[stop[i] : stop[i + 1]]]))
-                of.append(np.concatenate([head_run, which[stop[i] : stop[i + 1]]]))
-            ids = np.array([t[0] for t in todo])
-            low = np.array([len(t[1]) + 1 for t in todo])
-            found.append(Paths(lat, [docs[d] for d in ids], own, of, low, np.array([t[4] for t in todo]), seeds[ids], r, least[ids], k + 1))
-            rows.append({d: i for i, d in enumerate(ids.tolist())})
-        out = []
-        for d in range(n):
-            best = _best(found, rows, d)
-            mine = [(f, of_row[d]) for f, of_row in zip(found, rows, strict=True) if d in of_row]
-            out.append(([(f.edges[i], float(f.log_prob[i]), float(f.value[i])) for f, i in mine] if size[d] else [], float(best[0].region[best[1], best[2]]) if best else -math.inf))
-        return out
-
-
-def _best(found: list[Paths], rows: list[dict[int, int]], d: int) -> tuple[Paths, int, int] | None:
-    """Where document ``d`` has its highest region."""
-    top = None
-    for f, of_row in zip(found, rows, strict=True):
-        if d in of_row:
-            i = of_row[d]
-            at = int(f.region[i].argmax())
-            if f.region[i, at] > -np.inf and (top is None or f.region[i, at] > top[0]):
-                top = (f.region[i, at], f, i, at)
-    return top and top[1:]
+    got = Sampled(lat, np.concatenate([*docs, np.zeros(0, np.int64)]), np.fromiter(map(len, docs), np.int64, len(docs)), seeds, k)
+    return [([(got.edges[a : a + n], float(lp), float(v)) for a, n, lp, v in zip(got.start[d], got.size[d], got.log_prob[d], got.value[d], strict=True) if lp == lp], float(got.threshold[d])) for d in range(len(docs))]
 
 
 def log_inclusion(log_prob: float, threshold: float) -> float:
@@ -449,24 +570,67 @@ def log_inclusion(log_prob: float, threshold: float) -> float:
 
 
 def digest(ids) -> str:
-    return hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()
+    return hashlib.sha256(np.ascontiguousarray(ids, "<i4")).hexdigest()
 
 
 def _groups(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows in groups of at most ``GROUP`` and some ``GROUP_CHARS`` characters."""
-    low = chars = 0
-    for i, t in enumerate(b.column(2)):
-        chars += len(t.as_buffer()) if t.is_valid else 0
-        if i + 1 - low >= GROUP or chars >= GROUP_CHARS:
-            yield b.slice(low, i + 1 - low)
-            low, chars = i + 1, 0
-    if low < b.num_rows:
-        yield b.slice(low)
+    """Rows in groups of at most ``GROUP``, each ending with the row that passes ``GROUP_BYTES``."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < b.num_rows:
+        high = min(low + GROUP, int(np.searchsorted(size, (size[low - 1] if low else 0) + GROUP_BYTES)) + 1, b.num_rows)
+        yield b.slice(low, high - low)
+        low = high
+
+
+def _digests(flat: np.ndarray, size: np.ndarray) -> pa.Array:
+    stop = np.cumsum(size)
+    flat = np.ascontiguousarray(flat, "<i4")
+    return pa.array([hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip((stop - size).tolist(), stop.tolist(), strict=True)], pa.string())
+
+
+def _lists(flat: np.ndarray, size: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat, pa.int32()))
 
 
 SAMPLE_TYPE = "array<struct<n_pieces:int,log_prob:double,perturbed:double,log_inclusion:double,ids_sha256:string,ids:array<int>>>"
 
 
+def _encoded(part: pa.RecordBatch, lat: Lattices, samples: int, with_ids: bool, with_sample_ids: bool) -> pa.RecordBatch:
+    """The result rows of a group."""
+    runs, size, order = lat.of_texts(pc.fill_null(part.column(2), ""))
+    part = part.take(pa.array(order))
+    seeds = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    start = np.cumsum(size) - size
+    own, n_own = lat.own_of(runs, start, size)
+    good = np.append(0, np.cumsum(lat.faithful()[runs]))
+    got = Sampled(lat, runs, size, seeds, samples)
+    d, r = np.nonzero(got.log_prob == got.log_prob)  # by document, then by falling value
+    n_edges = got.size[d, r]
+    drawn, n_drawn = lat.flat_ids(got.edges[spans(got.start[d, r], n_edges)], n_edges)
+    lp = got.log_prob[d, r]
+    inclusion = [log_inclusion(a, b) for a, b in zip(lp.tolist(), got.threshold[d].tolist(), strict=True)]
+    fields = {
+        "n_pieces": pa.array(n_drawn, pa.int32()),
+        "log_prob": pa.array(lp),
+        "perturbed": pa.array(got.value[d, r]),
+        "log_inclusion": pa.array(inclusion, pa.float64()),
+        "ids_sha256": _digests(drawn, n_drawn),
+        "ids": _lists(drawn, n_drawn) if with_sample_ids else pa.nulls(len(d), pa.list_(pa.int32())),
+    }
+    inner = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
+    each = np.append(0, np.cumsum(np.bincount(d, minlength=len(size)))).astype(np.int32)
+    out = {
+        "id": part.column(0),
+        "n_pieces": pa.array(n_own, pa.int32()),
+        "ids_sha256": _digests(own, n_own),
+        "decoded": pa.array(good[start + size] - good[start] == size),
+        "samples": pa.ListArray.from_arrays(pa.array(each), inner),
+        "ids": _lists(own, n_own) if with_ids else pa.nulls(len(size), pa.list_(pa.int32())),
+    }
+    return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+
 def segmented(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, samples: int = SAMPLES, alpha: float = ALPHA, with_ids: bool = True, with_sample_ids: bool = False) -> DataFrame:
     """Ids and sampled segmentations of every row, whole.
 
@@ -476,8 +640,9 @@ def segmented(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     Null is an empty text: no pieces, no samples, decoded true. A text with fewer than
     ``samples`` segmentations returns all of them, each with log_inclusion 0. Rows with equal
-    ids and texts have equal results; null ids share one seed. An empty table gives no rows.
-    Other columns are not read.
+    ids and texts have equal results; null ids share one seed. A very long text is a group of
+    its own, with memory in proportion to its length. An empty table gives no rows. Other
+    columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -486,21 +651,7 @@ def segmented(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         for b in batches:
             lat = lat or Lattices(Model(model, alpha))
             for part in _groups(b):
-                texts = [t.as_py() or "" for t in part.column(2)]
-                seeds = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                numbered = lat.numbers([lat.model.runs(t) for t in texts])
-                got = sample(lat, numbered, seeds, samples)
-                rows: list[tuple] = []
-                for text, number, (paths, threshold) in zip(texts, numbered, got, strict=True):
-                    own = lat.own_ids(number)
-                    drawn = []
-                    for edges, lp, value in paths:
-                        ids = lat.ids(edges)
-                        drawn.append({"n_pieces": len(ids), "log_prob": lp, "perturbed": value, "log_inclusion": log_inclusion(lp, threshold), "ids_sha256": digest(ids), "ids": ids.tolist() if with_sample_ids else None})
-                    rows.append((len(own), digest(own), lat.model.decode(own) == text, drawn, own.tolist() if with_ids else None))
-                n, sha, same, drawn, own = zip(*rows, strict=True) if rows else ((),) * 5
-                inner = pa.struct([("n_pieces", pa.int32()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("ids_sha256", pa.string()), ("ids", pa.list_(pa.int32()))])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(sha, pa.string()), pa.array(same, pa.bool_()), pa.array(drawn, pa.list_(inner)), pa.array(own, pa.list_(pa.int32()))], names=["id", "n_pieces", "ids_sha256", "decoded", "samples", "ids"])
+                yield _encoded(part, lat, samples, with_ids, with_sample_ids)
 
     out = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("seed"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, n_pieces int, ids_sha256 string, decoded boolean, samples {SAMPLE_TYPE}, ids array<int>")
     return out.withColumnRenamed("id", id_col)

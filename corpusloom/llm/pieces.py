@@ -42,6 +42,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 START, LITERAL = "▁", "\udfff"  # a lone surrogate, which no text holds, stands for a literal U+2581 meanwhile
 RUN = re.compile(f"{START}+[^{START}]*")
@@ -573,16 +575,6 @@ def digest(ids) -> str:
     return hashlib.sha256(np.ascontiguousarray(ids, "<i4")).hexdigest()
 
 
-def _groups(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows in groups of at most ``GROUP``, each ending with the row that passes ``GROUP_BYTES``."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    low = 0
-    while low < b.num_rows:
-        high = min(low + GROUP, int(np.searchsorted(size, (size[low - 1] if low else 0) + GROUP_BYTES)) + 1, b.num_rows)
-        yield b.slice(low, high - low)
-        low = high
-
-
 def _digests(flat: np.ndarray, size: np.ndarray) -> pa.Array:
     stop = np.cumsum(size)
     flat = np.ascontiguousarray(flat, "<i4")
@@ -650,7 +642,7 @@ def segmented(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         lat = None
         for b in batches:
             lat = lat or Lattices(Model(model, alpha))
-            for part in _groups(b):
+            for part in slices(b, 2, GROUP, GROUP_BYTES):
                 yield _encoded(part, lat, samples, with_ids, with_sample_ids)
 
     out = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("seed"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, n_pieces int, ids_sha256 string, decoded boolean, samples {SAMPLE_TYPE}, ids array<int>")

@@ -3,30 +3,51 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder and read from there.
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, a temporary folder is set.
+    Where that is unset a local session, as in tests, gets a temporary folder; on a cluster
+    there is no folder to guess, so it is an error. What is written there stays until whoever
+    set it clears it, as results are read lazily.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-ckpt-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="loom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder and read from there."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder and read from there."""
+    at = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
-    return tuple(row)
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ..., so that no name of a caller's clashes with one of ours, and each name's new one (the first, if a name is repeated)."""
+    new = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*new), dict(reversed(list(zip(df.columns, new, strict=True))))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -42,6 +63,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return kept.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether some node has two parents, or a parent and a child: then the components are not all stars yet."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").limit(1).count() > 0
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge: columns ``node``, ``root``.
 
@@ -53,15 +80,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     a, b = edges.columns[:2]
     edges = checkpointed(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _signature(edges)
     for _ in range(max_rounds):
-        if not before[0]:
+        if not _unsettled(edges):
             break
         edges = checkpointed(_small_star(_large_star(edges)))
-        after = _signature(edges)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

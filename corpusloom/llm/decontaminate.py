@@ -1,25 +1,33 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
-The index is partitioned by document, as the documents are: a posting is (term, document,
-position), made where the document is read, and the words of the document around it are
-its neighbours' postings. Test phrases go to the postings and not the other way: each
-window of an item looks up only its rarest term (by the corpus counts of all benchmark
-terms), subtracts the term's offset in the window from each position, and intersects there
-with the positions of the window's other words. So the frequent terms' long lists are
-never shuffled; what is shuffled is one row for each posting at which a window matched.
-
-Phrase matching demands every word at its own offset. Proximity matching (``slop`` > 0)
-demands the window's words, in any order, within ``slop`` places of where they would stand.
+The index is a table of postings (doc, key, pos), stored once as Parquet in the shared folder
+and partitioned by documents as they were read: one row for each place where a term of the
+benchmark stands (terms that the benchmark lacks can't match), and one more for each document
+with its id and number of words. Corpus counts of terms are counts of postings.
+
+A window of an item looks first at its rarest term by those counts: each of that term's
+postings, less the term's offset in the item, is an alignment of the item with the document.
+Then the lists of the terms around it are intersected with the alignments: a term at offset j
+counts at alignment a where the document has its posting at a + j. Offsets that follow one
+another make a run, and a run as long as a window is a match, so overlapping windows of a
+passage cost one row for each word. What is shuffled is alignments and postings, never words
+or texts; the joins are on (doc, pos, key), which a frequent term can't make hot.
+
+Proximity (``slop`` > 0) takes a term's posting within so many places of a + j.
+
+Terms are known by 64 bits of a hash of the word with A-Z lower-cased.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cluster import checkpointed, numbered, stored
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_WINDOWS = 200_000  # windows of ten words are some 100 bytes each
+SMALL = 500_000  # rows of a few numbers that are broadcast at most; beyond, the same join shuffles
 
 
 def words(text: Column) -> Column:
@@ -28,77 +36,120 @@ def words(text: Column) -> Column:
 
 
 def _key(word: Column) -> Column:
-    """Term number: equal for words that are equal but for the case of A-Z. Matches are verified, so a collision does no harm."""
-    return F.xxhash64(F.lower(word))
+    """Term number. ``lower`` changes A-Z only where all characters are ASCII; ``translate`` is slower and right everywhere."""
+    return F.xxhash64(F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER)))
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_WINDOWS else df
-
-
-def windows(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Distinct windows (item, at, ws): every ``n`` consecutive lower-cased words, or all words of an item of fewer."""
-    ws = benchmark.select(F.col(id_col).alias("item"), words(F.translate(text_col, UPPER, LOWER)).alias("ws")).where("size(ws) > 0")
-    starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - (n - 1), F.lit(1)))
-    return ws.select("item", "ws", F.explode(starts).alias("i")).select("item", F.slice("ws", F.col("i"), n).alias("ws")).distinct()
-
-
-def _anchors(docs: DataFrame, wins: DataFrame, terms: int) -> DataFrame:
-    """Windows grouped by the number of their rarest term: key, wins of (item, off, ws)."""
-    placed = wins.select("item", "ws", F.posexplode("ws").alias("off", "w")).select("item", "ws", "off", _key(F.col("w")).alias("key"))
-    known = placed.select("key").distinct()
-    seen = docs.select(F.explode_outer("ws").alias("w")).select(_key(F.col("w")).alias("key")).join(_sized(known, terms), "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rarest = placed.join(seen, "key").groupBy("item", "ws").agg(F.count(F.lit(1)).alias("have"), F.min(F.struct("n", "off", "key")).alias("r")).where(F.col("have") == F.size("ws"))  # else some word occurs nowhere
-    return rarest.groupBy(F.col("r.key").alias("key")).agg(F.collect_list(F.struct("item", F.col("r.off").alias("off"), "ws")).alias("wins"))
+    return F.broadcast(df) if rows <= SMALL else df
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 10, slop: int = 0) -> DataFrame:
-    """One row for each posting at which windows matched: id, h, found of (item, start, len).
+def index(docs: DataFrame, terms: DataFrame, n_terms: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored postings of ``terms`` (key): doc (the row's number), key, pos, last, id, h.
 
-    ``h`` is a hash of the text: with the id it names the row of ``docs`` (equal rows have
-    equal matches). ``start`` counts words from 0.
+    A row with ``last`` closes a document: ``pos`` is its number of words, ``id`` its id and
+    ``h`` a hash of its text. Other rows have neither.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), words(F.col(text_col)).alias("ws"))
-    wins = windows(benchmark, item_col, item_text, n)
-    count = wins.agg(F.count(F.lit(1)), F.sum(F.size("ws"))).first()
-    anchors = _anchors(d, wins, count[1] or 0)
-    # one generated loop: what leaves it is a posting that some window looks up, with the words around it
-    reach = n - 1 + slop
-    postings = d.select("id", "h", "ws", F.posexplode_outer("ws").alias("pos", "w")).select("id", "h", "ws", "pos", _key(F.col("w")).alias("key"))
-    low = F.greatest(F.col("pos") - reach, F.lit(0))
-    # the row number, always true, keeps the optimiser from moving the verification into the join, which would then leave the generated loop and copy whole documents
-    near = F.when(F.monotonically_increasing_id() >= 0, F.slice("ws", low + 1, F.col("pos") - low + reach + 1))
-    hit = postings.join(_sized(anchors, count[0]), "key").select("id", "h", "pos", low.alias("low"), near.alias("near"), "wins")
-    hit = hit.withColumn("near", F.transform("near", lambda w: F.translate(w, UPPER, LOWER)))
-
-    def stands(c: Column) -> Column:
-        start, size = F.col("pos") - c["off"], F.size(c["ws"])
-        own = F.slice("near", F.greatest(start - slop - F.col("low"), F.lit(0)) + 1, size + 2 * slop)
-        return (start >= 0) & (start + size <= F.col("low") + F.size("near")) & ((own == c["ws"]) if not slop else (F.size(F.array_except(c["ws"], own)) == 0))
-
-    found = F.transform(F.filter("wins", stands), lambda c: F.struct(c["item"].alias("item"), (F.col("pos") - c["off"]).alias("start"), F.size(c["ws"]).alias("len")))
-    return hit.select("id", "h", found.alias("found")).where("size(found) > 0")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 10, slop: int = 0) -> DataFrame:
+    d, name = numbered(docs)
+    text = F.col(name[text_col])
+    d = d.select(F.monotonically_increasing_id().alias("doc"), F.col(name[id_col]).alias("id"), F.xxhash64(text).alias("h"), F.concat(words(text), F.array(F.lit(None).cast("string"))).alias("ws"))
+    every = d.select("doc", "id", "h", F.posexplode("ws").alias("pos", "w"))
+    last = F.col("w").isNull()
+    every = every.select("doc", F.when(last, 0).otherwise(_key(F.col("w"))).alias("key"), "pos", last.alias("last"), F.when(last, F.col("id")).alias("id"), F.when(last, F.col("h")).alias("h"))
+    known = terms.select("key").union(terms.sparkSession.range(1).select(F.lit(0).cast("long"))).distinct()  # 0 is the last row's
+    return stored(every.join(_sized(known, n_terms), "key", "left_semi"), "postings")
+
+
+def _runs(matched: DataFrame, n: int) -> DataFrame:
+    """Places (doc, no, pos) in runs of matched offsets that are as long as a window."""
+    at = Window.partitionBy("doc", "no", "a")
+    x = matched.withColumn("g", F.col("j") - F.row_number().over(at.orderBy("j")))
+    x = x.withColumn("run", F.count(F.lit(1)).over(Window.partitionBy("doc", "no", "a", "g")))
+    return x.where(F.col("run") >= F.least(F.col("size"), F.lit(n))).select("doc", "no", (F.col("a") + F.col("j")).alias("pos"))
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """Distinct items with words: no (a number), item, ws."""
+    b, name = numbered(benchmark)
+    ws = words(F.translate(name[item_text], UPPER, LOWER))
+    return checkpointed(b.select(F.col(name[item_col]).alias("item"), ws.alias("ws")).where("size(ws) > 0").distinct().withColumn("no", F.monotonically_increasing_id()))
+
+
+def aligned(postings: DataFrame, places: DataFrame, n_places: int, n: int, slop: int) -> DataFrame:
+    """Matched offsets (doc, no, size, a, j, gap) of items at the alignments that their windows' rarest terms give; ``gap`` is the distance of the nearest posting."""
+    own = postings.where("NOT last").select("doc", "key", "pos")
+    seen = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    low, high = F.greatest(F.col("off") - (n - 1), F.lit(0)), F.greatest(F.least(F.col("off"), F.col("size") - n), F.lit(0))
+    windows = places.select("no", "size", "off", "key", F.explode(F.sequence(low, high)).alias("i"))
+    wide = F.least(F.col("size"), F.lit(n))
+    rarest = windows.join(_sized(seen, n_places), "key").groupBy("no", "i", "size").agg(F.count(F.lit(1)).alias("have"), F.min(F.struct("n", "off", "key")).alias("r")).where(F.col("have") == wide)  # else some term stands nowhere
+    anchors = rarest.groupBy(F.col("r.key").alias("key"), "no", F.col("r.off").alias("off"), "size").agg(F.min("i").alias("low"), (F.max("i") + wide - 1).alias("high"))
+    anchors = checkpointed(anchors)
+    found = own.join(_sized(anchors, n_places), "key").select("doc", "no", "size", (F.col("pos") - F.col("off")).alias("a"), "low", "high")
+    found = stored(found, "alignments")
+    in_docs = found.select("doc").distinct()
+    near = own.join(_sized(in_docs, in_docs.count()), "doc", "left_semi")
+    want = found.select("doc", "no", "size", "a", F.explode(F.sequence("low", "high")).alias("j")).join(_sized(places.select("no", F.col("off").alias("j"), "key"), n_places), ["no", "j"])
+    want = want.withColumn("d", F.explode(F.sequence(F.lit(-slop), F.lit(slop)))) if slop else want.withColumn("d", F.lit(0))
+    want = want.withColumn("pos", F.col("a") + F.col("j") + F.col("d"))
+    got = want.join(near, ["doc", "pos", "key"]).select("doc", "no", "size", "a", "j", F.abs("d").alias("gap"))
+    # the aggregate and the windows over runs all find their rows together after this one shuffle
+    return checkpointed(got.repartition("doc", "no", "a").groupBy("doc", "no", "size", "a", "j").agg(F.min("gap").alias("gap")))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 10, slop: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents (doc, id, h, n_words), matched offsets (see ``aligned``), and items (no, item)."""
+    items = _items(benchmark, item_col, item_text)
+    places = items.select("no", F.size("ws").alias("size"), F.posexplode("ws").alias("off", "w")).select("no", "size", "off", F.xxhash64("w").alias("key"))
+    n_places = places.count()
+    postings = index(docs, places.select("key").distinct(), n_places, id_col, text_col)
+    rows = postings.where("last").select("doc", "id", "h", F.col("pos").cast("long").alias("n_words"))
+    return rows, aligned(postings, places, n_places, n, slop), items.select("no", "item")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 10) -> DataFrame:
+    """Ids and text hashes (id, h) of the documents that hold a window of the benchmark, each once."""
+    rows, matched, _ = matches(docs, benchmark, id_col, text_col, item_col, item_text, n)
+    return rows.join(_runs(matched, n).select("doc").distinct(), "doc", "left_semi").select("id", "h").distinct()
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 10) -> DataFrame:
+    """The rows of ``docs`` that hold no window of the benchmark, with all columns; nulls, empty texts and repeats stay as they are."""
+    found = checkpointed(contaminated(docs, benchmark, id_col, text_col, item_col, item_text, n))
+    d, name = numbered(docs)
+    same = F.col("id").eqNullSafe(F.col(name[id_col])) & (F.col("h") == F.xxhash64(name[text_col]))
+    return d.join(_sized(found, found.count()), same, "left_anti").toDF(*docs.columns)
+
+
+def _by_doc(hits: DataFrame, items: DataFrame, hit: str, names: str) -> DataFrame:
+    return hits.join(items, "no").groupBy("doc").agg(F.size(F.collect_set("pos")).cast("long").alias(hit), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias(names))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 10, slop: int = 0, near: int = 0) -> DataFrame:
     """Words of each document that stand in passages of the benchmark.
 
     Returns, for every row of ``docs``: ``id_col``, n_words, n_hit (words inside any matched
     window), n_items, items_sha256, contaminated (n_hit > 0), and ``items``, the sorted ids.
+    A window's words count as matched within ``slop`` places of where they would stand, its
+    rarest one exactly there. With ``near`` > ``slop`` the columns n_near and near_items say
+    the same of matches within ``near`` places.
 
-    Null and wordless texts have no words and no hits. Rows with equal id and text, null ids
-    included, each return the same counts. Items without words match nothing; repeated items
+    Null and wordless texts have no words and no hits. Each of several equal rows, null ids
+    included, returns the same counts. Items without words match nothing; repeated items
     count once; an item with a null id counts for hits but isn't listed. Empty tables give
-    no rows or no hits. Other columns are not read.
+    no rows or no hits. A very long text is as many postings as it has benchmark terms, in
+    one task's stream. Other columns, whatever their names, are not read.
     """
-    found = matches(docs, benchmark, id_col, text_col, item_col, item_text, n, slop)
-    inside = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform("f", lambda x: F.struct(x["start"], x["len"]))), lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))
-    items = F.array_sort(F.array_distinct(F.filter(F.transform("f", lambda x: x["item"].cast("string")), lambda x: x.isNotNull())))
-    hits = found.groupBy("id", "h").agg(F.flatten(F.collect_list("found")).alias("f")).select("id", "h", F.size(inside).cast("long").alias("n_hit"), items.alias("items"))
-    all_docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
-    out = all_docs.join(hits.select(F.col("id").alias("id2"), F.col("h").alias("h2"), "n_hit", "items"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
-    out = out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return out.select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
+    rows, matched, items = matches(docs, benchmark, id_col, text_col, item_col, item_text, n, max(slop, near))
+    out = rows.select("doc", F.col("id"), "n_words").join(_by_doc(_runs(matched.where(F.col("gap") <= slop), n), items, "n_hit", "items"), "doc", "left")
+    none = F.array().cast("array<string>")
+    extra = []
+    if near > slop:
+        out = out.join(_by_doc(_runs(matched, n), items, "n_near", "near_items"), "doc", "left")
+        extra = [F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("near_items", none).alias("near_items")]
+    out = out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), *extra)
+    more = ["n_near", "near_items"] if extra else []
+    return out.select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", *more)
 
 
 ORACLE_SQL = r"""

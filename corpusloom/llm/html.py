@@ -18,7 +18,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -59,24 +61,76 @@ class Node:
         self.truth: int | None = None
 
 
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base link meta title script style noscript template".split())
+#: Hidden elements that are open to the end of the page if they are never closed, as browsers have it.
+RAW = frozenset(("script", "style"))
+
+
 class Tree(HTMLParser):
-    """Elements that can be seen, with text in place; missing end tags are implied."""
+    """Elements that can be seen, with text in place; missing end tags are implied.
+
+    Nothing on a page is an error. What the parser would refuse (odd declarations, markup that
+    is cut off) is skipped; an element that hides its content hides nothing if its end tag
+    never comes or if it closes itself; the head ends where something else than head matter
+    begins.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.here = Node("html", frozenset(), None)
         self.nodes = [self.root]
         self.hidden: list[str] = []
+        self.open: Counter = Counter()
+        self.lines: list[int] = []
+        self.last_end: dict[str, int] = {}
+
+    def read(self, html: str) -> None:
+        self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.whole = html
+        self.feed(html)
+        self.close()
+
+    def _skipped(self, i: int, k: int) -> int:
+        """Where to go on after markup at ``i``; -1 would mean that its end is missing."""
+        if k < 0:
+            k = self.rawdata.find(">", i) + 1
+        return k or len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._skipped(i, self.rawdata.find(">", i) + 1 or -1)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        k = super().parse_comment(i, report)
+        return k if k >= 0 else len(self.rawdata)
+
+    def parse_pi(self, i: int) -> int:
+        return self._skipped(i, super().parse_pi(i))
+
+    def parse_starttag(self, i: int) -> int:
+        return self._skipped(i, super().parse_starttag(i))
+
+    def parse_endtag(self, i: int) -> int:
+        return self._skipped(i, super().parse_endtag(i))
+
+    def _ends_later(self, tag: str) -> bool:
+        """Whether an end tag of ``tag`` comes after this place."""
+        if tag not in self.last_end:
+            ends = [m.start() for m in re.finditer(f"</{tag}", self.whole, re.I)]
+            self.last_end[tag] = ends[-1] if ends else -1
+        line, column = self.getpos()
+        return self.lines[line - 1] + column < self.last_end[tag]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.hidden == ["head"] and tag not in IN_HEAD:
+            self.hidden.clear()
         if self.hidden:
-            if tag in HIDDEN and tag not in VOID:
+            if tag in HIDDEN and (tag in RAW or self._ends_later(tag)):
                 self.hidden.append(tag)
-            elif tag == "body" and self.hidden == ["head"]:
-                self.hidden.clear()
             return
         if tag in HIDDEN:
-            self.hidden.append(tag)
+            if tag in RAW or tag == "head" or self._ends_later(tag):
+                self.hidden.append(tag)
             return
         if tag in ("html", "body"):
             self._describe(self.root, attrs)
@@ -92,19 +146,18 @@ class Tree(HTMLParser):
         self.nodes.append(node)
         if tag not in VOID:
             self.here = node
+            self.open[tag] += 1
 
-    @staticmethod
-    def _describe(node: Node, attrs: list) -> None:
+    def _describe(self, node: Node, attrs: list) -> None:
         found = set(node.hints)
         for k, v in attrs:
             if k in ("class", "id", "role") and v:
                 found.update(HINT_OF[w] for w in (x.lower() for x in WORD.findall(v)) if w in HINT_OF)
-            elif k == "truth" and v is not None:
-                node.truth = int(v)
         node.hints = frozenset(found)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
+        if tag not in HIDDEN:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if self.hidden:
@@ -112,13 +165,23 @@ class Tree(HTMLParser):
                 while self.hidden.pop() != tag:
                     pass
             return
-        n = self.here
-        while n.parent is not None and n.tag != tag:
-            n = n.parent
-        if n.parent is not None:
-            self.here = n.parent
+        if self.open[tag]:
+            n = self.here
+            while n.parent is not None and n.tag != tag:
+                n = n.parent
+            self._close(n)
+
+    def _close(self, n: Node) -> None:
+        """Closes ``n`` and all that is open in it."""
+        while self.here is not n:
+            self.open[self.here.tag] -= 1
+            self.here = self.here.parent
+        self.open[n.tag] -= 1
+        self.here = n.parent
 
     def _imply(self, tags: frozenset, stop: frozenset) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         n = self.here
         found = None
         while n.parent is not None and n.tag not in stop:
@@ -126,9 +189,11 @@ class Tree(HTMLParser):
                 found = n
             n = n.parent
         if found is not None:
-            self.here = found.parent
+            self._close(found)
 
     def handle_data(self, data: str) -> None:
+        if self.hidden == ["head"] and not data.isspace():
+            self.hidden.clear()
         if self.hidden or not data:
             return
         here = self.here
@@ -138,12 +203,35 @@ class Tree(HTMLParser):
             here.ends += data.count(".") + data.count("?") + data.count("!")
 
 
-def parse(html: str | None) -> list[Node]:
-    """Elements, parents before children; sums of text and links from below are filled in."""
+class LabelledTree(Tree):
+    """Elements of a page whose tags say in ``truth`` whether they are content."""
+
+    def _describe(self, node: Node, attrs: list) -> None:
+        super()._describe(node, attrs)
+        node.truth = next((int(v) for k, v in attrs if k == "truth"), node.truth)
+
+
+STYLED, TAGS = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)"), re.compile(r"(?s)<[A-Za-z/!?].*?(?:>|\Z)")
+
+
+def _stripped(html: str) -> Tree:
+    """A page of one element: its text without tags."""
     t = Tree()
+    t.handle_data(unescape(TAGS.sub(" ", STYLED.sub(" ", html))))
+    return t
+
+
+def parse(html: str | None, tree: type[Tree] = Tree) -> list[Node]:
+    """Elements, parents before children; sums of text and links from below are filled in.
+
+    Should the parser fail on a page after all, its tags are stripped.
+    """
+    t = tree()
     if html:
-        t.feed(html)
-        t.close()
+        try:
+            t.read(html)
+        except (AssertionError, ValueError, IndexError):
+            t = _stripped(html)
     for n in reversed(t.nodes):
         if n.tag == "a":
             n.linked = n.chars
@@ -248,9 +336,7 @@ def blocks(nodes: list[Node], keep: list[bool]) -> list[str]:
             out.append(line)
         buffer.clear()
 
-    todo: list = [nodes[0]]
     stack: list[tuple[Node, int]] = [(nodes[0], 0)]
-    del todo
     while stack:
         n, i = stack.pop()
         if i == len(n.flow):
@@ -374,7 +460,7 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[list[Node]]:
         if r.random() < 0.3:  # the same without the tags that say it: then the class does
             for tag in ("header", "nav", "footer", "aside"):
                 page = re.sub(rf'<{tag} truth="0"(?: (?:class|id)="([^"]*)")?>', lambda m, tag=tag: f'<div truth="0" class="{m[1] or tag}">', page).replace(f"</{tag}>", "</div>")
-        nodes = parse("<body>" + page)
+        nodes = parse("<body>" + page, LabelledTree)
         for x in nodes:
             x.truth = int(x.truth or 0) if x is not nodes[0] else 1
         pages.append(nodes)
@@ -385,9 +471,10 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """Main text of every row: ``id_col``, ``url_col``, text (empty if none), n_chars (code points).
 
     Null and empty html give an empty text; a cut-off or ill-formed page gives what could be
-    read. ``br`` parts words and not blocks. Repeated rows and null ids stay; an empty table
-    gives no rows. Other columns are not read. Without ``field`` one is learned from
-    ``labelled_pages``.
+    read, and no page fails the job (see ``Tree``). ``br`` parts words and not blocks. A very
+    long or deep page takes time and memory in proportion to its length. Repeated rows and null
+    ids stay; an empty table gives no rows. Other columns are not read. Without ``field`` one
+    is learned from ``labelled_pages``.
     """
     field = field or fit(labelled_pages())
     types = pages.schema

@@ -5,10 +5,11 @@ at a byte are added up into scores of the languages there, so every position get
 distribution, and a document's probabilities are the mean over its positions. Trained here
 in numpy by backpropagation through time.
 
-A text of any length is read whole. It is cut into stretches of ``CORE`` bytes that run
-side by side; each state starts ``WARM`` bytes before its stretch (after it, for the
-backward unit), long enough for a gated state of this size to forget where it started, so
-memory and step count don't depend on the longest text.
+A text of any length is read whole. The network is defined on stretches: a text is cut into
+stretches of ``CORE`` bytes, and the unit of each direction runs from a zero state ``WARM``
+bytes before its stretch (after it, for the backward unit; spaces stand outside the text) to
+the stretch's end. So every byte's label depends on the bytes around it and not on the text's
+length, stretches run side by side, and memory and step count don't depend on the longest text.
 """
 
 from __future__ import annotations
@@ -21,11 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import slices
+from .cluster import numbered
+
 SAMPLE, PIECES, PIECE = 4000, 6, 64  # documents to learn from, pieces of each, bytes of a piece
 HIDDEN, STEPS, BATCH, RATE = 6, 500, 192, 0.02
 CORE, WARM, SIDE = 240, 16, 1024  # SIDE: stretches that run side by side
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # and some signs that are numbers; see has_letter
+ROWS, BYTES = 512, 1 << 20  # texts labelled at a time
 
 
 def _tanh_gate(a: np.ndarray) -> np.ndarray:
@@ -36,6 +41,13 @@ def _tanh_gate(a: np.ndarray) -> np.ndarray:
     return a
 
 
+def has_letter(text: bytes | None) -> bool:
+    """Whether a text has a letter (of any script; fractions, superscripts and Roman number signs are none)."""
+    s = (text or b"").decode("utf-8", "replace")
+    first = LETTER.search(s)
+    return first is not None and (first[0].isalpha() or any(map(str.isalpha, s[first.end() :])))
+
+
 class Network:
     """Weights by direction: gates ``wg`` (2,256,2H) and ``ug`` (2,H,2H), candidate ``wc`` (2,256,H) and ``uc`` (2,H,H), output ``v`` (2,H,K) and ``b`` (K).
 
@@ -170,7 +182,7 @@ class Network:
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
         """Language and its pooled probability; ``und`` and 0 for null and for texts without a letter."""
-        known = [i for i, t in enumerate(texts) if t and LETTER.search(t.decode("utf-8", "replace"))]
+        known = [i for i, t in enumerate(texts) if has_letter(t)]
         names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if known and self.langs:
             sums = self.position_sums([texts[i] for i in known])
@@ -211,21 +223,37 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return net
 
 
-def predictions(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Language of every row: ``id_col``, held_out, lang_pred, score, and the columns ``keep``.
+def predictions(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Language of every row: ``id_col``, held_out, lang_pred, score.
 
     ``lang_pred`` is ``und`` with score 0 if the text is null or has no letter. Repeated rows
     and null ids (held_out false) stay; an empty table gives no rows. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for low in range(0, b.num_rows, 512):
-                part = b.slice(low, 512)
+            for part in slices(b, 1, ROWS, BYTES):
                 names, score = net.predict(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), *part.columns[2:]], names=["id", "lang_pred", "score", *b.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+
+    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    return out.select(F.col("id").alias(id_col), (_remainder("id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def identified(docs: DataFrame, net: Network, sure: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language has at least the probability ``sure``, with all columns.
+
+    A row's columns go through the worker once, in small parts; its text is read where it
+    stands. Null texts and texts without a letter go; repeated rows stay or go together.
+    """
+    d, name = numbered(docs)
+    at = d.columns.index(name[text_col])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, at, ROWS, BYTES):
+                names, score = net.predict(part.column(at).cast(pa.binary()).to_pylist())
+                yield part.filter(pa.array([n != UNKNOWN and p >= sure for n, p in zip(names, score, strict=True)], pa.bool_()))
 
-    kinds = [f"id {rows.schema['id'].dataType.simpleString()}", "lang_pred string", "score double", *(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))]
-    out = rows.mapInArrow(run, ", ".join(kinds))
-    return out.select(F.col("id").alias(id_col), (_remainder("id", 4) == 2).alias("held_out"), "lang_pred", "score", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
+    return d.mapInArrow(run, d.schema).toDF(*docs.columns)

@@ -6,8 +6,8 @@ query a zero there, with M the largest squared length: d^2 = |q|^2 + M - 2 q.x.
 metric, so an M-tree applies: pages of entries, each with its distance to the page's
 routing object, and on each page's own entry above a covering radius.
 
-Rows are dealt to shards by a hash of their id, so a vector that a third of all rows repeat
-is spread over all shards, and each shard (of ``SHARD`` rows or so) builds its tree in one
+Rows are dealt to shards by a hash of their id and of the input's partition, so neither a
+vector nor an id that a third of all rows repeat falls into one shard, and each shard (of ``SHARD`` rows or so) builds its tree in one
 task. All queries then stream past every shard's tree; each searches it best first: a
 heap of pages by their lower bound, an entry's distance computed only if the stored
 distance to its parent leaves it in reach by the triangle inequality, until no page can
@@ -183,7 +183,7 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame | None = None, id_
     wider = asked.agg(F.max(F.size("v"))).first()[0]
     width, bound = max(width or 0, wider or 0), float(bound or 0.0)
     shards = max(1, -(-(n or 0) // shard))
-    stored = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("s"), F.lit(0).alias("kind"), "id", "v")
+    stored = rows.select(F.pmod(F.xxhash64("id", F.spark_partition_id()), F.lit(shards)).cast("int").alias("s"), F.lit(0).alias("kind"), "id", "v")
     sought = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), F.lit(1).alias("kind"), "id", "v")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

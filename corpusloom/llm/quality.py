@@ -8,8 +8,10 @@ transitions from these line labels by its exact conditional likelihood. A docume
 quality is the share of good in the forward-backward marginals of its lines, weighted by
 their length, put on a probability scale by a logistic curve.
 
-Fitting takes ``SAMPLE`` labelled documents in the order of a hash of their id; all
-documents are scored, whole.
+Fitting takes ``SAMPLE`` labelled documents of at most ``LINES`` lines, in the order of a hash
+of their id; all documents are scored, whole. Chains run side by side in groups of like
+length whose cells are bounded, so a document's memory follows its own lines and never
+widens others.
 """
 
 from __future__ import annotations
@@ -21,8 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 6000
-CHUNK = 512  # documents whose chains run side by side
+from .arrow import slices
+from .cluster import numbered
+
+SAMPLE, LINES = 6000, 2000  # labelled documents to learn from at most, and lines of each at most
+ROWS, BYTES = 512, 1 << 20  # texts turned into features at a time
+CELLS = 1 << 17  # of chains that run side by side: chains times the longest
 LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 UPPERS = bytes(range(65, 91))
 DIGITS = b"0123456789"
@@ -86,6 +92,17 @@ def widened(own: np.ndarray) -> np.ndarray:
     return out
 
 
+def _side_by_side(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of the chains that have lines, in groups of like length of at most ``CELLS`` cells (or one chain)."""
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] > 0]
+    high = len(order)
+    while high:
+        low = max(0, high - max(1, CELLS // int(size[order[high - 1]])))
+        yield order[low:high]
+        high = low
+
+
 def _log_add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logaddexp(a, b)
 
@@ -141,15 +158,13 @@ class LineField:
     def shares(self, chains: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Length-weighted share of good of each chain; 0 for a chain without lines."""
         out = np.zeros(len(chains))
-        order = sorted((i for i, (x, _) in enumerate(chains) if len(x)), key=lambda i: len(chains[i][0]))
-        for at in range(0, len(order), CHUNK):
-            ids = order[at : at + CHUNK]
-            size = np.array([len(chains[i][0]) for i in ids])
-            rows = np.concatenate([widened(chains[i][0]) for i in ids])
-            flat = ((rows - self.mean) * self.scale) @ self.weights
+        sizes = np.fromiter((len(x) for x, _ in chains), np.int64, len(chains))
+        for ids in _side_by_side(sizes):
+            size = sizes[ids]
             score, weight = np.zeros((len(ids), size.max())), np.zeros((len(ids), size.max()))
-            inside = np.arange(size.max())[None, :] < size[:, None]
-            score[inside], weight[inside] = flat, np.concatenate([chains[i][1] for i in ids])
+            for row, i in enumerate(ids):
+                score[row, : size[row]] = ((widened(chains[i][0]) - self.mean) * self.scale) @ self.weights
+                weight[row, : size[row]] = chains[i][1]
             _, good, _ = forward_backward(score, size, self.move)
             out[ids] = (good * weight).sum(1) / weight.sum(1)
         return out
@@ -186,17 +201,26 @@ def fit(chains: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Line
     np.minimum.at(worst, doc, p)
     line = np.where((y == 0) & (p > 0.5) & (p > worst[doc]), 1.0, y)
 
-    inside = np.arange(size.max())[None, :] < size[:, None]
-    pos = np.zeros((len(used), size.max()))
-    pos[inside] = line
+    start = np.cumsum(size) - size
+    groups = []  # of chains that run side by side: their cells that hold lines, those lines, sizes
     gold = np.zeros((2, 2))
-    np.add.at(gold, (pos[:, :-1][inside[:, 1:]].astype(int), pos[:, 1:][inside[:, 1:]].astype(int)), 1.0)
-    score, total = np.zeros((len(used), size.max())), float(len(line))
+    for ids in _side_by_side(size):
+        inside = np.arange(size[ids].max())[None, :] < size[ids][:, None]
+        groups.append((inside, np.concatenate([np.arange(start[k], start[k] + size[k]) for k in ids]), size[ids]))
+        pos = np.zeros(inside.shape)
+        pos[inside] = line[groups[-1][1]]
+        np.add.at(gold, (pos[:, :-1][inside[:, 1:]].astype(int), pos[:, 1:][inside[:, 1:]].astype(int)), 1.0)
+    total = float(len(line))
 
     def field_grad(v):
-        score[inside] = x @ v[:width]
-        _, good, pairs = forward_backward(score, size, v[width:].reshape(2, 2))
-        return np.concatenate([x.T @ (good[inside] - line) / total + 1e-4 * v[:width], (pairs - gold).ravel() / total + 1e-3 * v[width:]])
+        flat, good, pairs = x @ v[:width], np.empty(len(line)), np.zeros((2, 2))
+        for inside, rows, sizes in groups:
+            score = np.zeros(inside.shape)
+            score[inside] = flat[rows]
+            _, marginal, more = forward_backward(score, sizes, v[width:].reshape(2, 2))
+            good[rows] = marginal[inside]
+            pairs += more
+        return np.concatenate([x.T @ (good - line) / total + 1e-4 * v[:width], (pairs - gold).ravel() / total + 1e-3 * v[width:]])
 
     v = _adam(field_grad, np.concatenate([w, np.zeros(4)]), 80, 0.05)
     field = LineField(mean, scale, v[:width], v[width:].reshape(2, 2), (0.0, 0.0))
@@ -210,41 +234,65 @@ def _remainder(id_col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus, F.lit(0))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> LineField:
-    """Fits on at most ``sample`` labelled documents whose crc32(id) mod 3 is not 1.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, lines: int = LINES) -> LineField:
+    """Fits on at most ``sample`` labelled documents whose crc32(id) mod 3 is not 1, each of at most ``lines`` lines.
 
-    The lowest label counts where an id has several. Only line features reach the driver.
+    The lowest label counts where an id has several, and one of the texts where rows repeat an
+    id. Only line features reach the driver. Null ids, labels and texts teach nothing.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (_remainder(id_col, 3) != 1))
     known = known.groupBy(F.col(id_col).alias("lid")).agg(F.min(label_col).cast("int").alias("y")).orderBy(F.xxhash64("lid"), "lid").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [chain(t.as_py()) for t in b.column("t")]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([x.ravel().tolist() for x, _ in got], pa.list_(pa.float32())), pa.array([n.tolist() for _, n in got], pa.list_(pa.float32()))], names=["y", "x", "n"])
+            for part in slices(b, 2, ROWS, BYTES):
+                got = [chain(t.as_py()) for t in part.column(2)]
+                fits = pa.array([len(n) <= lines for _, n in got])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.astype("<f4").tobytes() for x, _ in got], pa.binary()), pa.array([n.astype("<f4").tobytes() for _, n in got], pa.binary())], names=["did", "y", "x", "n"]).filter(fits)
 
     # the sample is of bounded size, so it may be broadcast
     rows = docs.select(F.col(id_col).alias("did"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(known), F.col("did") == F.col("lid")).select("did", "y", "t")
-    got = rows.mapInArrow(lambda it: run(it), "y int, x array<float>, n array<float>").toPandas()
-    order = sorted(range(len(got)), key=lambda i: (got.y[i], len(got.n[i]), float(np.sum(got.x[i])), float(np.sum(got.n[i]))))  # the same order however the rows arrive
-    chains = [(np.asarray(got.x[i], np.float32).reshape(-1, N_OWN), np.asarray(got.n[i], np.float32)) for i in order]
-    return fit(chains, np.array([int(got.y[i]) for i in order], int))
+    kind = rows.schema["did"].dataType.simpleString()
+    seen = rows.mapInArrow(run, f"did {kind}, y int, x binary, n binary").groupBy("did", "y").agg(F.min(F.struct("x", "n")).alias("r"))
+    got = seen.select("did", "y", "r.x", "r.n").collect()
+    chains = sorted(((r.y, len(r.n), bytes(r.x), bytes(r.n)) for r in got))  # the same order however the rows arrive
+    held = [(np.frombuffer(x, "<f4").reshape(-1, N_OWN), np.frombuffer(n, "<f4")) for _, _, x, n in chains]
+    return fit(held, np.array([c[0] for c in chains], int))
 
 
-def scores(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Quality of every row: ``id_col``, held_out, score, predicted, and the columns ``keep``.
+def scores(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Quality of every row: ``id_col``, held_out, score, predicted.
 
     Null, empty and blank texts have no lines and score as all bad. Repeated rows and null
     ids (held_out false) stay; an empty table gives no rows. Other columns are not read.
     """
-    kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), *kept)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, 1, ROWS, BYTES):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_scored(part.column(1), field))], names=["id", "score"])
+
+    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return out.select(F.col("id").alias(id_col), (_remainder("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _scored(texts: pa.Array, field: LineField) -> np.ndarray:
+    return field.score([chain(t.as_py()) for t in texts])
+
+
+def good(docs: DataFrame, field: LineField, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the field predicts to be good (a score of one half or more), with all columns.
+
+    A row's columns go through the worker once, in small parts; its text is read where it
+    stands. Null, empty and blank texts go; repeated rows stay or go together.
+    """
+    d, name = numbered(docs)
+    at = d.columns.index(name[text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = field.score([chain(t.as_py()) for t in b.column(1)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), *b.columns[2:]], names=["id", "score", *b.schema.names[2:]])
+            for part in slices(b, at, ROWS, BYTES):
+                yield part.filter(pa.array(_scored(part.column(at).cast(pa.binary()), field) >= 0.5))
 
-    kinds = [f"id {rows.schema['id'].dataType.simpleString()}", "score double", *(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))]
-    out = rows.mapInArrow(run, ", ".join(kinds))
-    return out.select(F.col("id").alias(id_col), (_remainder("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
+    return d.mapInArrow(run, d.schema).toDF(*docs.columns)

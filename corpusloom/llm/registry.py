@@ -39,6 +39,11 @@ def op6_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def decontamination_near(spark, sf_dir):
+    """Benchmark passages in every document, also with words up to two places from where they would stand."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=2).select("doc_id", "n_words", "n_hit", "n_near", "near_items")
+
+
 def op7_html(spark, sf_dir):
     """Main text of every page."""
     return html.extracted(table(spark, sf_dir, "pages"))
@@ -57,13 +62,14 @@ def op9_pseudo_likelihood(spark, sf_dir):
 
 
 def op10_token_counts(spark, sf_dir):
-    """Tokens of every document before and after edits at hashed places."""
+    """Tokens of every document before and after edits at hashed places, which take up the trees that the first count kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokens.edited_counts(docs.withColumn("edits", tokens.hashed_edits(F.col("doc_id"), F.col("text"))))
+    kept = tokens.planted(docs.withColumn("edits", tokens.hashed_edits(F.col("doc_id"), F.col("text"))), edits_col="edits")
+    return tokens.edited_counts(kept, tree_col="tree")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_mtree, op3_pieces, op4_language, op5_url_filter, op6_decontamination, op7_html, op8_quality, op9_pseudo_likelihood, op10_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_mtree, op3_pieces, op4_language, op5_url_filter, op6_decontamination, op7_html, op8_quality, op9_pseudo_likelihood, op10_token_counts, decontamination_near)}
 
 
 def oracle_sql() -> dict:

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import checkpointed, components
+from .cluster import checkpointed, components, numbered
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (first bit, bits)
@@ -187,8 +187,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 2, bucket: int = 48) -> DataFrame:
     """One row of ``docs``, with all its columns, for each group of near-duplicates: that of the smallest id.
 
-    A null id stands for its group only if all ids in it are null. If the row that stands
-    for a group is repeated, one copy stays.
+    A null id stands for its group only if all ids in it are null; null and wordless texts are
+    one group. If several rows have the id and text that stand for a group, the one whose
+    columns as JSON have the smallest hash stays. Column names may be any.
     """
     return first_rows(docs, _grouped(docs, id_col, text_col, width, bits, bucket).select("id", "h", "root"), id_col, text_col)
 
@@ -196,8 +197,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def first_rows(docs: DataFrame, of: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The row of the smallest id of each group, where ``of`` has (id, h, root) of every row."""
     of = checkpointed(of)
-    first = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("r")).select(F.col("r.id").alias("__id"), F.col("r.h").alias("__h"))
-    kept = docs.join(first, F.col("__id").eqNullSafe(docs[id_col]) & (F.col("__h") == F.xxhash64(docs[text_col])), "left_semi")
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("r")).select(F.col("r.id").alias("id"), F.col("r.h").alias("h"))
+    d, name = numbered(docs)
+    kept = d.join(first, F.col("id").eqNullSafe(F.col(name[id_col])) & (F.col("h") == F.xxhash64(name[text_col])), "left_semi")
     if of.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col, text_col])
-    return kept
+        same = Window.partitionBy(name[id_col], name[text_col]).orderBy(F.xxhash64(F.to_json(F.struct(*d.columns))))
+        kept = kept.withColumn("n", F.row_number().over(same)).where("n = 1").drop("n")
+    return kept.toDF(*docs.columns)

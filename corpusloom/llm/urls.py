@@ -1,7 +1,8 @@
 """URL filters: listed rules first, then gradient-boosted trees on lexical features.
 
 All of it is DataFrame operations. Rules label the URLs that they fit; the trees learn from
-those labels and judge the rest. Features are binned, and the labelled URLs are grouped by
+those labels and judge the rest; a labelled URL's suffix statistics come from the other folds
+of the labelled URLs, so they don't give its own label away. Features are binned, and the labelled URLs are grouped by
 their bins, so training works on a table of counts: each level of each tree is one grouped
 sum of gradients by (node, feature, bin), combined before its shuffle, and the driver reads
 a row for each of them (nodes x features x bins, however many URLs there are). A trained
@@ -21,7 +22,7 @@ from .cluster import checkpointed
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Verdict and rule; a rule is a host and the start of a path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-BINS, TREES, DEPTH, RATE, RIDGE, PRIOR = 16, 10, 2, 0.5, 1.0, 20.0
+BINS, TREES, DEPTH, RATE, RIDGE, PRIOR, FOLDS = 16, 10, 2, 0.5, 1.0, 20.0, 5
 
 
 def host(url: Column) -> Column:
@@ -79,9 +80,15 @@ def _suffixes(host: Column, path: Column) -> dict[str, Column]:
 
 
 def _rates(labelled: DataFrame, by: str, base: float) -> DataFrame:
-    """Smoothed share of blocked URLs and size of each suffix among the labelled; one row a suffix."""
-    got = labelled.groupBy(by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    return got.select(by, ((F.col("bad") + base * PRIOR) / (F.col("n") + PRIOR)).alias(f"{by}_rate"), F.log1p("n").alias(f"{by}_size"))
+    """Smoothed share of blocked URLs and size of each suffix among the labelled of all other folds; fold -1 has none of its own.
+
+    So no labelled URL's statistics hold its own label. One row a suffix and fold.
+    """
+    own = labelled.groupBy(by, "fold").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    whole = labelled.groupBy(by).agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
+    folds = whole.select("*", F.explode(F.sequence(F.lit(-1), F.lit(FOLDS - 1))).alias("fold")).join(own, [by, "fold"], "left").fillna({"n": 0, "bad": 0})
+    n, bad = F.col("all_n") - F.col("n"), F.col("all_bad") - F.col("bad")
+    return folds.select(by, "fold", ((bad + base * PRIOR) / (n + PRIOR)).alias(f"{by}_rate"), F.log1p(n).alias(f"{by}_size"))
 
 
 def _binned(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
@@ -169,17 +176,18 @@ def verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     url = F.coalesce(F.col(url_col), F.lit(""))
     base = pages.select(F.col(id_col).alias("id"), url.alias("u")).select("id", "u", host(F.col("u")).alias("host"), path(F.col("u")).alias("path"))
     name, said = rule(F.col("host"), F.col("path"), rules)
-    base = base.withColumns({"rule": name, "said": said} | _suffixes(F.col("host"), F.col("path")))
-    labelled = base.where("said IS NOT NULL").groupBy("top", "domain", "section").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("said") == "block").alias("bad"))
+    fold = F.when(said.isNull(), -1).otherwise(F.pmod(F.xxhash64("u"), F.lit(FOLDS))).cast("int")
+    base = base.withColumns({"rule": name, "said": said, "fold": fold} | _suffixes(F.col("host"), F.col("path")))
+    labelled = base.where("said IS NOT NULL").groupBy("top", "domain", "section", "fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("said") == "block").alias("bad"))
     labelled = checkpointed(labelled)
     n, bad = (x or 0 for x in labelled.agg(F.sum("n"), F.sum("bad")).first())
     share = bad / n if n else 0.0
     out = ["id", "host", "path", "rule", "said"]
     if 0 < bad < n:
-        full = base.select(*out, "top", "domain", "section", *[c.alias(k) for k, c in lexical(F.col("u"), F.col("host"), F.col("path")).items()])
+        full = base.select(*out, "top", "domain", "section", "fold", *[c.alias(k) for k, c in lexical(F.col("u"), F.col("host"), F.col("path")).items()])
         features = list(lexical(F.lit(""), F.lit(""), F.lit("")))
         for by in ("top", "domain", "section"):
-            full = full.join(_rates(labelled, by, share), by, "left").fillna({f"{by}_rate": share, f"{by}_size": 0.0})
+            full = full.join(_rates(labelled, by, share), [by, "fold"], "left").fillna({f"{by}_rate": share, f"{by}_size": 0.0})
             features += [f"{by}_rate", f"{by}_size"]
         full = checkpointed(full.select(*out, *features))
         steps = [i / BINS for i in range(1, BINS)]

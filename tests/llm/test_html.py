@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 
 import pytest
 
@@ -56,3 +57,84 @@ def test_odd_rows(spark, field):
     assert len(out) == len(rows) and all(r.n_chars == len(r.text) for r in out)
     assert [r.text for r in out if r.page_id in (1, 2, None)] == ["", "", ""]
     assert html.extracted(df.limit(0), field=field).count() == 0
+
+
+BODY = "<article><h1>Head line</h1><p>One sentence. Another one.</p>{}<p>Last words here, all of them.</p></article>"
+
+
+@pytest.mark.parametrize("inner", ["<svg/>", "<iframe src=x />", "<object data=y>", "<![foo bar]>", "<![CDATA[ x ]]>", "<!doctype nonsense", "<?php echo 1 ?>", "</nothing>", "<video>", "<select>", "<template>", "<!-- a -- b -->", '<p truth="yes"></p>', "<svg><path/></svg>", "<object>x</object>"])
+def test_nothing_is_lost_after_odd_markup(field, inner):
+    got = html.main_text(BODY.format(inner), field).split("\n")
+    assert got[0] == "Head line" and "One sentence. Another one." in got and got[-1].endswith("Last words here, all of them.")
+
+
+def test_heads_that_are_not_closed(field):
+    want = html.main_text(BODY.format(""), field)
+    for page in ("<html><head><title>T</title><meta charset=x>", "<head><title>T</title><body>", "<head><script>var a;</script>", "<head><style>p{}</style></head>"):
+        assert html.main_text(page + BODY.format(""), field) == want
+    assert html.main_text(BODY.format("") + "<p clas", field) == want and html.main_text(BODY.format("") + "<!-- not closed <p>x</p>", field) == want
+
+
+def test_broken_pages_are_rows(field):
+    rng = random.Random(7)
+    parts = ["<p>", "</p>", "<div class='a'", ">", "<!", "<![x[", "]]>", "<!--", "-->", "<?", "<a href=\"", "\"", "&#x;", "&#99999999999;", "&amp", "text ", "<script>", "</script", "<title>", "</", "<>", "<table><tr><td>", "<li>", "\x00", "é", "<svg>", "<object>", "</head>", "<head>", "=", "'", "truth='x'", "<br/>"]
+    for _ in range(1000):
+        text = html.main_text("".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))), field)
+        assert isinstance(text, str) and "\n\n" not in text
+    assert html.main_text("<div>" * 40_000 + "<p>deep words here.", field) == "deep words here."
+
+
+def slow_blocks(node, keep):
+    """Blocks of a tree by recursion: a list of lines."""
+    out, line = [], []
+
+    def end():
+        if " ".join("".join(line).split()):
+            out.append(" ".join("".join(line).split()))
+        line.clear()
+
+    def walk(n):
+        for x in n.flow:
+            if isinstance(x, str):
+                if keep[id(n)]:
+                    line.append(x)
+            elif x.tag == "br":
+                line.append(" ")
+            else:
+                if x.tag not in html.INLINE and x.tag not in html.VOID or x.tag == "hr":
+                    end()
+                walk(x)
+                if x.tag not in html.INLINE and x.tag not in html.VOID:
+                    end()
+
+    walk(node)
+    end()
+    return out
+
+
+def slow_odds(nodes, f):
+    """Log odds of every element from sums over all labellings of its tree, by recursion on subtrees."""
+    def below(n, y):  # sum over the labellings under n
+        w = math.exp(y * sum(f.weight.get(x, 0.0) for x in html.looks(n)))
+        for c in n.children:
+            w *= sum(math.exp(f.edge[html.kind(c.tag)][y][z]) * below(c, z) for z in (0, 1))
+        return w
+
+    def fixed(n, target, y, label):
+        w = math.exp(y * sum(f.weight.get(x, 0.0) for x in html.looks(n))) if n is not target or y == label else 0.0
+        for c in n.children:
+            w *= sum(math.exp(f.edge[html.kind(c.tag)][y][z]) * fixed(c, target, z, label) for z in (0, 1))
+        return w
+
+    root = nodes[0]
+    return [math.log(sum(fixed(root, n, y, 1) for y in (0, 1)) / sum(fixed(root, n, y, 0) for y in (0, 1))) for n in nodes]
+
+
+def test_query_against_brute_force(field):
+    """Whole pages: exact marginals by enumeration of subtrees, then blocks by recursion."""
+    pages = ["<div class=ad>x y<p>z <b>w</b></p></div><article>q r.<br>s<p>t <a href=u>v</a></p><hr></article>", "<nav><ul><li>a</li><li>b</li></ul></nav><p>c d. e</p>", "<section><h2>h</h2><p>One. Two.</p></section><footer>f</footer>"]
+    for page in pages:
+        nodes = html.parse(page)
+        odds = slow_odds(nodes, field)
+        keep = {id(n): o >= 0 for n, o in zip(nodes, odds, strict=True)}
+        assert html.main_text(page, field) == "\n".join(slow_blocks(nodes[0], keep))

@@ -47,6 +47,43 @@ def test_stretches_agree_with_a_whole_pass():
     assert np.allclose(got, plain(net, long).mean(0), atol=0.02)
 
 
+def slow(net, text):
+    """Label distribution of every byte, each from its own run of both units as the network is defined on stretches."""
+    out = []
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    gate = lambda x: 1 / (1 + np.exp(-2 * x))
+
+    def run(k, data):
+        s, h = np.zeros(net.hidden), net.hidden
+        for b in data:
+            g = gate(net.wg[k, b] + s @ net.ug[k])
+            s = s + g[:h] * (np.tanh(net.wc[k, b] + g[h:] * (s @ net.uc[k])) - s)
+        return s
+
+    pad = b" " * language.WARM + text + b" " * (language.CORE + language.WARM)
+    for at in range(len(text)):
+        low = at - at % language.CORE
+        high = min(low + language.CORE, len(text))
+        forward = run(0, pad[low : at + 1 + language.WARM])
+        backward = run(1, pad[at + language.WARM : high + 2 * language.WARM][::-1])
+        out.append(soft(forward @ net.v[0] + backward @ net.v[1] + net.b))
+    return np.array(out)
+
+
+def test_predictions_match_brute_force(spark):
+    net = language.Network(["aa", "bb", "cc"], seed=4)
+    texts = {1: "Some text, more text. " * 14, 2: "x", 3: "é " * 150, 4: "a" * language.CORE, 5: "b" * (language.CORE + 1)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in language.predictions(rows, net).collect():
+        p = slow(net, texts[r.doc_id].encode()).mean(0)
+        assert r.lang_pred == net.langs[p.argmax()] and abs(r.score - p.max()) < 1e-4
+
+
+def test_letters():
+    for text, want in (("½ ² Ⅷ ①", False), ("½a", True), ("12 3_", False), ("é", True), ("字", True), ("ª", True), (None, False), ("", False), ("² ³ x", True)):
+        assert language.has_letter(None if text is None else text.encode()) == want, text
+
+
 def test_learns_and_handles_odd_rows(spark, tmp_path):
     import random
 

@@ -108,3 +108,10 @@ def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (None, "zz yy xx ww vv")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(df).collect())
     assert got == [(-1, -1), (-1, 7), (7, 7), (7, 7)]
+
+
+def test_representatives_have_a_rule_for_ties_and_any_column_names(spark):
+    rows = [(3, "a b c d", 1, "x"), (2, "a b c d", 2, "x"), (2, "a b c d", 3, "y"), (None, "q r s t", 4, "z"), (7, None, 5, "n"), (8, " ", 6, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h int, `n` string").withColumn("__id", simhash.F.lit(1))
+    got = [sorted(map(str, simhash.representatives(df.repartition(k, "h")).collect())) for k in (1, 3)]
+    assert got[0] == got[1] and len(got[0]) == 3 and simhash.representatives(df).columns == df.columns

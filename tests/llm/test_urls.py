@@ -1,3 +1,4 @@
+import math
 import re
 
 from pyspark.sql import functions as F
@@ -55,3 +56,57 @@ def test_features(spark):
 
     u = "http://a-b.c1.com/x/y2/z.html?p=1&q=2#f"
     assert abs(r.entropy + sum(c / len(u) * math.log2(c / len(u)) for c in collections.Counter(u).values())) < 1e-9
+
+
+def slow_trees(rows, features, labels, start, trees, depth):
+    """Margins of the labelled rows under boosting by exhaustive search over all (feature, cut) pairs."""
+    margin = [start] * len(rows)
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        g, h = [y - q for y, q in zip(labels, p, strict=True)], [q * (1 - q) for q in p]
+
+        def grow(ids, level):
+            G, H = sum(g[i] for i in ids), sum(h[i] for i in ids)
+            best = (1e-6, None)
+            if level < depth:
+                for f in features:
+                    for b in sorted({rows[i][f] for i in ids})[:-1]:
+                        left = [i for i in ids if rows[i][f] <= b]
+                        a, c = sum(g[i] for i in left), sum(h[i] for i in left)
+                        gain = round(a * a / (c + urls.RIDGE) + (G - a) ** 2 / (H - c + urls.RIDGE) - G * G / (H + urls.RIDGE), 9)
+                        if gain > best[0]:
+                            best = (gain, (left, [i for i in ids if rows[i][f] > b]))
+            if best[1] is None:
+                for i in ids:
+                    margin[i] += round(urls.RATE * G / (H + urls.RIDGE), 12)
+            else:
+                for part in best[1]:
+                    grow(part, level + 1)
+
+        grow(list(range(len(rows))), 0)
+    return margin
+
+
+def test_boosting_matches_exhaustive_search(spark):
+    import random
+
+    rng = random.Random(5)
+    features = ["a", "b", "c"]
+    rows = [{f: rng.randrange(5) for f in features} for _ in range(120)]
+    labels = [int(r["a"] + rng.random() * 3 > r["b"] + 1.2) for r in rows]
+    df = spark.createDataFrame([(i, *r.values(), 1, y) for i, (r, y) in enumerate(zip(rows, labels, strict=True))], "i int, a int, b int, c int, n long, bad long")
+    start = math.log(sum(labels) / (len(labels) - sum(labels)))
+    model = urls.Trees(start)
+    for _ in range(3):
+        urls._grow(df, features, model, 2)
+    got = [r.m for r in df.select("i", model.margin().alias("m")).orderBy("i").collect()]
+    want = slow_trees(rows, features, labels, start, 3, 2)
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
+def test_rates_come_from_other_folds(spark):
+    df = spark.createDataFrame([("x", 0, 4, 4), ("x", 1, 2, 0), ("y", 1, 3, 1)], "top string, fold int, n long, bad long")
+    got = {(r.top, r.fold): (r.top_rate, r.top_size) for r in urls._rates(df, "top", 0.5).collect()}
+    rate = lambda n, bad: ((bad + 0.5 * urls.PRIOR) / (n + urls.PRIOR), math.log1p(n))
+    for key, want in {("x", -1): rate(6, 4), ("x", 0): rate(2, 0), ("x", 1): rate(4, 4), ("x", 2): rate(6, 4), ("y", 1): rate(0, 0), ("y", -1): rate(3, 1)}.items():
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[key], want, strict=True))

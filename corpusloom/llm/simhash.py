@@ -91,10 +91,25 @@ def fingerprint(data: bytes | None, width: int = 3) -> int:
     digest, counts, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(start)
     for at in range(0, total, BLOCK):
         h = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(start[at : at + BLOCK], stop[at : at + BLOCK], strict=True)), np.uint64, min(BLOCK, total - at))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        counts += _bits(h)
+    return _signs(counts, total)
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _signs(counts: np.ndarray, total: int) -> int:
+    """The bits that more than half of ``total`` have."""
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """64-bit SimHash of hashed shingles; 0 if there are none."""
+    return _signs(sum((_bits(hashes[at : at + BLOCK]) for at in range(0, len(hashes), BLOCK)), np.zeros(64, np.int64)), len(hashes))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """Columns ``id``, ``h`` (a hash of the text) and ``fp`` (a signed long of the 64 bits), one row per row of ``docs``."""
 

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -29,57 +28,59 @@ def host_capped(scored: DataFrame, k: int = 10, cap: int = 2, key: str = "query_
     return x.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "url"))).drop("__s", "__pass", "__n")
 
 
-def _assembled(rows: pd.DataFrame, k: int, cap: int, floor: float, least: int) -> pd.DataFrame:
-    rows = rows.sort_values(["score", "url"], ascending=[False, True], kind="stable")
-    gone = rows["status"].isin([404, 410]).to_numpy()
-    fixed = rows["pinned"].notna().to_numpy()
-    if not gone.all():
-        rows, fixed = rows[~gone | fixed], fixed[~gone | fixed]
-    rows = pd.concat([rows[fixed].sort_values("pinned", kind="stable"), rows[~fixed]])
-    taken: list[int] = []
-    sites: dict[str, int] = {}
-    records = list(rows[["site", "relevance", "pinned", "cap"]].itertuples(index=False, name=None))
-    for extra in (0, 3):
-        for i, (site, relevance, pinned, own) in enumerate(records):
-            if len(taken) >= k:
-                break
-            if i in taken:
-                continue
-            if pd.isna(pinned) and ((len(taken) >= least and relevance < floor) or sites.get(site, 0) >= max(cap, own) + extra):
-                continue
-            taken.append(i)
-            sites[site] = sites.get(site, 0) + 1
-    out = rows.iloc[taken].copy()
-    out["score"] = out["score"].round(4)
-    out = out.sort_values("score", ascending=False, kind="stable")
-    free = list(out[out["pinned"].isna()].index)
-    for i in out[out["pinned"].notna()].sort_values("pinned", kind="stable").index:
-        free.insert(min(int(out.loc[i, "pinned"]) - 1, len(free)), i)
-    out = out.loc[free]
-    out["place"] = range(1, len(out) + 1)
-    return out
-
-
-def assembled(scored: DataFrame, k: int = 10, cap: int = 2, floor: float = v.MIN_RELEVANCE, least: int = v.MIN_RESULTS, candidates: int = 500, key: str = "query_id") -> DataFrame:
-    """The exact greedy list: site cap with a relaxed second pass, a relevance floor after ``least`` rows, pinned places.
-
-    Needs ``key``, url, site, score, relevance; status, pinned and cap may be there. What is
-    chosen depends on what was taken before, so each query's rows are walked in one task;
-    no more than ``candidates`` of the best per query can matter to a list of ``k``, and only
-    those are gathered (all pinned rows among them). Returns ``key``, place, url, score, relevance.
+def assembled(scored: DataFrame, k: int = 10, cap: int = 2, floor: float = v.MIN_RELEVANCE, least: int = v.MIN_RESULTS, key: str = "query_id") -> DataFrame:
+    """The list as a reader takes it from the top: site cap with a relaxed second pass, a relevance floor after ``least`` rows, pinned places.
+
+    Needs ``key``, url, site, score, relevance; status, pinned and cap (the least site cap of
+    the whole query) may be there. Returns ``key``, place, url, score, relevance.
+
+    Taking a row depends on the rows taken before only through counts, and these are running
+    counts: while fewer than ``least`` are taken, a row is taken if it is among its site's
+    first; from there on, if it is relevant and its site's taken and relevant rows before it
+    are few enough. So both passes are windows over the query and over its sites; no row is
+    cut off before that could be taken: of each site the first rows that pass the floor, and
+    the first that don't, are all that can matter. Pinned rows of one rank follow one another.
     """
     x = scored
     for name, kind, value in (("status", "int", 200), ("pinned", "int", None), ("cap", "int", 0)):
         if name not in x.columns:
             x = x.withColumn(name, F.lit(value).cast(kind))
-    x = x.select(key, "url", "site", "score", "relevance", "status", F.col("pinned").cast("double").alias("pinned"), "cap")
-    near = F.row_number().over(Window.partitionBy(key).orderBy(F.col("pinned").isNull(), F.desc("score"), "url"))
-    x = x.withColumn("__n", near).where(F.col("__n") <= candidates).drop("__n")
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        return _assembled(rows, k, cap, floor, least)[[key, "place", "url", "score", "relevance"]]
-
-    return x.groupBy(key).applyInPandas(walk, f"{key} {x.schema[key].dataType.simpleString()}, place int, url string, score double, relevance double")
+    x = x.select(key, "url", "site", "score", "relevance", "pinned", F.coalesce("cap", F.lit(0)).alias("own"), F.coalesce(F.col("status").isin(404, 410), F.lit(False)).alias("gone"))
+    whole, site = Window.partitionBy(key), Window.partitionBy(key, "site")
+    order = [F.col("pinned").isNull(), "pinned", F.desc("score"), "url"]
+    down, in_site = whole.orderBy(*order), site.orderBy(*order)
+    fixed = F.col("pinned").isNotNull()
+    count = lambda c, w: F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow) if w in (down, in_site) else w)
+
+    x = x.withColumns({"some": F.max(~F.col("gone")).over(whole), "cap": F.greatest(F.max("own").over(whole), F.lit(cap)), "able": F.coalesce(F.col("relevance") >= floor, F.lit(False))})
+    x = x.where(~F.col("some") | ~F.col("gone") | fixed)
+    nth = F.row_number().over(Window.partitionBy(key, "site", "able").orderBy(*order))
+    x = x.withColumn("nth", nth).where(fixed | (F.col("nth") <= F.col("cap") + 3 + least))
+
+    def taken(x: DataFrame, of: Column, had: Column, room: Column, free: Column) -> DataFrame:
+        """Adds ``now``: the rows among ``of`` taken in a pass, with ``had`` of a site taken before, ``room`` for a site and ``free`` rows that need no relevance."""
+        x = x.withColumns({"of": of, "ok": of & (fixed | (had + count(of, in_site) <= room))})
+        x = x.withColumn("sofar", count(F.col("ok"), down))
+        early = F.col("ok") & (fixed | (F.col("sofar") <= free))
+        late = F.col("of") & ~fixed & (F.col("sofar") - F.col("ok").cast("int") >= free) & F.col("able")
+        x = x.withColumns({"early": early, "may": early | late})
+        return x.withColumn("now", F.col("early") | (F.col("may") & (had + count(F.col("may"), in_site) <= room)))
+
+    x = taken(x, F.lit(True), F.lit(0), F.col("cap"), F.lit(least))
+    x = x.withColumn("first", F.col("now") & (count(F.col("now"), down) <= k))
+    x = x.withColumns({"n": count(F.col("first"), whole), "had": count(F.col("first"), site)})
+    x = taken(x, ~F.col("first"), F.col("had"), F.col("cap") + 3, F.greatest(F.lit(least) - F.col("n"), F.lit(0)))
+    x = x.withColumn("second", F.col("now") & ~F.col("first") & (F.col("n") + count(F.col("now") & ~F.col("first"), down) <= k))
+    x = x.where("first OR second").withColumn("score", F.round("score", 4))
+
+    loose = F.row_number().over(Window.partitionBy(key, fixed).orderBy(F.desc("score"), F.desc("first"), F.desc("score"), "url"))
+    rank = F.row_number().over(Window.partitionBy(key, fixed).orderBy("pinned", F.desc("score"), "url"))
+    x = x.withColumns({"f": loose, "j": rank, "loose": count(~fixed, whole)})
+    running = Window.partitionBy(key, fixed).orderBy("j")
+    x = x.withColumn("at", F.when(fixed, F.least(F.col("j") + F.max(F.col("pinned") - F.col("j")).over(running), F.col("loose") + F.col("j"))).cast("int"))
+    x = x.withColumn("held", F.array_sort(F.collect_list("at").over(whole)))
+    place = F.coalesce("at", F.aggregate("held", F.col("f"), lambda a, p: F.when(p <= a, a + 1).otherwise(a)))
+    return x.select(key, place.cast("int").alias("place"), "url", "score", "relevance")
 
 
 def page_cost(df: DataFrame) -> DataFrame:

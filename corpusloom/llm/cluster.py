@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,12 @@ def forgotten(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets the cleaner delete shuffle and checkpoint files of finished rounds now: it waits for the driver's garbage collector, which has little else to do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -92,6 +99,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not _unsettled(edges):
             break
         edges = checkpointed(_small_star(_large_star(edges)))
+        swept(edges.sparkSession)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

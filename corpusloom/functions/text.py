@@ -62,17 +62,46 @@ def segmented(s: Column) -> Column:
     return F.array_join(tokens(s), " ")
 
 
-def content_terms(s: Column, lang: str = "en") -> Column:
-    """Content words in order, quoted phrases whole with their quotes; case kept.
+def pieces(token: Column) -> Column:
+    """A token with unspaced script as the words in it: Latin runs whole, other runs split at their function words.
 
-    For texts written with spaces; runs of other scripts stay whole.
+    Single weak characters are left out, and one that follows a number is grammar.
     """
-    stop = v.STOP if lang == "en" else sorted(set(v.STOP) | set(v.MARKERS.get(lang, ())))
+    by_length = lambda ws: "|".join(sorted(ws, key=lambda w: (-len(w), w)))
+    runs = F.transform(F.regexp_extract_all(token, F.lit(f"{HAN}+|[^{v.UNSPACED}]+"), F.lit(0)), lambda r: F.when(unspaced(r), r).otherwise(F.regexp_replace(r, r"^[._'\-+#]+|[._'\-+#]+$", "")))
+
+    def of(runs: Column, run: Column, i: Column) -> Column:
+        numbered = (i > 0) & F.rlike(F.get(runs, i - 1), F.lit(r"\d$"))
+        own = F.when(numbered & F.substring(run, 1, 1).isin(*v.WEAK_SINGLE), F.regexp_replace(run, "^.", "")).otherwise(run)
+        cut = F.when(F.rlike(own, F.lit(f"[{v.KANA}]")), F.split(own, by_length(v.KANA_STOPS))).otherwise(F.split(own, by_length(v.HAN_STOPS)))
+        return F.when(unspaced(run), F.filter(cut, lambda c: (c != "") & ~c.isin(*v.WEAK_SINGLE))).otherwise(F.filter(F.array(run), lambda r: r != ""))
+
+    return let(runs, lambda rs: F.flatten(F.transform(rs, lambda r, i: of(rs, r, i))))
+
+
+def stop_words(lang: Column) -> Column:
+    """Function words of a language: English ones and the language's own markers."""
+    table = F.create_map(*[x for k, ws in v.MARKERS.items() for x in (F.lit(k), F.array(*map(F.lit, sorted(set(v.STOP) | set(ws)))))])
+    return F.coalesce(F.try_element_at(table, lang), F.array(*map(F.lit, sorted(v.STOP))))
+
+
+def content_terms(s: Column, lang: str | Column = "en") -> Column:
+    """Content words in order, quoted phrases whole with their quotes; case kept; unspaced runs as their pieces.
+
+    ``lang`` is one language, or a column of languages.
+    """
+    if isinstance(lang, str):
+        stops = sorted(set(v.STOP) | set(v.MARKERS.get(lang, ())))
+        stopped = lambda t: F.lower(t).isin(*stops)
+    else:
+        stopped = lambda t: F.array_contains(stop_words(lang), F.lower(t))
     found = F.regexp_extract_all(s, F.lit(v.CONTENT_TOKEN), F.lit(0))
-    return F.filter(found, lambda t: F.startswith(t, F.lit('"')) | (~F.lower(t).isin(*stop) & ((F.length(t) > 1) | unspaced(t))))
+    quoted = lambda t: F.startswith(t, F.lit('"'))
+    words = F.flatten(F.transform(found, lambda t: F.when(~quoted(t) & unspaced(t), pieces(t)).otherwise(F.array(t))))
+    return F.filter(F.when(unspaced(s), words).otherwise(found), lambda t: quoted(t) | unspaced(t) | (~stopped(t) & (F.length(t) > 1)))
 
 
-def content_bag(s: Column, lang: str = "en") -> Column:
+def content_bag(s: Column, lang: str | Column = "en") -> Column:
     return F.array_sort(F.array_distinct(F.transform(content_terms(s, lang), F.lower)))
 
 
@@ -88,7 +117,7 @@ def informativeness(t: Column) -> Column:
     )
 
 
-def keyword_query(s: Column, max_terms: int = 0, lang: str = "en") -> Column:
+def keyword_query(s: Column, max_terms: int = 0, lang: str | Column = "en") -> Column:
     """The first and the most informative other content words, in their order; without how-to words if two remain."""
     terms = content_terms(s, lang)
     subject = F.filter(terms, lambda t: ~F.lower(t).isin(*v.NOISE))
@@ -102,7 +131,7 @@ def keyword_query(s: Column, max_terms: int = 0, lang: str = "en") -> Column:
     return F.when(F.size(terms) == 0, F.trim(s)).otherwise(F.array_join(terms, " "))
 
 
-def query_terms(s: Column, lang: str = "en", limit: int = 10) -> Column:
+def query_terms(s: Column, lang: str | Column = "en", limit: int = 10) -> Column:
     """Ranking vocabulary: content words unquoted, lower-case, distinct in order, long enough for their script."""
     found = F.array_distinct(F.transform(content_terms(s, lang), lambda t: F.lower(F.regexp_replace(t, '^"+|"+$', ""))))
     return F.slice(F.filter(found, lambda t: F.length(t) >= F.when(unspaced(t), 2).otherwise(3)), 1, limit)
@@ -150,6 +179,31 @@ def question_key(q: Column) -> Column:
     return F.when((key != "") & (F.length(key) <= 400), key)
 
 
+def question_keys(q: Column) -> Column:
+    """Keys under which equal questions meet, best first: the question, then without words that name the kind of thing wanted."""
+    key = lambda ws: F.array_join(ws, " ")
+
+    def of(ws: Column) -> Column:
+        subject = F.filter(ws, lambda w: ~w.isin(*v.GENERIC))
+        some = F.when((F.size(subject) > 0) & (F.size(subject) < F.size(ws)), F.array(key(subject))).otherwise(_empty())
+        return F.when((F.size(ws) > 0) & (F.length(key(ws)) <= 400), F.concat(F.array(key(ws)), some)).otherwise(_empty())
+
+    return let(content_bag(F.translate(F.lower(q), *ACCENTS)), of)
+
+
+def title_bag(s: Column) -> Column:
+    """Words of a title: of unspaced titles the pieces, else the tokens; distinct."""
+    return F.array_distinct(F.when(unspaced(s), F.flatten(F.transform(plain_tokens(s), lambda t: F.when(unspaced(t), pieces(t)).otherwise(F.array(t))))).otherwise(tokens(s)))
+
+
+def freshness_floor(window: Column, today: Column) -> Column:
+    """The first day of a window named day, week, month or year; null for any other name."""
+    days = F.lit(None).cast("int")
+    for name, n in v.FRESH_DAYS.items():
+        days = F.when(window == name, n).otherwise(days)
+    return F.date_sub(today, days)
+
+
 def fold(t: Column) -> Column:
     """A word as web addresses spell it: ä ae, ö oe, ü ue, ß ss, other accents off."""
     for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("æ", "ae"), ("ø", "oe"), ("å", "aa"), ("œ", "oe")):

@@ -43,6 +43,11 @@ def decoded(part: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(part, F.lit("+"), F.lit("%2B"))), part)
 
 
+def atlas_host(url: Column) -> Column:
+    """The host under which a site's search endpoint is filed: without www., not the registered domain."""
+    return bare(host_of(url))
+
+
 def bare(host: Column) -> Column:
     return F.regexp_replace(host, r"^www\.", "")
 

@@ -9,6 +9,34 @@ CONTENT_TOKEN = r"\"[^\"]+\"|[\p{L}\p{N}][\p{L}\p{N}\p{M}_+#.'\-]*"
 #: Characters of scripts written without spaces (Han and kana), as a character class body.
 UNSPACED = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 
+#: Kana, as a character class body.
+KANA = "぀-ヿ"
+#: Function words at which runs of unspaced scripts are split, Chinese and then Japanese.
+HAN_STOPS = (
+    "是不是 有没有 有沒有 可不可以 能不能 什么样 什麼樣 怎么样 怎麼樣 怎么办 怎麼辦 为什么 為什麼 告诉我 告訴我 是什么 是什麼 有什么 有什麼 有哪些 "
+    "什么 什麼 怎么 怎麼 怎样 怎樣 如何 为何 為何 哪些 哪个 哪個 哪里 哪裡 哪儿 哪兒 哪座 哪种 哪種 多少 几个 幾個 是否 能否 请问 請問 帮我 幫我 "
+    "我想 我要 我们 我們 你们 你們 他们 他們 一下 介绍 介紹 解释 解釋 说明 說明 了解 关于 關於 以及 或者 还是 還是 并且 並且 但是 因为 因為 所以 "
+    "如果 可以 应该 應該 需要 这个 這個 那个 那個 这些 這些 那些 很多 一些 一种 一種 意思 这本 這本 那本 什么时候 什麼時候 哪一年 哪年 何时 何時 "
+    "有多长 有多長 有多少 有多高 有多大 有多远 有多遠 有多久 有多重 多长 多長 多高 多大 多远 多遠 多久 多重 是谁 是誰 谁写了 誰寫了 谁写 誰寫 写了 寫了 "
+    "怎么用 怎麼用 的 是 吗 嗎 呢 吧 啊 么 麼 请 請 我 你 您 他 她 它 这 這 那 谁 誰"
+).split()
+KANA_STOPS = "について とは として による ため です ました した する この その あの の は が を に で と も へ か".split()
+#: Single characters that are no subject when they are left over.
+WEAK_SINGLE = (
+    "在 中 有 了 和 与 與 及 就 都 也 很 用 做 等 各 每 该 該 从 從 到 对 對 比 把 被 给 給 让 讓 会 會 能 要 想 为 為 以 不 没 沒 上 下 里 裡 内 內 外 之 "
+    "于 於 而 且 又 再 还 還 只 才 太 更 已 将 將 由 向 跟 同 个 個 些 位 名 种 種 块 塊 座 本 条 條 张 張 项 項 次 年 月 日 号 號 总 總 共 约 約 大约 "
+    "得 地 着 著 过 過 吧 哦 呀 嘛"
+).split()
+#: Words that name the kind of thing wanted and not the thing.
+GENERIC = (
+    "stadt gemeinde city town ville ciudad cidade città info infos information informationen informacion información "
+    "website webseite webseiten site seite page homepage official offiziell offizielle officiel officielle oficial "
+    "meaning bedeutung definition erklärung erklarung explained overview übersicht ubersicht summary zusammenfassung "
+    "tutorial guide example examples step steps vs 教程 指南 示例 例子 步骤 步驟"
+).split()
+#: Languages whose own function words are left out of a lexical query.
+STOPWORD_LANGS = "en de fr es pt it nl sv ru".split()
+
 STOP = (
     "a an the is are was were be been being am do does did doing have has had having will would shall should can could may might must "
     "i you he she it we they me my your his her its our their this that these those "
@@ -151,6 +179,24 @@ ROUTES = {
 ROUTE_TERMS = {"wikipedia": 3, "hn": 3, "stackoverflow": 6, "github": 3, "arxiv": 5, "semanticscholar": 6, "pubmed": 5, "mdn": 4, "npm": 3, "pypi": 0, "crates": 3, "openlibrary": 4, "reddit": 5, "youtube": 5}
 ROUTES_OFF = ("semanticscholar",)
 ROUTE_DISTRUST = 0.62
+#: Editions of the encyclopedia that a route may ask; any other language asks en.
+WIKI_LANGS = (
+    "ar az be bg bn bs ca ceb cs cy da de el en eo es et eu fa fi fr ga gl he hi hr hu hy id is it ja ka kk ko la lt lv mk ml mr ms my nl nn no "
+    "pl pt ro ru sh simple sk sl sq sr sv sw ta te th tl tr uk ur uz vi war zh"
+).split()
+#: Words that are no package's name.
+PACKAGE_STOP = "python pypi package library module install how to the in for with use using a an of and docs".split()
+#: What a plan writes where a route does not apply.
+NO_ROUTE = "none n/a na - -- — null nil keine kein nothing skip".split()
+ROUTE_TITLE_FIT, ROUTE_KEPT, SITE_SEARCH_HOSTS, HOST_GATE, GATE = 0.03, 4, 3, 6, 96
+HUBS, SITEMAP_ROOT_EXTRA, SITEMAP_PRIOR, REFINE_FETCH = 4, 3, 0.45, 12
+FRESH_DAYS = {"day": 1, "week": 7, "month": 31, "year": 366}
+#: Seconds that a plan's first address may take on top of a tier's window, and that stragglers get after the first wave.
+PLAN_GRACE = {"fast": 1.0, "standard": 4.5, "deep": 6.0}
+TAIL_WINDOW = {"fast": 0.9, "standard": 1.6, "deep": 4.0}
+PAGE_EXTRA_BUDGET, MAX_PAGE = 10.0, 10
+#: What an answering model reads: opening, characters of the first pages and of later ones, how many are first, pages.
+LEAD_CHARS, TOP_PAGE_CHARS, PAGE_CHARS, TOP_PAGES, ANSWER_PAGES = 1400, 3200, 1400, 4, 8
 #: Link following.
 HUB_FIT, HUB_SECTION_FIT, HUB_SECTION_LINKS, HUB_LINKS, SITE_SEARCH_LINKS = 0.22, 0.06, 5, 5, 6
 DEEP_FIT, DEEP_MARGIN, DEEP_LINKS, DEEP_PER_PAGE = 0.34, 0.05, 4, 2

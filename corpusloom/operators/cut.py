@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``; unset, a local session gets a temporary one and a cluster an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="loom-search-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` written once to the session's ``spark.checkpoint.dir`` (a temporary folder only where that is unset) and read from there by all that follows."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-search-"))
+    """``df`` written once to the shared checkpoint folder and read from there by all that follows."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint(eager=True)

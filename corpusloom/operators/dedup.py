@@ -31,6 +31,19 @@ def by_opening(docs: DataFrame, key: str = "query_id") -> DataFrame:
     return keep.unionByName(d.where("__f <> ''").withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")).drop("__f")
 
 
+def stays_by_opening(docs: DataFrame, id_col: str = "doc_id", key: str = "query_id") -> DataFrame:
+    """``key`` and ``id_col`` of the rows that ``by_opening`` keeps, without moving their texts: grouped minima of (length, url), combined before the shuffle."""
+    d = docs.select(key, id_col, text.fingerprint(F.coalesce("text", F.lit(""))).alias("f"), F.struct((-F.length("text")).alias("n"), F.length("url").alias("u"), F.col("url").alias("url")).alias("r"))
+    best = d.where("f <> ''").groupBy(key, "f").agg(F.min_by(id_col, "r").alias(id_col))
+    return d.where("f = ''").select(key, id_col).unionByName(best.select(key, id_col))
+
+
+def stays_by_address(docs: DataFrame, id_col: str = "doc_id", key: str = "query_id") -> DataFrame:
+    """``key``, url_key, ``id_col``, consensus and arrival of the rows that ``by_address`` keeps, without moving their texts."""
+    d = docs.select(key, id_col, "arrival", urls.canonical_url(F.col("url")).alias("url_key"), (-F.length(F.coalesce("text", F.lit("")))).alias("n"))
+    return d.groupBy(key, "url_key").agg(F.min_by(id_col, F.struct("n", "arrival")).alias(id_col), F.count(F.lit(1)).cast("int").alias("consensus"), F.min("arrival").alias("arrival"))
+
+
 def distinct_candidates(candidates: DataFrame, key: str = "query_id") -> DataFrame:
     """First arrival of each canonical address (before anything is fetched)."""
     first = Window.partitionBy(key, "url_key").orderBy("arrival")

@@ -128,3 +128,81 @@ def tail_specific(candidates: DataFrame, taken: int, scan: int = 5, keep: int =
     late = (F.col("__n") > taken) & (F.col("__n") <= taken + scan) & (F.col("__s") == 1)
     x = x.withColumn("__k", F.sum(late.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return x.where((F.col("__n") <= taken) | (late & (F.col("__k") <= keep))).drop("__n", "__s", "__k")
+
+
+def unusable(status: Column, body: Column, url: Column, intent: Column) -> Column:
+    """Why a fetch gave no page to rank: dead, thin, root (a site's front page for a topical query), or null."""
+    front = F.regexp_replace(urls.path_of(url), "^/+|/+$", "") == ""
+    return F.when(status != 200, "dead").when(F.length(F.coalesce(body, F.lit(""))) < v.THIN_TEXT, "thin").when((intent != "navigational") & front, "root")
+
+
+def title_fit(vocabularies: Column, title: Column) -> Column:
+    return text.best_fit(vocabularies, text.title_bag(F.lower(title)))
+
+
+def admitted(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits of routes whose title fits the query at all; hits without a title, other sources and queries without words pass. Needs source, title."""
+    x = hits.join(queries.select("query_id", "vocabularies"), "query_id", "left")
+    judged = F.startswith("source", F.lit("route:")) & (F.coalesce("title", F.lit("")) != "") & (F.coalesce(F.size(F.flatten("vocabularies")), F.lit(0)) > 0)
+    return x.where(~judged | (title_fit(F.col("vocabularies"), F.coalesce("title", F.lit(""))) >= v.ROUTE_TITLE_FIT)).drop("vocabularies")
+
+
+def presentable(rows: DataFrame) -> DataFrame:
+    """Rows that were fetched, or whose candidate has both a title and a snippet."""
+    said = lambda c: F.coalesce(c, F.lit("")) != ""
+    return rows.where((F.col("status") == 200) | (said("title") & said("snippet")))
+
+
+def hosts_by_fit(pages: DataFrame, most: int = v.SITE_SEARCH_HOSTS) -> DataFrame:
+    """The sites whose best page fits a query best, those worth asking with their own search: query_id, site, fit, place. Needs site and fit."""
+    best = pages.groupBy("query_id", "site").agg(F.max("fit").alias("fit"))
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("fit"), "site"))).where(F.col("place") <= most)
+
+
+def hosts_to_recover(failed: DataFrame, cached: DataFrame) -> DataFrame:
+    """Hosts of unusable pages whose catalogue is worth reading: query_id, host, cached.
+
+    ``failed`` has query_id, arrival, url and why; ``cached`` the hosts with a known catalogue,
+    which cost nothing. Eight others are asked in order of arrival, and three more that were
+    named by their front page.
+    """
+    x = failed.withColumn("host", urls.host_of(F.col("url"))).where("host <> ''").groupBy("query_id", "host").agg(F.min("arrival").alias("arrival"), F.min_by("why", "arrival").alias("why"))
+    x = x.join(cached.select("host").distinct().withColumn("cached", F.lit(True)), "host", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+    x = x.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "cached").orderBy("arrival", "host")))
+    extra = ~F.col("cached") & (F.col("n") > v.SITEMAP_HOSTS) & (F.col("why") == "root")
+    x = x.withColumn("e", F.sum(extra.cast("int")).over(Window.partitionBy("query_id", "cached").orderBy("arrival", "host").rowsBetween(Window.unboundedPreceding, 0)))
+    return x.where(F.col("cached") | (F.col("n") <= v.SITEMAP_HOSTS) | (extra & (F.col("e") <= v.SITEMAP_ROOT_EXTRA))).select("query_id", "host", "cached")
+
+
+def recovered(failed: DataFrame, locs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Addresses from the catalogues of hosts that failed: query_id, url, prior, reason. ``locs`` has host and loc; ``queries`` query_id, words and lang."""
+    hosts = hosts_to_recover(failed, locs.select("host"))
+    wanted = hosts.select("query_id", "host").join(queries.select("query_id", F.col("words").alias("terms"), "lang"), "query_id")
+    same = failed.select("query_id", urls.canonical_url(F.col("url")).alias("__u")).distinct()
+    x = pick(locs, wanted).withColumn("__u", urls.canonical_url(F.col("loc"))).join(same, ["query_id", "__u"], "left_anti")
+    return x.select("query_id", F.col("loc").alias("url"), F.lit(v.SITEMAP_PRIOR).alias("prior"), F.concat("host", F.lit(" sitemap")).alias("reason"))
+
+
+def degraded(planned: DataFrame, results: DataFrame, k: int = 10) -> DataFrame:
+    """A plan's own addresses, unverified and with score 0, for queries that have no result: query_id, place, url, title, site, score, unverified."""
+    x = planned.where("kind <> 'H'").join(results.select("query_id").distinct(), "query_id", "left_anti")
+    first = F.row_number().over(Window.partitionBy("query_id", "__u").orderBy("arrival"))
+    x = x.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy("arrival"))).where(F.col("__n") <= k)
+    x = x.withColumn("__u", urls.canonical_url(F.col("url"))).withColumn("__f", first).where("__f = 1")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("arrival"))
+    return x.select("query_id", place.alias("place"), "url", F.col("url").alias("title"), urls.bare(urls.host_of(F.col("url"))).alias("site"), F.lit(0.0).alias("score"), F.lit(True).alias("unverified"))
+
+
+def counters(fetched: DataFrame, results: DataFrame) -> DataFrame:
+    """Figures of each search: query_id, dispatched, fetched_ok, from plan, routes, links, domains. ``fetched`` has kind and status, ``results`` site."""
+    kind = lambda *k: F.count_if(F.col("kind").isin(*k))
+    f = fetched.groupBy("query_id").agg(F.count(F.lit(1)).alias("dispatched"), F.count_if(F.col("status") == 200).alias("fetched_ok"), kind("U", "P").alias("from_plan"), kind("R").alias("from_routes"), kind("E", "D", "S", "M").alias("from_links"))
+    d = results.groupBy("query_id").agg(F.count_distinct(urls.registrable(F.col("site"))).alias("domains"))
+    return f.join(d, "query_id", "left").fillna({"domains": 0})
+
+
+def usage(calls: DataFrame) -> DataFrame:
+    """Tokens of the model calls of each query: query_id, calls, prompt_tokens, completion_tokens, total_tokens."""
+    n = lambda c: F.sum(F.coalesce(c, F.lit(0)))
+    x = calls.groupBy("query_id").agg(F.count(F.lit(1)).alias("calls"), n("prompt_tokens").alias("prompt_tokens"), n("completion_tokens").alias("completion_tokens"))
+    return x.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))

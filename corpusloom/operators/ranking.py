@@ -9,6 +9,9 @@ from ..functions import text
 from ..functions import values as v
 
 
+SMALL = 500_000  # rows of (query, term) that are broadcast at most
+
+
 def weights(intent: Column, lang: Column, recent: Column, overrides: dict[str, float] | None = None) -> dict[str, Column]:
     """Fusion weights of each row: default, then intent, then script, then the caller's; a query that wants news is fresh at least."""
     unknown = sorted(set(overrides or {}) - set(v.WEIGHTS))
@@ -28,40 +31,54 @@ def weights(intent: Column, lang: Column, recent: Column, overrides: dict[str, f
     return out
 
 
-def bm25(passages: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, key: str = "query_id") -> DataFrame:
-    """BM25 of passages within each query's candidate set: ``key``, doc_id, pos, score.
+def bm25(passages: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, key: str = "query_id", top: int = 400, stem=None) -> DataFrame:
+    """BM25 of passages within each query's candidate set: ``key``, doc_id, pos, score, for the ``top`` best passages.
 
-    ``passages`` has ``key``, doc_id, pos, text; ``queries`` has ``key`` and text. A term
-    counts once in a query; idf is ln(1 + (N - df + .5) / (df + .5)).
+    ``passages`` has ``key``, doc_id, pos, text; ``queries`` has ``key`` and text, and may have
+    ``lang``, whose function words are then no terms. A term counts once in a query; idf is
+    ln(1 + (N - df + .5) / (df + .5)). ``stem`` turns a word column into its stem, if given.
     """
-    p = passages.select(key, "doc_id", "pos", text.tokens(F.col("text")).alias("ts"))
+    def words(s: Column, lang: Column | None = None) -> Column:
+        ts = text.tokens(s)
+        if lang is not None:
+            ts = F.filter(ts, lambda t: ~(lang.isin(*v.STOPWORD_LANGS) & F.array_contains(text.stop_words(lang), t)))
+        return F.transform(ts, stem) if stem else ts
+
+    lang = F.col("lang") if "lang" in queries.columns else None
+    asked = queries.select(key, F.explode(F.array_distinct(words(F.col("text"), lang))).alias("t"))
+    p = passages.join(queries.select(key, "lang"), key) if lang is not None else passages
+    p = p.select(key, "doc_id", "pos", words(F.col("text"), lang).alias("ts"))
     stats = p.groupBy(key).agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("ts")).alias("avg"))
-    asked = queries.select(key, F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("t"))
     tf = p.select(key, "doc_id", "pos", F.size("ts").alias("len"), F.explode("ts").alias("t")).join(asked, [key, "t"], "left_semi")
     tf = tf.groupBy(key, "doc_id", "pos", "len", "t").agg(F.count(F.lit(1)).alias("f"))
     df = tf.groupBy(key, "t").agg(F.count(F.lit(1)).alias("df"))
     x = tf.join(df, [key, "t"]).join(stats, key)
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("f") / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    return x.groupBy(key, "doc_id", "pos").agg(F.sum(part).alias("score"))
+    scored = x.groupBy(key, "doc_id", "pos").agg(F.sum(part).alias("score"))
+    best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "doc_id", "pos"))
+    return scored.withColumn("__n", best).where(F.col("__n") <= top).drop("__n")
 
 
 def bm25_corpus(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 of one shared corpus for many queries at once: query_id, doc_id, score.
 
-    The corpus is tokenised once; only postings of the queries' terms are kept, and each
-    posting meets each query that holds its term by an equi join on the term.
+    Only postings of the queries' terms leave the scan, and they are dealt by document once:
+    term counts, weights and the sum over each query's terms then need no other shuffle of
+    postings. What meets them, the queries' terms with their document counts, is sent to all
+    tasks where it is small enough, and else joined by shuffles.
     """
+    sized = lambda df, n: F.broadcast(df) if n <= SMALL else df
     d = docs.select("doc_id", text.plain_tokens(F.coalesce("text", F.lit(""))).alias("ts"))
-    stats = d.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("ts")).alias("avg"))
     asked = queries.select("query_id", F.explode(F.array_distinct(text.plain_tokens(F.col("text")))).alias("t"))
-    tf = d.select("doc_id", F.size("ts").alias("len"), F.explode("ts").alias("t")).join(asked.select("t").distinct(), "t", "left_semi")
-    tf = tf.groupBy("doc_id", "len", "t").agg(F.count(F.lit(1)).alias("f"))
-    df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("f") / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    posting = tf.join(df, "t").crossJoin(F.broadcast(stats)).select("doc_id", "t", part.alias("w"))  # one row of statistics
-    return posting.join(asked, "t").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    n = asked.count()
+    tf = d.select("doc_id", F.size("ts").alias("len"), F.explode("ts").alias("t")).join(sized(asked.select("t").distinct(), n), "t", "left_semi")
+    tf = tf.repartition("doc_id").groupBy("doc_id", "len", "t").agg(F.count(F.lit(1)).alias("f"))
+    stats = d.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("ts")).alias("avg"))  # one row
+    df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))
+    terms = asked.join(df, "t").select("query_id", "t", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg")
+    part = F.col("idf") * F.col("f") / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
+    return tf.join(sized(terms, n), "t").select("query_id", "doc_id", part.alias("w")).groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
 
 
 def best_passage(scored: DataFrame, key: str = "query_id") -> DataFrame:
@@ -76,10 +93,34 @@ def minmax(col: str, key: str = "query_id") -> Column:
     return F.when(high - low < 1e-9, 0.0).otherwise((F.col(col) - low) / (high - low))
 
 
-def cosine(a: Column, b: Column) -> Column:
+def norm(c: Column) -> Column:
+    return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine of two vectors; norms that are known need not be worked out for each pair."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return dot / ((norm(a) + 1e-9) * (norm(b) + 1e-9))
+    return dot / (((norm(a) if norm_a is None else norm_a) + 1e-9) * ((norm(b) if norm_b is None else norm_b) + 1e-9))
+
+
+def best_cosine(passages: DataFrame, queries: DataFrame, key: str = "query_id") -> DataFrame:
+    """Each document's best passage by cosine, not below 0: ``key``, doc_id, emb, pos. Both sides have ``vector``; the join is on the query."""
+    q = queries.select(key, F.col("vector").alias("__q"), norm(F.col("vector")).alias("__nq"))
+    x = passages.withColumn("__np", norm(F.col("vector"))).join(q, key)
+    x = x.withColumn("__c", F.greatest(cosine(F.col("__q"), F.col("vector"), F.col("__nq"), F.col("__np")), F.lit(0.0)))
+    return x.groupBy(key, "doc_id").agg(F.max("__c").alias("emb"), F.min_by("pos", F.struct(-F.col("__c"), "pos")).alias("pos"))
+
+
+def reranked(features: DataFrame, scores: DataFrame, key: str = "query_id") -> DataFrame:
+    """Adds ``ce``, the best score of each document's windows, for the first ``RERANK_DEPTH`` rows by ``prelim``; null elsewhere.
+
+    ``scores`` (``key``, doc_id, ce) comes from any model: a table, or a pandas UDF over
+    ``passages.reranker_windows``.
+    """
+    best = scores.groupBy(key, "doc_id").agg(F.max("ce").alias("ce"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("prelim"), "url"))
+    x = features.drop("ce").withColumn("__n", place).join(best, [key, "doc_id"], "left")
+    return x.withColumn("ce", F.when(F.col("__n") <= v.RERANK_DEPTH, F.col("ce"))).drop("__n")
 
 
 def term_coverage(terms: Column, blob: Column) -> Column:

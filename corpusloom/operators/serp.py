@@ -97,6 +97,12 @@ def budget_prefix(costed: DataFrame, budget: int, key: str = "query_id") -> Data
     return x.withColumn("shrink", first & (F.col("spent") > budget)).where((F.col("spent") <= budget) | F.col("shrink"))
 
 
+def budget_fit(rows: DataFrame, budget: int, key: str = "query_id") -> DataFrame:
+    """Rows whose cost fits a budget together; a first row that alone is too large is cut down to it."""
+    x = budget_prefix(page_cost(rows), budget, key)
+    return x.where(~F.col("shrink")).unionByName(fit_page(x.where("shrink"), budget)).drop("cost", "spent", "shrink")
+
+
 def passage_cap(df: DataFrame, n: int) -> DataFrame:
     """At most ``n`` passages of a page, with their scores."""
     return df.withColumns({"passages": F.slice("passages", 1, n), "passage_scores": F.slice("passage_scores", 1, n)})

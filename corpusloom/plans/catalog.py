@@ -104,7 +104,7 @@ WITH x AS (SELECT page_id, {s.canonical('url')} AS url_key, length(coalesce(html
 SELECT url_key, arg_min(page_id, (-n, page_id)) AS page_id, count(*)::INTEGER AS consensus, min(page_id) AS arrival FROM x GROUP BY url_key
 """)
 def url_dedup(spark, sf_dir):
-    return dedup.by_address(_as_docs(table(spark, sf_dir, "pages"))).select("url_key", "page_id", "consensus", "arrival")
+    return dedup.stays_by_address(_as_docs(table(spark, sf_dir, "pages")), "page_id").select("url_key", "page_id", "consensus", "arrival")
 
 
 DOMAINS = [("example.net",), ("WWW.ththre.example.com.",), ("xample.org",), ("",)]
@@ -156,24 +156,12 @@ def char_ngrams(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.gram_set(text.plain_tokens(F.col("text"))), " ").alias("grams"))
 
 
-@query(f"""
-WITH d AS (SELECT doc_id, {s.tok('text')} AS ts FROM documents),
-g AS (SELECT doc_id, {s.gram_set('list_slice(ts, 1, 8)')} AS a, {s.gram_set('list_slice(ts, 9, 16)')} AS b FROM d)
-SELECT doc_id, round({s.dice('a', 'b')}, 6) AS overlap FROM g
-""")
-def gram_overlap(spark, sf_dir):
-    """Gram overlap of a document's first eight words with the next eight."""
-    t = table(spark, sf_dir, "documents").select("doc_id", text.plain_tokens(F.col("text")).alias("ts"))
-    g = t.select("doc_id", text.gram_set(F.slice("ts", 1, 8)).alias("a"), text.gram_set(F.slice("ts", 9, 8)).alias("b"))
-    return g.select("doc_id", F.round(text.dice(F.col("a"), F.col("b")), 6).alias("overlap"))
-
-
 @query(f"""
 WITH d AS (SELECT doc_id, {s.tok("coalesce(string_split(text, chr(10))[1], '')")} AS a, {s.tok("coalesce(substring(text, length(string_split(text, chr(10))[1]) + 1), '')")} AS b FROM documents),
 g AS (SELECT doc_id, {s.gram_set('list_distinct(a)')} AS a, {s.gram_set('list_distinct(b)')} AS b FROM d)
 SELECT doc_id, round({s.dice('a', 'b')}, 6) AS overlap FROM g
 """)
-def gram_overlap_whole(spark, sf_dir):
+def gram_overlap(spark, sf_dir):
     """Gram overlap of a document's first line with all the rest of it."""
     head = F.coalesce(F.substring_index("text", "\n", 1), F.lit(""))
     rest = F.coalesce(F.expr("substring(text, length(substring_index(text, '\\n', 1)) + 1)"), F.lit(""))
@@ -258,7 +246,7 @@ UNION ALL SELECT arg_min(doc_id, (-n, length('d' || doc_id), 'd' || doc_id)) FRO
 """)
 def fingerprint_dedup(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.lit(0).alias("query_id"), "doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("url"), "text")
-    return dedup.by_opening(d).select("doc_id")
+    return dedup.stays_by_opening(d).select("doc_id")
 
 
 @query("SELECT event_id, round(exp(-greatest(date_diff('day', ts::DATE, DATE '2024-06-30'), 0) / 730.0), 6) AS fresh FROM events")
@@ -287,34 +275,28 @@ def date_parse(spark, sf_dir):
 # ---------------------------------------------------------------- ranking
 
 
-def _queries(spark, sf_dir, whole: bool = False) -> DataFrame:
-    """All words of each benchmark text, or the first eight, as the statements over ``sqltext.TOP`` have them."""
-    ts = text.plain_tokens(F.col("text"))
-    ts = F.array_distinct(ts if whole else F.slice(ts, 1, 8))
+def _queries(spark, sf_dir) -> DataFrame:
+    """Queries: all distinct words of each benchmark text."""
+    ts = F.array_distinct(text.plain_tokens(F.col("text")))
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(ts, " ").alias("text"), ts.alias("ts"))
 
 
-def _top(spark, sf_dir, whole: bool = False) -> DataFrame:
+def _top(spark, sf_dir) -> DataFrame:
     """query_id, doc_id, score, place: each query's ten best documents."""
-    scored = ranking.bm25_corpus(table(spark, sf_dir, "documents"), _queries(spark, sf_dir, whole)).withColumn("score", F.round("score", 6))
+    scored = ranking.bm25_corpus(table(spark, sf_dir, "documents"), _queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where("place <= 10")
 
 
 @query(f"WITH {s.TOP} SELECT query_id, doc_id, score, place::INTEGER AS place FROM top")
 def bm25_docs(spark, sf_dir):
+    """Ten best documents of every benchmark text."""
     return _top(spark, sf_dir)
 
 
-@query(f"WITH {s.TOP_WHOLE} SELECT query_id, doc_id, score, place::INTEGER AS place FROM top")
-def bm25_docs_whole(spark, sf_dir):
-    """As ``bm25_docs``, with the whole benchmark texts as queries."""
-    return _top(spark, sf_dir, whole=True)
-
-
-def _pool(spark, sf_dir, whole: bool = False) -> DataFrame:
+def _pool(spark, sf_dir) -> DataFrame:
     """Candidate sets: each query's ten documents with text and title (the first line)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.substring_index("text", "\n", 1).alias("title"))
-    return _top(spark, sf_dir, whole).join(d, "doc_id")
+    return _top(spark, sf_dir).join(d, "doc_id")
 
 
 @query(f"""WITH {s.TOP}, p AS (SELECT query_id, top.doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM top JOIN documents USING (doc_id)),
@@ -363,7 +345,7 @@ _MARKED = "list_transform(ts, lambda t: CASE WHEN t = list_min(ts) THEN t || '-1
 
 
 @query(f"""WITH {s.TOP}, b AS (SELECT query_id, doc_id, replace(lower(text), '.', '-1') AS blob FROM top JOIN documents USING (doc_id)),
-m AS (SELECT query_id, unnest(list_slice(list_filter(list_distinct({_MARKED}), lambda t: length(t) >= 3), 1, 12)) AS t FROM q),
+m AS (SELECT query_id, unnest(list_slice(list_filter({_MARKED}, lambda t: length(t) >= 3), 1, 12)) AS t FROM q),
 p AS (SELECT query_id, doc_id, t, CASE WHEN regexp_matches(blob, '(^|[^a-z0-9])' || regexp_escape(t) || '($|[^a-z0-9])') THEN 1.0 ELSE 0.0 END AS p FROM b JOIN m USING (query_id)),
 w AS (SELECT *, count(*) OVER k AS n, sum(p) OVER k AS df FROM p WINDOW k AS (PARTITION BY query_id, t)),
 i AS (SELECT *, CASE WHEN regexp_matches(t, '[a-z0-9][_./:-][a-z0-9]|[0-9]') AND df > 0 AND df < n THEN greatest(ln((n + 1.0) / (df + 0.5)), 0) ELSE 0 END AS idf FROM w)
@@ -385,9 +367,12 @@ c AS (SELECT q.vec_id AS query_id, n.vec_id, n.label, round(list_sum(list_transf
 def _similar(spark, sf_dir) -> DataFrame:
     """Cosine of the first vector of each label (one query a label) with all others."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    q = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q")).select(F.collect_list("q").alias("qs"))
-    x = e.join(F.broadcast(q)).select("vec_id", "label", "embedding", F.explode("qs").alias("q")).where("q.vec_id <> vec_id")
-    return x.select(F.col("q.vec_id").alias("query_id"), "vec_id", "label", F.round(ranking.cosine(F.col("q.embedding"), F.col("embedding")), 6).alias("sim"))
+    q = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q")).select(F.col("q.vec_id").alias("query_id"), F.col("q.embedding").alias("q"))
+    if q.count() > 10_000:
+        raise ValueError("a vector is compared with 10,000 queries at most")
+    q = q.withColumn("nq", ranking.norm(F.col("q")))
+    x = e.withColumn("n", ranking.norm(F.col("embedding"))).join(F.broadcast(q), F.col("query_id") != F.col("vec_id"))
+    return x.select("query_id", "vec_id", "label", F.round(ranking.cosine(F.col("q"), F.col("embedding"), F.col("nq"), F.col("n")), 6).alias("sim"))
 
 
 @query(_COS + " SELECT query_id, place::INTEGER AS place, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS place FROM c) WHERE place <= 5")
@@ -409,11 +394,11 @@ sc AS (SELECT *, 0.42 * lex + 0.30 * title + 0.18 * covered AS rel, 0.34 * prior
 fin AS (SELECT query_id, doc_id, url, source, round(rel + (0.30 + 0.70 * lex) * sta - pen, 6) AS score, round(greatest(title, 0), 6) AS relevance FROM sc)"""
 
 
-def _scored(spark, sf_dir, whole: bool = False) -> DataFrame:
+def _scored(spark, sf_dir) -> DataFrame:
     """Fused scores of the candidate sets: BM25, title overlap and coverage; quality as prior; short texts are thin."""
-    q = _queries(spark, sf_dir, whole).select("query_id", "ts")
+    q = _queries(spark, sf_dir).select("query_id", "ts")
     prior = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    x = _pool(spark, sf_dir, whole).withColumn("lex", ranking.minmax("score")).drop("score").join(q, "query_id").join(prior, "doc_id", "left")
+    x = _pool(spark, sf_dir).withColumn("lex", ranking.minmax("score")).drop("score").join(q, "query_id").join(prior, "doc_id", "left")
     zero = {c: F.lit(0.0) for c in ("emb", "emb_raw", "url_fit", "host", "rare", "aspect", "authority", "consensus", "fresh", "date", "dead", "root", "orphan", "spam")}
     x = x.withColumns(zero | {
         "covered": ranking.term_coverage(F.col("ts"), F.lower(F.concat_ws(" ", "title", "text"))),
@@ -456,17 +441,29 @@ def relevance_floor(spark, sf_dir):
     return serp.assembled(x, k=10, cap=2).select("query_id", "url", "place")
 
 
-@query()
+def _runs(c: str, by: str) -> str:
+    return f"sum(({c})::INT) OVER (PARTITION BY {by} ORDER BY score DESC, url)"
+
+
+@query(_FEATS + f""", o AS (SELECT *, relevance >= {v.MIN_RELEVANCE} AS able FROM fin), a1 AS (SELECT *, {_runs('true', 'query_id, source')} <= 2 AS ok FROM o),
+a2 AS (SELECT *, {_runs('ok', 'query_id')} AS sofar FROM a1), a3 AS (SELECT *, ok AND sofar <= 3 AS early, sofar - ok::INT >= 3 AND able AS late FROM a2),
+a4 AS (SELECT *, early OR (late AND {_runs('early OR late', 'query_id, source')} <= 2) AS now FROM a3), a5 AS (SELECT *, now AND {_runs('now', 'query_id')} <= 10 AS one FROM a4),
+b0 AS (SELECT *, sum(one::INT) OVER (PARTITION BY query_id) AS n, sum(one::INT) OVER (PARTITION BY query_id, source) AS had FROM a5),
+b1 AS (SELECT *, NOT one AND had + {_runs('NOT one', 'query_id, source')} <= 5 AS ok2 FROM b0), b2 AS (SELECT *, {_runs('ok2', 'query_id')} AS sofar2 FROM b1),
+b3 AS (SELECT *, ok2 AND sofar2 <= greatest(3 - n, 0) AS early2, NOT one AND able AND sofar2 - ok2::INT >= greatest(3 - n, 0) AS late2 FROM b2),
+b4 AS (SELECT *, early2 OR (late2 AND had + {_runs('early2 OR late2', 'query_id, source')} <= 5) AS now2 FROM b3), b5 AS (SELECT *, now2 AND n + {_runs('now2', 'query_id')} <= 10 AS two FROM b4),
+c AS (SELECT *, round(score::DECIMAL(18, 6), 4)::DOUBLE AS shown FROM b5 WHERE one OR two)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY shown DESC, one DESC, score DESC, url)::INTEGER AS place, url, shown AS score, relevance FROM c""")
 def search_serp(spark, sf_dir):
     """The exact greedy list with site cap, floor and refill."""
-    return serp.assembled(_scored(spark, sf_dir, whole=True).withColumnRenamed("source", "site"))
+    return serp.assembled(_scored(spark, sf_dir).withColumnRenamed("source", "site"))
 
 
 # ---------------------------------------------------------------- budgets
 
 
-def _serp_rows(spark, sf_dir, whole: bool = False) -> DataFrame:
-    x = _pool(spark, sf_dir, whole)
+def _serp_rows(spark, sf_dir) -> DataFrame:
+    x = _pool(spark, sf_dir)
     lines = F.filter(F.split("text", "\n"), lambda l: l != "")
     return x.select("query_id", "place", F.substring("title", 1, 200).alias("title"), F.concat(F.lit("https://d/"), F.col("doc_id").cast("string")).alias("url"), F.slice(lines, 1, 6).alias("passages"), F.transform(F.slice(lines, 1, 6), lambda l: F.length(l).cast("double")).alias("passage_scores"), F.substring("text", 1, 600).alias("text"))
 
@@ -494,7 +491,7 @@ def passage_cap(spark, sf_dir):
 @query()
 def page_fit(spark, sf_dir):
     """Pages cut to 120 tokens each."""
-    return serp.page_cost(serp.fit_page(_serp_rows(spark, sf_dir, whole=True), 120)).select("query_id", "place", "passages", "text", "cost")
+    return serp.page_cost(serp.fit_page(_serp_rows(spark, sf_dir), 120)).select("query_id", "place", "passages", "text", "cost")
 
 
 # ---------------------------------------------------------------- plans and stores
@@ -643,7 +640,7 @@ def sitemap_pick(spark, sf_dir):
 @query()
 def select_windows(spark, sf_dir):
     """Two windows of each candidate for its query, with the share of terms in each."""
-    x = _pool(spark, sf_dir, whole=True).join(_queries(spark, sf_dir, whole=True).select("query_id", F.col("ts").alias("terms")), "query_id")
+    x = _pool(spark, sf_dir).join(_queries(spark, sf_dir).select("query_id", F.col("ts").alias("terms")), "query_id")
     return passages.windows(x.select("query_id", "doc_id", "text", F.lit("").alias("seed"), "terms"), 600, 2)
 
 
@@ -651,7 +648,7 @@ def select_windows(spark, sf_dir):
 def passage_pool(spark, sf_dir):
     """Passages of each candidate, the first with title and opening."""
     none = F.array().cast("array<string>")
-    x = _pool(spark, sf_dir, whole=True).join(_queries(spark, sf_dir, whole=True).select("query_id", F.col("ts").alias("terms")), "query_id")
+    x = _pool(spark, sf_dir).join(_queries(spark, sf_dir).select("query_id", F.col("ts").alias("terms")), "query_id")
     return passages.passages(x.withColumns({"description": F.lit(""), "anchors": none}))
 
 

@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions import values as v
+from ..functions.text import let
 
 ROUTE_NAMES = list(v.ROUTES)
 PLAN_JSON = "candidates array<string>, routes string, hubs array<string>, expansions array<string>, intent string, lang string"
+GRAMMAR = (
+    "Write one item a line, the surest first:\n"
+    "I intent (" + ", ".join(v.INTENTS) + ")\nL language code\nU confidence address :: why\nR route: query | route: query (routes: " + ", ".join(n for n in v.ROUTES if n not in v.ROUTES_OFF) + ")\n"
+    "X another wording | another wording\nH address of an index page\nName only addresses that you are sure exist."
+)
 
 
 def lines(plans: DataFrame, key: str = "query_id") -> DataFrame:
@@ -72,7 +78,7 @@ def candidates(parsed: DataFrame, key: str = "query_id") -> DataFrame:
         key,
         F.col("line").alias("arrival"),
         tag.alias("kind"),
-        urls.clean_url(address).alias("url"),
+        let(address, urls.clean_url).alias("url"),
         F.when(tag == "P", 1.0).when((tag == "U") & scored, F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.try_to_number(F.concat(F.lit("0"), F.regexp_extract(rest, sure, 1)), F.lit("99.999999")).cast("double")))).when(tag == "U", 0.55).alias("prior"),
         F.when(tag == "P", F.greatest(F.lit(1), F.least(F.lit(10), F.regexp_extract(rest, r"^(\d{1,2})\s", 1).try_cast("int")))).alias("pinned"),
         F.substring(F.trim(reason), 1, 200).alias("reason"),
@@ -131,3 +137,31 @@ def route_fit(source: Column, intent: Column) -> Column:
     for route, fires in v.ROUTES.items():
         out = F.when(name == route, F.when(intent.isin(*fires), 1.0).otherwise(v.ROUTE_DISTRUST) if fires else F.lit(v.ROUTE_DISTRUST)).otherwise(out)
     return out
+
+
+def json_parts(plans: DataFrame, key: str = "query_id") -> DataFrame:
+    """Everything else of plans given as JSON: ``key``, intent, lang, expansions (8), hubs (6, checked), routes of (name, query); the first of each route name in the order given."""
+    p = plans.select(key, F.from_json("raw", PLAN_JSON).alias("p")).select(key, "p.*")
+    none = F.array().cast("array<string>")
+    intent, lang = F.lower(F.trim("intent")), F.lower(F.regexp_extract(F.trim("lang"), r"^([A-Za-z]{2,3})(?:[-_][A-Za-z]{2,4})?$", 1))
+    said = F.filter(F.transform(F.coalesce("expansions", none), lambda e: F.trim(e)), lambda e: (F.length(e) > 1) & (F.length(e) < 160))
+    hubs = F.array_distinct(F.filter(F.transform(F.slice(F.coalesce("hubs", none), 1, 6), urls.clean_url), urls.valid_url))
+    pairs = F.from_json("routes", "map<string,string>")
+    listed = F.transform(F.from_json("routes", "array<string>"), lambda n: F.struct(n.alias("name"), F.lit(None).cast("string").alias("query")))
+    mapped = F.transform(F.map_entries(pairs), lambda e: F.struct(e["key"].alias("name"), F.nullif(F.substring(F.trim(e["value"]), 1, 240), F.lit("")).alias("query")))
+    every = F.coalesce(F.when(F.startswith(F.trim("routes"), F.lit("{")), mapped), F.when(F.startswith(F.trim("routes"), F.lit("[")), listed), F.array().cast("array<struct<name:string,query:string>>"))
+    routes = F.filter(every, lambda r: r["name"].isin(*ROUTE_NAMES))
+    return p.select(key, F.when(intent.isin(*v.INTENTS), intent).otherwise("informational").alias("intent"), F.coalesce(F.nullif(lang, F.lit("")), F.lit("en")).alias("lang"), F.slice(said, 1, 8).alias("expansions"), hubs.alias("hubs"), F.slice(routes, 1, 8).alias("routes"))
+
+
+def prompts(queries: DataFrame) -> DataFrame:
+    """What a planning model is asked first: query_id, prompt."""
+    return queries.select("query_id", F.concat(F.lit("Which web pages answer this, from memory?\n"), F.lit(GRAMMAR), F.lit("\n\nQuestion: "), "query").alias("prompt"))
+
+
+def refine_prompts(queries: DataFrame, reports: DataFrame) -> DataFrame:
+    """What it is asked for a second round, over the report of the first (see ``expand.findings``): query_id, prompt."""
+    x = queries.join(reports, "query_id")
+    found = F.array_join(F.transform("found", lambda f: F.concat(F.format_string("%.2f", f["relevance"]), F.lit(" "), f["title"], F.lit(" "), f["url"], F.lit("\n  "), f["excerpt"])), "\n")
+    block = lambda name, body: F.when(body != "", F.concat(F.lit(f"\n\n{name}:\n"), body)).otherwise("")
+    return x.select("query_id", F.concat(F.lit("The first round left gaps. Name pages that fill them, and none of those below.\n"), F.lit(GRAMMAR), F.lit("\n\nQuestion: "), "query", block("Found", found), block("Dead", F.array_join("dead", "\n")), block("Shown", F.array_join("shown", "\n"))).alias("prompt"))

@@ -74,9 +74,9 @@ def cost(s: str) -> str:
     return f"(CASE WHEN coalesce(length({s}), 0) = 0 THEN 0 ELSE greatest(length({s}) // 4, 1) END)"
 
 
-#: Queries q(query_id, text), the first eight words of each benchmark item; each one's ten best documents by BM25.
+#: Queries q(query_id, ts), all words of each benchmark item; each one's ten best documents by BM25.
 TOP = f"""q AS (
-  SELECT item_id AS query_id, list_distinct(list_slice({tok("text")}, 1, 8)) AS ts FROM benchmark
+  SELECT query_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS ts FROM (SELECT item_id AS query_id, {tok("text")} AS w FROM benchmark)
 ), qt AS (
   SELECT query_id, unnest(ts) AS t FROM q
 ), d AS (
@@ -93,6 +93,3 @@ TOP = f"""q AS (
 ), top AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM bm) WHERE place <= 10
 )"""
-
-#: The same with all words of each item.
-TOP_WHOLE = TOP.replace(f"list_slice({tok('text')}, 1, 8)", tok("text"))

@@ -10,12 +10,12 @@ def test_queries_without_statement_and_the_flagship_ask_with_whole_texts(spark,
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     q = entry.queries()
-    first = [r.doc_id for r in q["bm25_docs_whole"](spark, str(tmp_path)).where("place = 1").collect()]
+    first = [r.doc_id for r in q["bm25_docs"](spark, str(tmp_path)).where("place = 1").collect()]
     assert first == [20]
     for name in ("select_windows", "passage_pool"):
         assert 20 in {r.doc_id for r in q[name](spark, str(tmp_path)).collect()}, name
     assert "d20" in {r.url for r in q["search_serp"](spark, str(tmp_path)).collect()}
-    assert "list_slice" not in sqltext.TOP_WHOLE and "list_slice" in sqltext.TOP
+    assert "list_slice" not in sqltext.TOP
 
 
 def test_gram_overlap_reads_to_the_end(spark, tmp_path):
@@ -23,5 +23,5 @@ def test_gram_overlap_reads_to_the_end(spark, tmp_path):
     rest = " ".join(["filler"] * 300)
     rows = [(1, f"elephant\n{rest} elephant"), (2, f"elephant\n{rest}"), (3, None), (4, "one line")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.overlap for r in entry.queries()["gram_overlap_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.overlap for r in entry.queries()["gram_overlap"](spark, str(tmp_path)).collect()}
     assert got[1] > 0.5 and got[2] == got[3] == got[4] == 0.0

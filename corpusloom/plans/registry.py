@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog
+from . import cases, catalog
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +13,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(catalog.QUERIES)
+    return catalog.QUERIES | cases.QUERIES
 
 
 def oracle_sql() -> dict:
-    return dict(catalog.SQL)
+    return catalog.SQL | cases.SQL

@@ -201,7 +201,7 @@ class Engine:
         return expand.scored_links(links, q.select("query_id", "vocabularies", "years"))
 
     def fetched(self, cands: DataFrame) -> DataFrame:
-        """Candidates with their page; what a route already gave in full stands for the page, and unread rows stay if they have a title and a snippet."""
+        """Candidates with their page, and those without one; what a route already gave in full stands for the page."""
         told = [F.col(c).alias(f"given_{c}") if c in ("title", "content", "snippet") else F.col(c) for c in CANDIDATE]
         pages = self.corpus.drop("links", "images", "favicon", "search_url").withColumnRenamed("lang", "page_lang")
         x = stores.pages_of(cands.select(*told), pages)
@@ -215,7 +215,7 @@ class Engine:
             "named": F.col("url"),
             "url": F.coalesce("final_url", "url"),
         })
-        return expand.presentable(x.drop("given_title", "given_content", "given_snippet", "url_key"))
+        return x.drop("given_title", "given_content", "given_snippet", "url_key")
 
     def further(self, docs: DataFrame, q: DataFrame) -> DataFrame:
         """What landed pages lead to: links into their own section, links that fit better than the page itself, and pages from the catalogues of hosts that failed: query_id, url, prior."""
@@ -246,7 +246,7 @@ class Engine:
         return pages.unionByName(candidates(self.linked(planned.where("kind = 'H'"), q), "E", 10_000))
 
     def ranked(self, q: DataFrame, docs: DataFrame, o: Options, shown: DataFrame | None = None) -> DataFrame:
-        docs = dedup.by_opening(dedup.by_address(docs)).withColumn("doc_id", F.col("url_key"))
+        docs = dedup.by_opening(dedup.by_address(expand.presentable(docs))).withColumn("doc_id", F.col("url_key"))
         x = docs.join(q.drop("guessed_intent", "guessed_lang"), "query_id").withColumnRenamed("url", "address").withColumn("url", F.col("address"))
         x = kept(x)
         anchors = urls.anchor_terms(F.col("named"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import sinks
 from ..functions import text, urls
 from ..functions import values as v
-from ..operators import answers, dedup, expand, ranking, serp
+from ..operators import answers, content, dedup, expand, ranking, serp
 from ..operators.cut import shared
 from ..sources import routes, stores
 from ..streaming import deadline
@@ -187,6 +187,24 @@ def planner_prompts(spark, sf_dir):
     return p.select("query_id", has(F.col("query")).alias("asks"), (has("U confidence address") & has("informational")).alias("has_grammar"), (has("0.50 T https://e.org/t") & has("Dead:\nhttps://d.org/") & has("Shown:")).alias("reports"))
 
 
+PDF = b"%PDF-1.4\n1 0 obj << /Title (A \\(small\\) file) /CreationDate (D:20240305) >> endobj\n2 0 obj << /Length 60 >> stream\nBT /F1 12 Tf (First line) Tj T* [(Sec) -20 (ond)] TJ ET\nendstream endobj"
+
+
+@case([(1, "A (small) file", "2024-03-05", "First line\nSecond"), (2, "", "", '{\n "a": [\n  1\n ]\n}'), (3, "Ä", "", "Ü"), (4, "É", "", "x"), (5, "", "", ""), (6, "é", "", "y")], "page_id INTEGER,title VARCHAR,published VARCHAR,text VARCHAR")
+def bodies_by_type(spark, sf_dir):
+    """A PDF, JSON, pages whose character set the header, the page or nothing names, and no body."""
+    html = lambda t, b, m="": f"<html><head>{m}<title>{t}</title></head><body>{b}</body></html>"
+    rows = [(1, "https://e.org/f.pdf", PDF, "application/pdf"), (2, "https://e.org/j", b'{"a":[1]}', "application/json"), (3, "u", html("Ä", "Ü").encode("latin-1"), "text/html; charset=ISO-8859-1"), (4, "u", html("É", "x", '<meta charset="cp1252">').encode("cp1252"), "text/html"), (5, "u", None, None), (6, "u", html("é", "y").encode(), "text/html; charset=nosuch")]
+    x = content.pages(given(spark, rows, "page_id int, url string, body binary, content_type string"))
+    return x.select("page_id", "title", "published", "text")
+
+
+@case([(1, "# Head\n\nA **bold** [link](https://e.org/x).\n\n- one\n- two\n\n> Said.\n\n```\nx = 1\n```"), (2, "")], "i INTEGER,markdown VARCHAR")
+def page_markdown(spark, sf_dir):
+    html = "<body><nav>menu</nav><article><h1>Head</h1><p>A <b>bold</b> <a href='/x'>link</a>.</p><ul><li>one<li>two</ul><blockquote><p>Said.</p></blockquote><pre>x = 1</pre></article></body>"
+    return content.as_markdown(given(spark, [(1, "https://e.org/", html), (2, "", None)], "i int, url string, html string")).select("i", "markdown")
+
+
 # ---------------------------------------------------------------- routes
 
 BODIES = [

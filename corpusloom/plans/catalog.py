@@ -465,10 +465,10 @@ def search_serp(spark, sf_dir):
 def _serp_rows(spark, sf_dir) -> DataFrame:
     x = _pool(spark, sf_dir)
     lines = F.filter(F.split("text", "\n"), lambda l: l != "")
-    return x.select("query_id", "place", F.substring("title", 1, 200).alias("title"), F.concat(F.lit("https://d/"), F.col("doc_id").cast("string")).alias("url"), F.slice(lines, 1, 6).alias("passages"), F.transform(F.slice(lines, 1, 6), lambda l: F.length(l).cast("double")).alias("passage_scores"), F.substring("text", 1, 600).alias("text"))
+    return x.select("query_id", "place", "title", F.concat(F.lit("https://d/"), F.col("doc_id").cast("string")).alias("url"), lines.alias("passages"), F.transform(lines, lambda l: F.length(l).cast("double")).alias("passage_scores"), "text")
 
 
-_ROWS = f"""WITH {s.TOP}, r AS (SELECT query_id, place, substring(string_split(text, chr(10))[1], 1, 200) AS title, 'https://d/' || doc_id AS url, list_slice(list_filter(string_split(text, chr(10)), lambda l: l <> ''), 1, 6) AS ps, substring(text, 1, 600) AS text FROM top JOIN documents USING (doc_id)),
+_ROWS = f"""WITH {s.TOP}, r AS (SELECT query_id, place, string_split(text, chr(10))[1] AS title, 'https://d/' || doc_id AS url, list_filter(string_split(text, chr(10)), lambda l: l <> '') AS ps, text FROM top JOIN documents USING (doc_id)),
 c AS (SELECT query_id, place, ({s.cost('title')} + {s.cost('url')} + coalesce(list_sum(list_transform(ps, lambda p: {s.cost('p')})), 0) + {s.cost('text')})::BIGINT AS cost, ps FROM r)"""
 
 
@@ -655,7 +655,10 @@ def passage_pool(spark, sf_dir):
 # ---------------------------------------------------------------- streams
 
 
-@query()
+@query("""WITH f AS (SELECT user_id, min(ts) AS t0 FROM events GROUP BY 1), m AS (SELECT max(ts) AS mx FROM events),
+c AS (SELECT f.user_id, t0, CASE WHEN max(e.ts) > t0 + INTERVAL 2 DAY THEN 'arrival' WHEN t0 + INTERVAL 2 DAY + INTERVAL 1 MILLISECOND < mx THEN 'time' END AS closed_by FROM f JOIN events e USING (user_id), m GROUP BY f.user_id, t0, mx),
+r AS (SELECT user_id, event_id, value AS score, closed_by, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM events JOIN c USING (user_id) WHERE closed_by IS NOT NULL AND ts <= t0 + INTERVAL 2 DAY)
+SELECT user_id::BIGINT AS query_id, place::INTEGER AS place, event_id, score, closed_by FROM r WHERE place <= 3""")
 def stream_deadline_serp(spark, sf_dir):
     """The three best events of each user within two days of the first, from a stream."""
     e = deadline.events(spark, sf_dir).select(F.col("user_id").cast("long").alias("query_id"), "event_id", "ts", F.col("value").alias("score"))

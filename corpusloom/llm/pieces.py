@@ -34,7 +34,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +99,12 @@ def _sums(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.add.reduceat(np.append(x, 0.0), np.minimum(start, len(x))) * (size > 0) if len(start) else np.zeros(0)
 
 
+def _joined(words: pa.Array, n: int, by: str) -> pa.Array:
+    """Every ``n`` words that follow one another as one string."""
+    cut = np.append(np.arange(0, len(words), n), len(words)).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(cut), words), by)
+
+
 class Model:
     """Pieces of a model file and their sampling weights."""
 
@@ -166,12 +172,12 @@ class Model:
         """The model's ids of runs; a literal word start goes by its bytes."""
         return [[self.known[START]] if r == START else self._mixed_ids(r) if LITERAL in r else self.processor.encode(r[1:].replace(START, " "), num_threads=1) for r in runs]
 
-    def own_ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def own_ids_of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of runs that are one word start and a word: one after the other, and how many each has.
 
         Words are encoded many at a time; a run's first id is the only one of a piece that starts with a word start.
         """
-        flat = np.fromiter(chain.from_iterable(self.processor.encode([" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)], num_threads=1)), np.int32)
+        flat = np.fromiter(chain.from_iterable(self.processor.encode(_joined(words, JOINED, " ").to_pylist(), num_threads=1)), np.int32)
         return flat, np.diff(np.append(np.flatnonzero(self.starts[flat]), len(flat)))
 
     def _mixed_ids(self, run: str) -> list[int]:
@@ -215,7 +221,7 @@ class Lattices:
         """Each document's runs by number; lattices of these runs take the place of those before."""
         of = {r: i for i, r in enumerate(dict.fromkeys(r for d in docs for r in d))}
         if list(of) != self.held:
-            self.build([], list(of))
+            self.build(pa.array([], pa.string()), list(of))
         return [np.fromiter(map(of.__getitem__, d), np.int64, len(d)) for d in docs]
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,7 +231,7 @@ class Lattices:
         plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
         words = pc.split_pattern(texts.take(pa.array(plain)), " ")
         coded = words.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
+        known = coded.dictionary
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         whole = [self.model.runs(t) for t in texts.take(pa.array(rest)).to_pylist()]
         more = list(dict.fromkeys(chain.from_iterable(whole)))
@@ -236,30 +242,32 @@ class Lattices:
         size = np.concatenate([pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64), np.fromiter(map(len, whole), np.int64, len(whole))])
         return at, size, np.concatenate([plain, rest])
 
-    def build(self, words: list[str], runs: list[str]) -> None:
+    def build(self, words: pa.Array, runs: list[str]) -> None:
         """Builds the lattices of words (each with a word start before it) and other runs at once: a walk of the trie from all places, then sums from the ends."""
         model = self.model
-        self.n_words, self.held = len(words), runs
-        self.joined = "".join([*chain.from_iterable(zip([START] * len(words), words, strict=True)), *runs]) if runs else START * bool(words) + START.join(words)
+        self.words, self.held = words, runs
+        n_words = len(words)
         own, n_own = model.own_ids_of_words(words)
         more = model.own_ids(runs)
         n_own = np.concatenate([n_own, np.fromiter(map(len, more), np.int64, len(more))])
         self.own = np.concatenate([own, np.fromiter(chain.from_iterable(more), np.int32)])
         self.own0 = np.append(0, np.cumsum(n_own))
-        size = np.concatenate([np.fromiter(map(len, words), np.int64, len(words)) + 1, np.fromiter(map(len, runs), np.int64, len(runs))])
+        size = np.concatenate([pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1, np.fromiter(map(len, runs), np.int64, len(runs))])
+        # a character for each node: the run's, and one that is not looked at for its end
+        nodes = START + _joined(words, n_words, "\0" + START)[0].as_py() + "\0" if n_words else ""
+        nodes += "".join(chain.from_iterable(zip(runs, repeat("\0"))))
+        chars = np.frombuffer((nodes + "\0" * model.longest).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.first = np.cumsum(size + 1) - size - 1
-        n = int((size + 1).sum())
+        n = len(nodes)
         self.left = left = (np.repeat(self.first + size, size + 1) - np.arange(n)).astype(np.int32)
         places = np.flatnonzero(left > 0)
-        chars = np.zeros(n + model.longest, np.uint32)
-        chars[places] = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = model.code[chars]
         found: list[tuple[np.ndarray, np.ndarray]] = []  # of each length: nodes and pieces
         count = np.zeros(n, np.int32)
         at, state = places, np.zeros(len(places), np.int64)
         for k in range(1, model.longest + 1):
             c = codes[at + (k - 1)]
-            to = model.dense[state * ALPHABET + c]
+            to = model.dense[state * ALPHABET + c] if k > 1 else model.dense[c]
             rare = np.flatnonzero(c == 0)
             if len(rare):
                 key = state[rare] << 21 | chars[at[rare] + (k - 1)]
@@ -280,12 +288,12 @@ class Lattices:
         self.count = count
         self.edge0 = edge0 = np.cumsum(count, dtype=np.int64) - count
         m = int(count.sum())
-        self.step, self.id, self.src = np.empty(m, np.int32), np.empty(m, np.int32), np.empty(m, np.int64)
+        self.step, self.id, self.src = np.empty(m, np.int32), np.empty(m, np.int32), np.repeat(np.arange(n), count)
         filled = edge0.copy()
         for k in range(len(found), 0, -1):
             node, piece = found[k - 1]
             place = filled[node]
-            self.step[place], self.id[place], self.src[place] = k, piece, node
+            self.step[place], self.id[place] = k, piece
             filled[node] += 1
         weight = np.where(self.id >= 0, model.weight[np.maximum(self.id, 0)], model.unknown)
         beta = np.zeros(n)
@@ -371,16 +379,16 @@ class Lattices:
 
     def faithful(self) -> np.ndarray:
         """For each run, whether its own ids decode to it."""
-        model, n = self.model, self.n_words
+        model, n = self.model, len(self.words)
         each = model.bytes0[self.own + 1] - model.bytes0[self.own]
         got = model.bytes[spans(model.bytes0[self.own], each)]
         stop = np.append(0, np.cumsum(each))[self.own0]
         text = got.tobytes()
-        want = self.joined.replace(START, " ").replace(LITERAL, START).encode()
+        want = b" " + _joined(self.words, n, " ")[0].as_buffer().to_pybytes() if n else b""
         out = np.ones(len(stop) - 1, bool)
         out[:n] = got[stop[:n]] == 32  # words hold no space, so equal texts with spaces at the starts have equal words
-        if text[: stop[n]] != want[: stop[n]]:
-            parts = [b" " + w for w in want[1:].split(b" ", n)[:n]]
+        if text[: stop[n]] != want:
+            parts = [b" " + w for w in want[1:].split(b" ")]
             out[:n] = [text[a:b] == w for a, b, w in zip(stop[:n].tolist(), stop[1 : n + 1].tolist(), parts, strict=True)]
         for i, r in enumerate(self.held):
             out[n + i] = text[stop[n + i] : stop[n + i + 1]] == r.replace(START, " ").replace(LITERAL, START).encode()

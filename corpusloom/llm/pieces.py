@@ -48,7 +48,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 START, LITERAL = "▁", "\udfff"  # a lone surrogate, which no text holds, stands for a literal U+2581 meanwhile
 RUN = re.compile(f"{START}+[^{START}]*")
 SAMPLES, ALPHA, OFFSET = 3, 1.0, 10.0
-GROUP, GROUP_BYTES = 256, 500_000  # documents taken together: so many, or the one that passes so many bytes
+GROUP, GROUP_BYTES = 384, 800_000  # documents taken together: so many, or the one that passes so many bytes
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 ALPHABET = 64  # of the trie's dense table
 JOINED = 16  # words given to the model at a time

@@ -38,11 +38,12 @@ WIDTH, HIDDEN, SPAN = 8, 16, 2  # of an embedding, of the hidden layer; tokens s
 BATCH, RATE, ROUNDS = 8192, 0.15, 2
 WORKER = 2_000_000  # tokens that one set of weights learns from in a round, or so
 BLOCK = 8192  # floats of a block of weights
-ROWS, BYTES = 1024, 1 << 20  # texts cut into words at a time
+ROWS, BYTES = 1024, 1 << 19  # texts cut into words at a time
 EXACT = 4096  # counts below this have a row each in the histogram
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+DIGIT = LOWER.astype(np.uint64) + np.uint64(1)  # of a byte in the polynomial
 SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD6E8FEB86659FD93  # of the polynomial over a word's bytes; odd, so it has an inverse
@@ -68,7 +69,7 @@ def words(texts: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    low, space = LOWER[data], SPACE[data]
+    space = SPACE[data]
     first, last = np.empty(n, bool), np.empty(n, bool)
     first[0] = last[-1] = True
     first[1:], last[:-1] = space[:-1], space[1:]
@@ -77,7 +78,10 @@ def words(texts: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     last[inner - 1] = True
     start, stop = np.flatnonzero(first & ~space), np.flatnonzero(last & ~space) + 1
     up, down = powers.of(n)
-    total = np.append(np.uint64(0), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up))
+    total = np.zeros(n + 1, np.uint64)
+    digits = DIGIT[data]
+    digits *= up
+    np.cumsum(digits, out=total[1:])
     x = (total[stop] - total[start]) * down[start]
     size = stop - start
     x ^= size.astype(np.uint64) * GOLD
@@ -87,7 +91,7 @@ def words(texts: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
-    shape = (np.minimum(size, 40) * 131 + low[start].astype(np.int64) * 31 + low[stop - 1].astype(np.int64) * 7) % SHAPES
+    shape = (np.minimum(size, 40) * 131 + LOWER[data[start]].astype(np.int64) * 31 + LOWER[data[stop - 1]].astype(np.int64) * 7) % SHAPES
     return x & ~np.uint64(255) | shape.astype(np.uint64), np.diff(np.searchsorted(start, at))
 
 
@@ -97,8 +101,8 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for b in batches:
-            for part in slices(b, 0, 1 << 20, 4 * BYTES):
-                keys, n = np.unique(words(part.column(0), powers)[0], return_counts=True)
+            for several in slices(b, 0, 1 << 20, 8 * BYTES):  # counted together
+                keys, n = np.unique(np.concatenate([words(part.column(0), powers)[0] for part in slices(several, 0, ROWS, BYTES)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     return docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))

@@ -149,17 +149,13 @@ def guess_intent(q: Column) -> Column:
 
 def guess_lang(q: Column) -> Column:
     """By script (any kana: ja; else the most frequent), else by at least two marker words, else en."""
-    counts = {lang: F.regexp_count(q, F.lit(f"[{body}]")) for lang, body in v.SCRIPTS.items()}
-    most = F.greatest(*counts.values())
-    by_script = F.when(counts["ja"] > 0, "ja")
-    for lang, n in counts.items():
-        by_script = by_script.when((n == most) & (most > 0), lang)
+    first = lambda names, counts: F.element_at(F.array(*map(F.lit, names)), F.array_position(counts, F.array_max(counts)).cast("int"))
+    scripts = F.array(*[F.regexp_count(q, F.lit(f"[{body}]")) for body in v.SCRIPTS.values()])
+    kana = list(v.SCRIPTS).index("ja")
+    by_script = let(scripts, lambda c: F.when(F.get(c, F.lit(kana)) > 0, "ja").when(F.array_max(c) > 0, first(v.SCRIPTS, c)))
     words = F.array_distinct(F.regexp_extract_all(F.lower(q), F.lit(v.MARKER_WORD), F.lit(0)))
-    hits = {lang: F.size(F.array_intersect(words, F.array(*map(F.lit, sorted(set(ws)))))) for lang, ws in v.MARKERS.items()}
-    top = F.greatest(*hits.values())
-    by_word = F.when(top < 2, "en")
-    for lang, n in hits.items():
-        by_word = by_word.when(n == top, lang)
+    hits = let(words, lambda w: F.array(*[F.size(F.array_intersect(w, F.array(*map(F.lit, sorted(set(ws)))))) for ws in v.MARKERS.values()]))
+    by_word = let(hits, lambda h: F.when(F.array_max(h) < 2, "en").otherwise(first(v.MARKERS, h)))
     return F.coalesce(by_script, by_word)
 
 

@@ -115,6 +115,8 @@ class Vocabulary:
         keys = np.array([w for w, _ in top], np.int64).view(np.uint64)
         order = np.argsort(keys)
         self.keys, self.rank = keys[order], order
+        # keys are evenly spread, so their first 16 bits lead to the few that share them
+        self.slot = np.append(np.searchsorted(self.keys, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)), len(keys))
         self.counts = np.zeros(SIZE)
         self.counts[: len(top)] = [n for _, n in top]
         self.counts[TOP:PAD] = shape_counts
@@ -127,11 +129,19 @@ class Vocabulary:
 
     def ids(self, keys: np.ndarray) -> np.ndarray:
         """Token of each word."""
-        shape = TOP + (keys & np.uint64(255)).astype(np.int64)
-        if not len(self.keys):
-            return shape
-        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[i] == keys, self.rank[i], shape)
+        out = TOP + (keys & np.uint64(255)).astype(np.int64)
+        first = (keys >> np.uint64(48)).astype(np.int64)
+        at, size = self.slot[first], self.slot[first + 1] - self.slot[first]
+        rows = np.flatnonzero(size)
+        while len(rows):
+            here = at[rows]
+            hit = self.keys[here] == keys[rows]
+            out[rows[hit]] = self.rank[here[hit]]
+            rows = rows[~hit]
+            at[rows] += 1
+            size[rows] -= 1
+            rows = rows[size[rows] > 0]
+        return out
 
 
 def _bucket(n: Column) -> Column:

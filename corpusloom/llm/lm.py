@@ -35,7 +35,7 @@ SHAPES = 255
 PAD = SIZE - 1  # stands outside the text
 TOP = PAD - SHAPES
 WIDTH, HIDDEN, SPAN = 8, 16, 2  # of an embedding, of the hidden layer; tokens seen on each side
-BATCH, RATE, ROUNDS = 8192, 0.15, 2
+BATCH, RATE, ROUNDS = 4096, 0.15, 2
 WORKER = 2_000_000  # tokens that one set of weights learns from in a round, or so
 BLOCK = 8192  # floats of a block of weights
 ROWS, BYTES = 1024, 1 << 19  # texts cut into words at a time

@@ -140,6 +140,8 @@ def pages_of(candidates: DataFrame, pages: DataFrame, window_ms: int | None = No
 
     Pages are cut to those asked for before anything is shuffled, where the candidates are
     few enough to be sent to all tasks; ``pages`` may have ``url_key`` already (see ``keyed``).
+    Of pages with one canonical address the smallest spelling counts, and of equal spellings
+    the smallest row, by its columns in order (those of types that have an order).
     ``error`` is null, ``not found``, or ``timeout`` where ``pages`` has fetch_ms over
     ``window_ms``; status is 200, 404 or 0.
     """
@@ -148,7 +150,8 @@ def pages_of(candidates: DataFrame, pages: DataFrame, window_ms: int | None = No
     asked = x.select("url_key").distinct()
     p = p.join(F.broadcast(asked) if asked.count() <= SMALL else asked, "url_key", "left_semi")
     p = p.select("url_key", F.col("url").alias("final_url"), *[c for c in p.columns if c not in ("url", "url_key")])
-    p = p.withColumn("__n", F.row_number().over(Window.partitionBy("url_key").orderBy("final_url"))).where("__n = 1").drop("__n")
+    first = ["final_url", *[c for c, kind in p.dtypes if c not in ("url_key", "final_url") and not any(k in kind for k in ("map<", "variant", "interval"))]]
+    p = p.withColumn("__n", F.row_number().over(Window.partitionBy("url_key").orderBy(*[F.col("`" + c.replace("`", "``") + "`") for c in first]))).where("__n = 1").drop("__n")
     x = x.join(p, "url_key", "left")
     late = F.coalesce(F.col("fetch_ms") > window_ms, F.lit(False)) if window_ms is not None and "fetch_ms" in pages.columns else F.lit(False)
     found = F.col("final_url").isNotNull()

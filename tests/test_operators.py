@@ -109,3 +109,12 @@ def test_hub_links(spark):
     q = spark.createDataFrame([(1, [["annual", "report"]], ["2024"])], "query_id int, vocabularies array<array<string>>, years array<string>")
     got = expand.follow_hubs(expand.scored_links(df, q.withColumn("years", F.array().cast("array<string>")))).collect()
     assert len(got) == 5 and all("report" in r.url and r.prior <= 0.75 for r in got)
+
+
+def test_pages_of_one_address_give_the_smallest_row(spark):
+    """pages_joined: the order in which rows of one spelling come changes nothing."""
+    asked = spark.createDataFrame([(1, "https://e.org/a/")], "query_id int, url string")
+    rows = [(9, "https://e.org/a", {"x": "y"}), (7, "https://e.org/a", {"x": "z"}), (8, "https://e.org/a", {"x": "y"}), (1, "https://e.org/a/", {})]
+    for some in (rows, rows[::-1], rows[1:] + rows[:1]):
+        pages = spark.createDataFrame(some, "page_id int, url string, headers map<string,string>").coalesce(1)
+        assert [r.page_id for r in stores.pages_of(asked, pages).collect()] == [7]

@@ -313,7 +313,7 @@ def prose_factor(w: Column) -> Column:
     listy = F.regexp_count(w, F.lit(v.LISTY))
     sentences = F.regexp_count(w, F.lit(r"[.!?]\s+[A-ZÄÖÜ0-9]"))
     letters = F.regexp_count(w, F.lit(r"\p{L}"))
-    return F.when(F.length(w) == 0, 1.0).when((listy >= 3) & (sentences <= 1), 0.4).when(listy >= 3, 0.7).when(letters < 0.55 * F.length(w), 0.7).otherwise(1.0)
+    return F.when(F.length(w) == 0, 1.0).when((listy >= 3) & (sentences <= 1), 0.4).when(listy >= 3, 0.7).when(letters * 100 < F.length(w) * 55, 0.7).otherwise(1.0)
 
 
 def count_tokens(s: Column) -> Column:

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text
 from corpusloom.operators import dedup, expand, extract, passages, ranking, serp
 from corpusloom.plans import recall
 from corpusloom.sources import routes, stores
@@ -118,3 +119,11 @@ def test_pages_of_one_address_give_the_smallest_row(spark):
     for some in (rows, rows[::-1], rows[1:] + rows[:1]):
         pages = spark.createDataFrame(some, "page_id int, url string, headers map<string,string>").coalesce(1)
         assert [r.page_id for r in stores.pages_of(asked, pages).collect()] == [7]
+
+
+def test_a_share_of_letters_of_just_0_55_is_prose(spark):
+    """prose_factors: 0.55 * 660 is a little over 363 in doubles."""
+    rows = [("a" * 363 + "%" * 297,), ("a" * 362 + "%" * 298,)]
+    df = spark.createDataFrame(rows, "t string")
+    assert [r.p for r in df.select(text.prose_factor(F.col("t")).alias("p")).collect()] == [1.0, 0.7]
+    assert [passages.prose(t) for (t,) in rows] == [1.0, 0.7]

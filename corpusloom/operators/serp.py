@@ -71,10 +71,10 @@ def assembled(scored: DataFrame, k: int = 10, cap: int = 2, floor: float = v.MIN
     x = x.withColumns({"n": count(F.col("first"), whole), "had": count(F.col("first"), site)})
     x = taken(x, ~F.col("first"), F.col("had"), F.col("cap") + 3, F.greatest(F.lit(least) - F.col("n"), F.lit(0)))
     x = x.withColumn("second", F.col("now") & ~F.col("first") & (F.col("n") + count(F.col("now") & ~F.col("first"), down) <= k))
-    x = x.where("first OR second").withColumn("score", F.round("score", 4))
+    x = x.where("first OR second").withColumns({"full": F.col("score"), "score": F.round("score", 4)})
 
-    loose = F.row_number().over(Window.partitionBy(key, fixed).orderBy(F.desc("score"), F.desc("first"), F.desc("score"), "url"))
-    rank = F.row_number().over(Window.partitionBy(key, fixed).orderBy("pinned", F.desc("score"), "url"))
+    loose = F.row_number().over(Window.partitionBy(key, fixed).orderBy(F.desc("score"), F.desc("first"), F.desc("full"), "url"))
+    rank = F.row_number().over(Window.partitionBy(key, fixed).orderBy("pinned", F.desc("full"), "url"))
     x = x.withColumns({"f": loose, "j": rank, "loose": count(~fixed, whole)})
     running = Window.partitionBy(key, fixed).orderBy("j")
     x = x.withColumn("at", F.when(fixed, F.least(F.col("j") + F.max(F.col("pinned") - F.col("j")).over(running), F.col("loose") + F.col("j"))).cast("int"))

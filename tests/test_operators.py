@@ -14,6 +14,14 @@ def test_greedy_list(spark):
     assert got == ["u0", "u9", "u1", "u2", "u3", "u7"]  # two of a site, then three more; no u6 (gone), no u8 (below the floor)
 
 
+def test_greedy_list_orders_rows_of_one_shown_score_by_their_whole_score(spark):
+    """search_serp: ``a`` and ``b`` are shown as 0.5, ``c`` is of the second pass."""
+    rows = [(1, "a", "s", 0.50001), (1, "b", "t", 0.50002), (1, "c", "t", 0.50003), (1, "0", "t", 0.50004), (1, "d", "u", 0.4)]
+    df = spark.createDataFrame([(*r, 0.9) for r in rows], "query_id int, url string, site string, score double, relevance double")
+    got = [(r.url, r.score) for r in serp.assembled(df, k=5, cap=2).orderBy("place").collect()]
+    assert got == [("0", 0.5), ("c", 0.5), ("a", 0.5), ("b", 0.5), ("d", 0.4)]
+
+
 def test_dedup_keeps_longest_and_is_idempotent(spark):
     rows = [(1, 0, "http://e.org/a/", "xx"), (1, 1, "https://www.e.org/a", "xxxx"), (1, 2, "https://e.org/b", "y"), (2, 0, "https://e.org/a", "z")]
     df = spark.createDataFrame(rows, "query_id int, arrival int, url string, text string")

@@ -1,5 +1,5 @@
 import __spark_entry__ as entry
-from corpusloom.plans import sqltext
+from corpusloom.plans import catalog, sqltext
 
 
 def test_queries_without_statement_and_the_flagship_ask_with_whole_texts(spark, tmp_path):
@@ -25,3 +25,11 @@ def test_gram_overlap_reads_to_the_end(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.overlap for r in entry.queries()["gram_overlap"](spark, str(tmp_path)).collect()}
     assert got[1] > 0.5 and got[2] == got[3] == got[4] == 0.0
+
+
+def test_relevance_floor_keeps_the_order_of_whole_scores(spark, monkeypatch):
+    """The three rows share their first four digits."""
+    rows = [(1, "a", "s", 0.50001, 0.0), (1, "b", "t", 0.50003, 0.0), (1, "c", "u", 0.50002, 0.0), (1, "d", "u", 0.4, 0.0)]
+    monkeypatch.setattr(catalog, "_scored", lambda spark, sf_dir: spark.createDataFrame(rows, "query_id int, url string, source string, score double, relevance double"))
+    got = entry.queries()["relevance_floor"](spark, "")
+    assert [r.url for r in got.orderBy("place").collect()] == ["b", "c", "a"]

@@ -56,7 +56,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Links are similarities of at least 0.8 of the sets of five-word shingles, verified on the
     whole sets. Candidates come from SimHash fingerprints by Golay keys first (exact and all but
     exact copies); at 0.8 fingerprints of 64 bits differ in ten, which such keys can't bridge,
-    so the rest is searched by shared minima. Null and wordless texts are one group. A null id stands for its group only if all ids in it are
+    so the rest is searched by shared minima. Groups are whole: what links join, over any number
+    of texts, is one. Null and wordless texts are one group. A null id stands for its group only if all ids in it are
     null. Of repeated rows one stays; of rows equal in id and text alone, the one whose columns
     have the smallest hash.
     """

@@ -15,9 +15,11 @@ its pivots; what links to a smaller set leaves all keys, and from the round on t
 all keys, pivots leave their key. The first round takes few of the keys, so most of a large
 group of near copies leaves after a comparison or two each. The number of pivots grows until
 no key holds two sets. Of two similar sets that share a key neither leaves unseen: one
-becomes a pivot while the other is there, or one links to a smaller set. So two similar sets
-never both stand for their groups, and a large group gives stars and not all pairs. Links are
-fewer than all pairs, so a chain of similar texts can be several groups.
+becomes a pivot while the other is there, or one links to a smaller set. So a large group
+gives stars and not all pairs, but a set that left may be similar to one that its star does
+not reach. Therefore, last, the sets of each key that are in different groups by then, one of
+which had left, are compared too. Every pair that shares a key is thus compared or joined by
+other links, and groups are whole: a chain of similar texts is one.
 
 Texts that share half of their shingles, as with a passage that very many hold, share keys
 often. So each set has a sketch beside its keys, three bits of each minimum, and a set is
@@ -150,8 +152,32 @@ def _alone_left_out(rows: DataFrame) -> DataFrame:
     return checkpointed(rows.join(several, "key").select("k", "at", "band", "key", *SKETCH))
 
 
+def _across(full: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that share a key, have near sketches, are in different groups by ``found``, and were not both there to the end of the rounds.
+
+    The sets of a key's largest group are not paired with one another, so a large group costs
+    no more than its rows for each set of another group.
+    """
+    swept(full.sparkSession)
+    groups = components(found)
+    left = found.select(F.col("a").alias("k"), F.lit(True).alias("left")).distinct()
+    of = full.select("k").join(groups, F.col("k") == F.col("node"), "left").join(left, "k", "left")
+    of = checkpointed(of.select("k", F.coalesce("root", "k").alias("root"), F.coalesce("left", F.lit(False)).alias("left")))
+    rows = full.select("k", F.explode("bands").alias("key")).join(of, "k")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("left").alias("some")).where("lo <> hi AND some").select("key")
+    rows = checkpointed(rows.join(mixed, "key"))
+    main = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    rows = checkpointed(rows.join(main, "key").join(full.select("k", *SKETCH), "k"))
+    x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "root", "left", "main", *SKETCH)]) for side in "xy")
+    x = x.where("root_x <> main_x")
+    apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in SKETCH])
+    once = F.expr("root_y = main_y OR k_y < k_x")
+    near = (x["key"] == y["key"]) & F.expr("root_x <> root_y AND (left_x OR left_y)") & once & (apart <= FAR)
+    return checkpointed(x.join(y, near).select(F.col("k_x").alias("a"), F.col("k_y").alias("b")).distinct())
+
+
 def links(distinct: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified links (a, b) between the distinct sets ``k``, whose first row is ``at``, fingerprint ``fp`` and keys ``bands``."""
+    """Verified links (a, b) that connect all similar ones among the distinct sets ``k``, whose first row is ``at``, fingerprint ``fp`` and keys ``bands``."""
     full = distinct.where("size(bands) > 0")
     tried = checkpointed(_simhash_pairs(full))
     held = _alone_left_out(full.select("k", "at", F.posexplode("bands").alias("band", "key"), *SKETCH))
@@ -180,6 +206,7 @@ def links(distinct: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
         found = found.union(near)
         held = _alone_left_out(gone(held, near).join(first, ["key", "k"], "left_anti"))
         pivots *= 4
+    found = found.union(_verified(_across(full, found), sets))
     forgotten(sets)
     return found
 

@@ -69,3 +69,35 @@ def test_a_common_passage_makes_no_links(spark):
     rows = [(i, " ".join([word() for _ in range(15)] + passage + [word() for _ in range(10)])) for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert near.representatives(df).count() == len(rows)
+
+
+def test_chains_of_similar_texts_are_one_group(spark):
+    """Each text is similar to the next alone; those of a crowd, to its first; the crowd's last has a chain too."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+
+    def edited(words, places):
+        return [word() if i in places else w for i, w in enumerate(words)]
+
+    rows, first = [], []
+    for _ in range(8):
+        words = [word() for _ in range(200)]
+        first.append(len(rows))
+        for step in range(5):
+            rows.append(words)
+            words = edited(words, {20 * j + 4 * step + 8 for j in range(3)})
+    crowd = [word() for _ in range(200)]
+    first.append(len(rows))
+    rows.append(crowd)
+    rows += [edited(crowd, {5 * i % 200, (5 * i + 100) % 200}) for i in range(40)]
+    rows.append(edited(rows[-1], {10, 50, 90}))
+    rows.append(edited(rows[-1], {30, 70, 150}))
+    texts = [" ".join(w) for w in rows]
+    alike = [(a, b) for b in range(len(texts)) for a in range(b) if slow(texts[a], texts[b]) >= 0.8]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
+    assert sorted(set(root)) == first and (0, 2) not in alike
+    got = near.representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == first

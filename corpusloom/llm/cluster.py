@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FEW = 100_000  # edges that one task takes at most
+
 
 def shared(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
@@ -65,8 +67,13 @@ def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*new), dict(reversed(list(zip(df.columns, new, strict=True))))
 
 
+def _either_way(edges: DataFrame) -> DataFrame:
+    """Each edge in both directions; by explode, as a union would forget how the rows are dealt."""
+    return edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = _either_way(edges)
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
@@ -74,13 +81,15 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    kept = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return kept.union(least.select("a", F.col("m").alias("b"))).distinct()
+    up = F.struct("a", F.col("m").alias("b"))
+    kept = F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
+    return down.join(least, "a").select(F.inline(F.when(F.col("b") != F.col("m"), F.array(up, kept)).otherwise(F.array(up)))).distinct()
 
 
 def _unsettled(edges: DataFrame) -> bool:
     """Whether some node has two parents, or a parent and a child: then the components are not all stars yet."""
-    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    up, down = (F.struct(F.col(c).alias("v"), F.lit(int(c == "a")).alias("up"), F.lit(int(c == "b")).alias("down")) for c in "ab")
+    ends = edges.select(F.inline(F.array(up, down)))
     return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").limit(1).count() > 0
 
 
@@ -91,10 +100,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps until every component is a star on its
     smallest node. Each step is a grouped minimum (combined before its shuffle) and an
     equi join, so a node with very many links is never gathered in one task; each round
-    is checkpointed, so lineage stays short.
+    is checkpointed, so lineage stays short. Up to ``FEW`` edges lie in one partition, and
+    then no step shuffles.
     """
     a, b = edges.columns[:2]
     edges = checkpointed(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if edges.count() <= FEW:
+        edges = checkpointed(edges.coalesce(1))
     for _ in range(max_rounds):
         if not _unsettled(edges):
             break

@@ -18,8 +18,9 @@ no key holds two sets. Of two similar sets that share a key neither leaves unsee
 becomes a pivot while the other is there, or one links to a smaller set. So a large group
 gives stars and not all pairs, but a set that left may be similar to one that its star does
 not reach. Therefore, last, the sets of each key that are in different groups by then, one of
-which had left, are compared too. Every pair that shares a key is thus compared or joined by
-other links, and groups are whole: a chain of similar texts is one.
+which had left, are compared too: those with a near sketch in another group, in blocks, so
+neither a row nor a copy of the sets is made for each pair. Every pair that shares a key is
+thus compared or joined by other links, and groups are whole: a chain of similar texts is one.
 
 Texts that share half of their shingles, as with a passage that very many hold, share keys
 often. So each set has a sketch beside its keys, three bits of each minimum, and a set is
@@ -50,6 +51,7 @@ FIRST = 4  # keys taken in the first round
 SKETCH = [f"s{i}" for i in range(8)]  # of 20 minima each
 FAR = 86
 SMALL = 500_000  # rows of a few numbers that are broadcast at most; beyond, the same join shuffles
+SIDE = 64  # sets that are held against as many others in one place
 BLOCK = 1 << 10  # shingles hashed by all functions at a time
 
 
@@ -152,28 +154,55 @@ def _alone_left_out(rows: DataFrame) -> DataFrame:
     return checkpointed(rows.join(several, "key").select("k", "at", "band", "key", *SKETCH))
 
 
-def _across(full: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that share a key, have near sketches, are in different groups by ``found``, and were not both there to the end of the rounds.
+def _across(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (g, k, out, root, left, sketch) of sets that share a key and have near sketches with a set of another group by ``found``, not both there to the end of the rounds.
 
-    The sets of a key's largest group are not paired with one another, so a large group costs
-    no more than its rows for each set of another group.
+    ``rows`` has the sets of the keys that several have. ``g`` is the largest group of the key,
+    ``out`` whether the set is of another. The sets of the largest group are not held against
+    one another, so a large group costs no more than its rows for each set of another group;
+    and a set is told to be near without a row for each of those that are.
     """
-    swept(full.sparkSession)
-    groups = components(found)
-    left = found.select(F.col("a").alias("k"), F.lit(True).alias("left")).distinct()
-    of = full.select("k").join(groups, F.col("k") == F.col("node"), "left").join(left, "k", "left")
-    of = checkpointed(of.select("k", F.coalesce("root", "k").alias("root"), F.coalesce("left", F.lit(False)).alias("left")))
-    rows = full.select("k", F.explode("bands").alias("key")).join(of, "k")
+    swept(rows.sparkSession)
+    groups, left = components(found), found.select(F.col("a").alias("k"), F.lit(True).alias("left")).distinct()
+    of = checkpointed(groups.withColumnRenamed("node", "k").join(left, "k", "left"))
+    rows = rows.select("k", "key", *SKETCH).join(_sized(of, of.count()), "k", "left").withColumns({"root": F.coalesce("root", "k"), "left": F.coalesce("left", F.lit(False))})
     mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("left").alias("some")).where("lo <> hi AND some").select("key")
     rows = checkpointed(rows.join(mixed, "key"))
-    main = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    rows = checkpointed(rows.join(main, "key").join(full.select("k", *SKETCH), "k"))
-    x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "root", "left", "main", *SKETCH)]) for side in "xy")
-    x = x.where("root_x <> main_x")
-    apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in SKETCH])
-    once = F.expr("root_y = main_y OR k_y < k_x")
-    near = (x["key"] == y["key"]) & F.expr("root_x <> root_y AND (left_x OR left_y)") & once & (apart <= FAR)
-    return checkpointed(x.join(y, near).select(F.col("k_x").alias("a"), F.col("k_y").alias("b")).distinct())
+    main = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("g"))
+    rows = checkpointed(rows.join(main, "key").withColumn("out", F.col("root") != F.col("g")))
+    other = rows.toDF(*[f"{c}_y" for c in rows.columns])
+    apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_y"))) for c in SKETCH])
+    near = (F.col("key") == F.col("key_y")) & F.expr("root <> root_y AND (left OR left_y)") & (apart <= FAR)
+    some = rows.where("out").join(other, near, "left_semi").union(rows.where("NOT out").join(other.where("out_y"), near, "left_semi"))
+    return checkpointed(some.select("g", "k", "out", "root", "left", *SKETCH).distinct())
+
+
+def _joined(some: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified links (a, b) between the sets of different groups of each ``g`` in ``some``.
+
+    The sets of a ``g`` are dealt into blocks of some ``SIDE``, and each two blocks are compared
+    in one place, so a set is sent once for ``SIDE`` others and not for each.
+    """
+
+    def check(t: pa.Table) -> pa.Table:
+        block, k, root, left = (t.column(c).to_numpy() for c in ("block", "k", "root", "left"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("s")]
+        sketch = np.stack([t.column(c).to_numpy() for c in SKETCH], 1)
+        lo, hi, found = t.column("lo")[0].as_py(), t.column("hi")[0].as_py(), []
+        others = np.flatnonzero(block == hi)
+        for i in np.flatnonzero(block == lo):
+            apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64)
+            for j in others[(apart <= FAR) & (root[others] != root[i]) & (left[others] | left[i]) & ((lo < hi) | (others > i))]:
+                if jaccard(sets[i], sets[j]) >= SIMILAR:
+                    found.append((k[i], k[j]))
+        return pa.table({c: pa.array([p[n] for p in found], pa.int64()) for n, c in enumerate("ab")})
+
+    sizes = some.groupBy("g").agg(F.count_if("out").alias("outs"), F.count_if(~F.col("out")).alias("ins"))
+    sizes = sizes.select("g", *[F.ceil(F.col(c) / SIDE).alias(c) for c in ("outs", "ins")])
+    own = F.expr("if(out, pmod(xxhash64(k), outs), outs + pmod(xxhash64(k), ins))")  # the largest group's blocks come after the others
+    cells = some.join(sizes, "g").withColumn("block", own).withColumn("with", F.explode(F.expr("sequence(0L, outs + if(out, ins, 0L) - 1L)")))
+    cells = cells.withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")}).drop("with", "outs", "ins", "out")
+    return checkpointed(cells.join(sets, "k").groupBy("g", "lo", "hi").applyInArrow(check, "a bigint, b bigint"))
 
 
 def links(distinct: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,6 +210,7 @@ def links(distinct: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     full = distinct.where("size(bands) > 0")
     tried = checkpointed(_simhash_pairs(full))
     held = _alone_left_out(full.select("k", "at", F.posexplode("bands").alias("band", "key"), *SKETCH))
+    shared = held
     wanted = held.select("k").union(tried.select("a")).union(tried.select("b")).distinct()
     sets = _sets(checkpointed(full.select("k", "at").join(wanted, "k")), docs, id_col, text_col)
     found = near = _verified(tried, sets)
@@ -206,7 +236,7 @@ def links(distinct: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
         found = found.union(near)
         held = _alone_left_out(gone(held, near).join(first, ["key", "k"], "left_anti"))
         pivots *= 4
-    found = found.union(_verified(_across(full, found), sets))
+    found = found.union(_joined(_across(shared, found), sets))
     forgotten(sets)
     return found
 

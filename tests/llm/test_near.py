@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from corpusloom.llm import near
+from corpusloom.llm import cluster, near
 
 
 def slow(a, b):
@@ -101,3 +101,29 @@ def test_chains_of_similar_texts_are_one_group(spark):
     assert sorted(set(root)) == first and (0, 2) not in alike
     got = near.representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == first
+
+
+def test_a_large_group_costs_no_row_for_each_pair(spark):
+    """Forty sets linked to the first and ten others share one key and one sketch (the first has not left); only the last is similar to one that left."""
+    rows = spark.createDataFrame([(k, 7, *[0] * len(near.SKETCH)) for k in range(50)], ", ".join(["k long", "key long", *(f"{c} long" for c in near.SKETCH)]))
+    found = spark.createDataFrame([(k, 0) for k in range(1, 40)], "a long, b long")
+    some = near._across(rows, found)
+    assert some.count() == 49 and {r.k for r in some.where("out").collect()} == set(range(40, 50))
+    own = {k: np.arange(1000 * k, 1000 * k + 100, dtype=np.uint64) for k in range(50)}
+    own[49] = np.concatenate([own[5][:95], own[49][:5]])
+    sets = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in own.items()], "k long, s binary")
+    for side in (near.SIDE, 8):
+        near.SIDE, kept = side, near.SIDE
+        try:
+            assert {frozenset(r) for r in near._joined(some, sets).collect()} == {frozenset((5, 49))}
+        finally:
+            near.SIDE = kept
+
+
+def test_components_of_few_and_of_many_edges_are_alike(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 430)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few = {tuple(r) for r in cluster.components(df).collect()}
+    monkeypatch.setattr(cluster, "FEW", -1)
+    assert few == {tuple(r) for r in cluster.components(df).collect()} and (430, 400) in few

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FEW = 100_000  # edges that one task takes at most
+FEW = 300_000  # rows of a few numbers that one task takes at most
 
 
 def shared(spark: SparkSession) -> str:
@@ -36,6 +36,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A checkpointed ``df``; if it has ``most`` rows (``FEW``) or less, in one partition, so that no step on it alone shuffles.
+
+    The limit is the number of rows there are: it drops none, and tells the planner how few they are.
+    """
+    n = df.count()
+    return checkpointed(df.coalesce(1).limit(max(n, 1))) if n <= (FEW if most is None else most) else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder and read from there."""
     at = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -101,16 +110,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     smallest node. Each step is a grouped minimum (combined before its shuffle) and an
     equi join, so a node with very many links is never gathered in one task; each round
     is checkpointed, so lineage stays short. Up to ``FEW`` edges lie in one partition, and
-    then no step shuffles.
+    then no step shuffles; many edges may be few after a round.
     """
     a, b = edges.columns[:2]
     edges = checkpointed(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if edges.count() <= FEW:
-        edges = checkpointed(edges.coalesce(1))
     for _ in range(max_rounds):
+        edges = gathered(edges)
         if not _unsettled(edges):
             break
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = checkpointed(_small_star(gathered(checkpointed(_large_star(edges)))))
         swept(edges.sparkSession)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .arrow import slices
-from .cluster import checkpointed, components, forgotten, numbered, stored, swept
+from .cluster import checkpointed, components, forgotten, gathered, numbered, stored, swept
 from .simhash import SEED, first_rows
 
 WORDS, SIMILAR = 5, 0.8
@@ -51,6 +51,7 @@ FIRST = 4  # keys taken in the first round
 SKETCH = [f"s{i}" for i in range(8)]  # of 20 minima each
 FAR = 86
 SMALL = 500_000  # rows of a few numbers that are broadcast at most; beyond, the same join shuffles
+FEW = 100_000  # rows with sketches that one task takes at most
 SIDE = 64  # sets that are held against as many others in one place
 BLOCK = 1 << 10  # shingles hashed by all functions at a time
 
@@ -137,7 +138,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(good)
 
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    return checkpointed(both.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint"))
+    return gathered(checkpointed(both.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint")))
 
 
 def _simhash_pairs(distinct: DataFrame) -> DataFrame:
@@ -149,9 +150,9 @@ def _simhash_pairs(distinct: DataFrame) -> DataFrame:
 
 
 def _alone_left_out(rows: DataFrame) -> DataFrame:
-    """Rows (k, at, band, key, sketch) whose key another set has too."""
+    """Rows (k, at, band, key, sketch) whose key another set has too; few of them in one partition."""
     several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return checkpointed(rows.join(several, "key").select("k", "at", "band", "key", *SKETCH))
+    return gathered(checkpointed(rows.join(several, "key").select("k", "at", "band", "key", *SKETCH)), FEW)
 
 
 def _across(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def _across(rows: DataFrame, found: DataFrame) -> DataFrame:
     of = checkpointed(groups.withColumnRenamed("node", "k").join(left, "k", "left"))
     rows = rows.select("k", "key", *SKETCH).join(_sized(of, of.count()), "k", "left").withColumns({"root": F.coalesce("root", "k"), "left": F.coalesce("left", F.lit(False))})
     mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("left").alias("some")).where("lo <> hi AND some").select("key")
-    rows = checkpointed(rows.join(mixed, "key"))
+    rows = gathered(checkpointed(rows.join(mixed, "key")), FEW)
     main = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("g"))
     rows = checkpointed(rows.join(main, "key").withColumn("out", F.col("root") != F.col("g")))
     other = rows.toDF(*[f"{c}_y" for c in rows.columns])

@@ -127,3 +127,22 @@ def test_components_of_few_and_of_many_edges_are_alike(spark, monkeypatch):
     few = {tuple(r) for r in cluster.components(df).collect()}
     monkeypatch.setattr(cluster, "FEW", -1)
     assert few == {tuple(r) for r in cluster.components(df).collect()} and (430, 400) in few
+
+
+def test_rounds_over_few_edges_take_few_tasks(spark):
+    """A task a step and not one for each partition of a shuffle, in the first round and in later ones."""
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "1k"}
+    old = {k: spark.conf.get(k) for k in settings}
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long").repartition(8)
+        spark.sparkContext.setJobGroup("few edges", "")
+        assert cluster.components(edges).where("root = 0").count() == 61
+        stages = {s for j in tracker.getJobIdsForGroup("few edges") for s in tracker.getJobInfo(j).stageIds}
+        assert sum(x.numCompletedTasks for s in stages if (x := tracker.getStageInfo(s))) < 400
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -33,7 +33,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -51,7 +53,8 @@ SAMPLES, ALPHA, OFFSET = 3, 1.0, 10.0
 GROUP, GROUP_BYTES = 384, 800_000  # documents taken together: so many, or the one that passes so many bytes
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 ALPHABET = 64  # of the trie's dense table
-JOINED = 16  # words given to the model at a time
+JOINED = 64  # words given to the model at a time
+LEARNT = 8  # groups from which a worker takes the words whose lattices it keeps: those that two of them have
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -148,11 +151,16 @@ class Model:
                     piece.append(-1)
             piece[states[text]] = i
         state, char, target = np.array(moves, np.int64).reshape(-1, 3).T
+        # states with moves come first, so the table has rows for them alone and a walk ends where there is no move
+        order = np.argsort(np.bincount(state, minlength=len(piece)) == 0, kind="stable")
+        place = np.argsort(order)
+        state, target, piece = place[state], place[target], np.array(piece)[order]
+        self.inner = int(state.max(initial=0)) + 1
         used, times = np.unique(char, return_counts=True)
         often = used[np.argsort(-times, kind="stable")[: ALPHABET - 1]]
         self.code = np.zeros(0x110000, np.uint8)  # 0: not in the dense table
         self.code[often] = np.arange(1, len(often) + 1)
-        self.dense = np.full(len(piece) * ALPHABET, -1, np.int32)
+        self.dense = np.full(self.inner * ALPHABET, -1, np.int32)
         at = self.code[char]
         self.dense[(state * ALPHABET + at)[at > 0]] = target[at > 0]
         key = (state << 21 | char)[at == 0]
@@ -214,13 +222,16 @@ class Lattices:
     an edge is drawn by walking a node's few edges.
     """
 
+    NODES, EDGES = ("left", "count"), ("step", "id", "logp", "cum")
+
     def __init__(self, model: Model) -> None:
         self.model, self.held = model, None
+        self.groups, self.seen, self.kept, self.later = 0, Counter(), None, None
 
     def numbers(self, docs: list[list[str]]) -> list[np.ndarray]:
         """Each document's runs by number; lattices of these runs take the place of those before."""
         of = {r: i for i, r in enumerate(dict.fromkeys(r for d in docs for r in d))}
-        if list(of) != self.held:
+        if list(of) != self.held or len(self.words):
             self.build(pa.array([], pa.string()), list(of))
         return [np.fromiter(map(of.__getitem__, d), np.int64, len(d)) for d in docs]
 
@@ -233,15 +244,48 @@ class Lattices:
         coded = words.flatten().dictionary_encode()
         known = coded.dictionary
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh, self.kept = known, self.later
+        if self.kept:
+            old = pc.fill_null(pc.index_in(known, value_set=self.kept["words"]), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            new = old < 0
+            fresh, n_kept = known.filter(pa.array(new)), len(self.kept["words"])
+            old[new] = n_kept + np.arange(len(fresh))
+            at, known = old[at], pa.concat_arrays([self.kept["words"], fresh])
         whole = [self.model.runs(t) for t in texts.take(pa.array(rest)).to_pylist()]
         more = list(dict.fromkeys(chain.from_iterable(whole)))
         if more:
             of = {r: len(known) + i for i, r in enumerate(more)}
             at = np.concatenate([at, np.fromiter((of[r] for d in whole for r in d), np.int64)])
-        self.build(known, more)
+        self._learn(known)
+        self.build(fresh, more)
+        if self.kept:
+            self._add_kept(known)
         size = np.concatenate([pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64), np.fromiter(map(len, whole), np.int64, len(whole))])
         return at, size, np.concatenate([plain, rest])
 
+    def _learn(self, words: pa.Array) -> None:
+        """Counts the words of the first groups, and after these builds the lattices of those that recur, to be kept; only the time taken depends on them."""
+        if self.groups > LEARNT:
+            return
+        if self.groups < LEARNT:
+            self.seen.update(words.to_pylist())
+        else:
+            self.build(pa.array([w for w, n in self.seen.items() if n > 1], pa.string()), [])
+            self.later = {c: getattr(self, c) for c in ("words", "first", "edge0", "src", "own", "own0", *self.NODES, *self.EDGES)}
+            self.seen.clear()
+        self.groups += 1
+
+    def _add_kept(self, words: pa.Array) -> None:
+        """Puts the lattices that are kept before those just built."""
+        kept = self.kept
+        nodes, edges, own = len(kept["left"]), len(kept["step"]), len(kept["own"])
+        for c in (*self.NODES, *self.EDGES, "own"):
+            setattr(self, c, np.concatenate([kept[c], getattr(self, c)]))
+        for c, by in (("first", nodes), ("src", nodes), ("edge0", edges)):
+            setattr(self, c, np.concatenate([kept[c], getattr(self, c) + by]))
+        self.own0 = np.concatenate([kept["own0"][:-1], self.own0 + own])
+        self.words = words
+
     def build(self, words: pa.Array, runs: list[str]) -> None:
         """Builds the lattices of words (each with a word start before it) and other runs at once: a walk of the trie from all places, then sums from the ends."""
         model = self.model
@@ -281,7 +325,7 @@ class Lattices:
                 hit = np.flatnonzero(piece >= 0)
             found.append((at[hit], piece[hit]))
             count[found[-1][0]] += 1
-            on = np.flatnonzero((to >= 0) & (left[at] > k))
+            on = np.flatnonzero((to.view(np.uint32) < model.inner) & (left[at] > k))
             at, state = at[on], to[on].astype(np.int64)
             if not len(at):
                 break
@@ -631,6 +675,12 @@ def _encoded(part: pa.RecordBatch, lat: Lattices, samples: int, with_ids: bool,
     return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
 
+@cache
+def _lattices(model: str, alpha: float) -> Lattices:
+    """A worker's own, for all its tasks."""
+    return Lattices(Model(model, alpha))
+
+
 def segmented(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, samples: int = SAMPLES, alpha: float = ALPHA, with_ids: bool = True, with_sample_ids: bool = False) -> DataFrame:
     """Ids and sampled segmentations of every row, whole.
 
@@ -647,9 +697,8 @@ def segmented(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = None
         for b in batches:
-            lat = lat or Lattices(Model(model, alpha))
+            lat = _lattices(model, alpha)
             for part in slices(b, 2, GROUP, GROUP_BYTES):
                 yield _encoded(part, lat, samples, with_ids, with_sample_ids)
 

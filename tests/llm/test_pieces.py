@@ -88,3 +88,19 @@ def test_rows(spark):
     back = pieces.decoded(pieces.segmented(df).select("doc_id", "ids")).collect()
     assert {(r.doc_id, r.text) for r in back} == {(i, t) for i, t in enumerate(TEXTS)} | {(None, "")}
     assert pieces.segmented(df.limit(0)).count() == 0
+
+
+def test_kept_lattices_change_no_result():
+    """Words that recur are not built again, and rows are the same with and without what a worker keeps."""
+    import pyarrow as pa
+
+    words = [f"{a}{b}" for a in ("wat", "riv", "sün", "peop", "東") for b in ("er", "ers", "le", "les", "x")]
+    texts = [" ".join(words[(7 * i + j * j) % len(words)] for j in range(12)) + f" own{i}" for i in range(40)] + TEXTS
+    part = lambda at: pa.record_batch([pa.array([at]), pa.array([at * 7919 + 1]), pa.array([texts[at]])], names=["id", "seed", "t"])
+    kept, built = pieces.Lattices(MODEL), []
+    build = kept.build
+    kept.build = lambda words, runs: (built.append(len(words)), build(words, runs))
+    for at in range(len(texts)):
+        own = pieces._encoded(part(at), kept, 3, True, True)
+        assert own.to_pylist() == pieces._encoded(part(at), pieces.Lattices(MODEL), 3, True, True).to_pylist()
+    assert max(built[-20 - len(TEXTS) : -len(TEXTS)]) <= 4  # of thirteen words, most are kept
